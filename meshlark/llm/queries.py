@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import simhash
+from meshlark.llm import mixing, packing, quality, secrets, simhash
 from meshlark.llm.common import table
 
 
@@ -17,8 +17,43 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's posterior under the label model, its score and whether it is kept."""
+    scored = quality.score_quality(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", F.col("quality_posterior").alias("posterior"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("keep"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a padded batch of its length bucket."""
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: counts and digest of the base findings, and all spans."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def many(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    rules = F.filter("secrets", lambda s: s["kind"] != "network")
+    return found.select("doc_id", many("assign"), many("access"), many("hex"), F.sha2(joined(rules), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_packing": op8_packing,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
