@@ -1,24 +1,56 @@
 """A corpus from raw documents to packed batches, in stages of the operators of ``meshlark.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's ``docs``.
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Defined cases: a null or empty text has no quality and goes in the first stage; equal rows, and
+rows that share an id, are one document to near-duplicate removal if their texts are near; what
+the mix takes no word of leaves the corpus in the fourth stage, and a document of which it takes
+words several times goes on once, whole, as packing counts documents; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm import simhash
+from meshlark.llm import mixing, packing, quality, secrets, simhash
 from meshlark.llm.common import materialise, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.keep_one(docs, shingle=5)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text gives way to a mark."""
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes words of."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a padded batch of its length bucket."""
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_duplicates),
+    ("secret scans", secret_scan),
+    ("source mixing", source_mix),
+    ("packing", packed),
+]
 
+#: Fitted models and pseudorandom draws are not for SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -26,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
