@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import mixing, packing, quality, secrets, simhash
+from meshlark.llm import minhash, mixing, packing, quality, secrets, simhash
 from meshlark.llm.common import table
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    rows = minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the least document that near-duplicate links reach from it."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -49,6 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
