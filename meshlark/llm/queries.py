@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import minhash, mixing, packing, quality, secrets, simhash
-from meshlark.llm.common import table
+from meshlark.llm import language, minhash, mixing, packing, quality, secrets, simhash, substrings, toxicity, vectors
+from meshlark.llm.common import held_out, table
 
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,39 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the other fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    found = language.identify(docs, language.fit(docs.where("not held_out")))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the least document that near-duplicate links reach from it."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated windows of 35 words."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35).withColumnRenamed("id", "doc_id")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of the other fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = toxicity.labelled_rows(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, rows))
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of near duplicates, its component, and whether it stays."""
+    groups = vectors.embedding_groups(table(spark, sf_dir, "embeddings"), least=0.9)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return groups.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's posterior under the label model, its score and whether it is kept."""
     scored = quality.score_quality(table(spark, sf_dir, "documents"))
@@ -56,7 +83,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
+    "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,

@@ -27,7 +27,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from meshlark.llm.common import bounded_sample
 #: Labelled rows for fitting, at most; hashed features; features that the regression may use.
 FIT_ROWS, HASHED, USED = 20_000, 1 << 20, 2048
 #: Lengths of the word beginnings that are features beside the words.
-STARTS = (4, 5, 6, 7, 8)
+STARTS = (4, 7)
 #: Symbols of the language model: 0 a word's edge, 1-26 a-z, 27 any other letter.
 LETTERS, OTHER = 28, 27
 #: What characters may stand for: fixed values.
@@ -50,15 +49,14 @@ LOOKALIKE = {
 }
 #: Costs in nats: a look-alike, a mark between letters, a digit dropped, letters of a long run or of a pair dropped.
 STAND_IN, MARK, DIGIT, RUN, PAIR = 0.5, 0.3, 12.0, 0.3, 2.5
-#: Distinct tokens whose restored form a worker remembers.
-MEMORY = 1 << 20
+#: Distinct tokens whose restored form and features a worker remembers.
+MEMORY = 1 << 18
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _EDGE = re.compile(r"^(?:[^\w$@]|_|([$@])\1\1+)+|(?:[^\w$@]|_|([$@])\2\2+)+$")
 
 
-@lru_cache(MEMORY)
 def hashed(word: str) -> tuple[int, ...]:
     """The hashed numbers of a restored word and its beginnings."""
     parts = [word, *(f"{word[:n]}-" for n in STARTS if len(word) >= n)]
@@ -83,10 +81,14 @@ def trigrams(text: str) -> np.ndarray:
 
 @dataclass
 class Restorer:
-    """Undoes obfuscation under ``cost``: nats of a letter after two others, LETTERS cubed."""
+    """Undoes obfuscation under ``cost``: nats of a letter after two others, LETTERS cubed.
+
+    With ``only``, features are those among it.
+    """
 
     cost: np.ndarray
-    memory: dict[str, str] = field(default_factory=dict)
+    only: frozenset[int] | None = None
+    memory: dict[str, tuple[str, tuple[int, ...]]] = field(default_factory=dict)
 
     @classmethod
     def of_counts(cls, counts: np.ndarray) -> Restorer:
@@ -97,7 +99,7 @@ class Restorer:
         return cls(-np.log((three + 2 * two[None]) / (many + 2)))
 
     def __getstate__(self):
-        return {"cost": self.cost, "memory": {}}
+        return {"cost": self.cost, "only": self.only, "memory": {}}
 
     def options(self, ch: str, run: int) -> list[tuple[str, float]]:
         """What a run of one character may stand for, with costs."""
@@ -142,41 +144,53 @@ class Restorer:
             letters.append(ch)
         return "".join(reversed(letters))
 
-    def word(self, token: str) -> str:
-        """The restored form of one lower-cased token; '' if nothing of it is a word."""
+    def restored(self, token: str) -> tuple[str, tuple[int, ...]]:
+        """The restored form of one lower-cased token ('' if nothing of it is a word), and its features."""
         got = self.memory.get(token)
         if got is None:
-            core = _EDGE.sub("", token)
-            plain = _PLAIN.fullmatch(core) and not _TRIPLE.search(core)
-            got = core if plain else self.decode(core) if any(c.isalpha() or c in LOOKALIKE for c in core) else ""
+            plain = token.isalpha() and not _TRIPLE.search(token)
+            core = token if plain else _EDGE.sub("", token)
+            if not (plain or _PLAIN.fullmatch(core) and not _TRIPLE.search(core)):
+                core = self.decode(core) if any(c.isalpha() or c in LOOKALIKE for c in core) else ""
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            self.memory[token] = got
+            codes = hashed(core) if core else ()
+            got = self.memory[token] = core, codes if self.only is None else tuple(k for k in codes if k in self.only)
         return got
 
-    def words(self, text: str | None) -> set[str]:
-        """The restored words of a text; letters that are spaced out also as the word they make."""
+    def tokens(self, text: str | None) -> set[str]:
+        """The lower-cased tokens of a text; letters that are spaced out also as one token."""
         tokens = (text or "").lower().split()
-        found = {self.word(t) for t in set(tokens)}
-        begin = None
+        found, begin = set(tokens), None
         for i, t in enumerate([*tokens, "--"]):
-            single = len(t) == 1 and (t.isalpha() or t in LOOKALIKE) or len(t) == 2 and t[0].isalpha() and t[1] in ".,-_*"
+            single = len(t) < 3 and (len(t) == 1 and (t.isalpha() or t in LOOKALIKE) or len(t) == 2 and t[0].isalpha() and t[1] in ".,-_*")
             if single and begin is None:
                 begin = i
             elif not single and begin is not None:
                 if i - begin >= 3:
-                    found.add(self.word(" ".join(tokens[begin:i]).strip()))
+                    found.add(" ".join(tokens[begin:i]))
                 begin = None
-        found.discard("")
         return found
 
+    def word(self, token: str) -> str:
+        return self.restored(token)[0]
+
+    def words(self, text: str | None) -> set[str]:
+        """The restored words of a text."""
+        return {self.restored(t)[0] for t in self.tokens(text)} - {""}
+
     def restore(self, text: str | None) -> str:
         """A text of the restored tokens, in order, joined by blanks."""
         return " ".join(w for t in (text or "").lower().split() if (w := self.word(t)))
 
     def numbers(self, text: str | None) -> np.ndarray:
-        """The hashed numbers of the features that a text has."""
-        return np.unique(np.array([k for w in self.words(text) for k in hashed(w)], np.int64))
+        """The hashed numbers of the features that a text has, ascending."""
+        found: set[int] = set()
+        known = self.memory.get
+        for t in self.tokens(text):
+            if codes := (known(t) or self.restored(t))[1]:
+                found.update(codes)
+        return np.fromiter(sorted(found), np.int64, len(found))
 
 
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -253,6 +267,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def score_toxicity(docs: DataFrame, model: tuple[Restorer, np.ndarray, float], *, text_col: str = "text") -> DataFrame:
     """``docs`` with one more column ``toxicity``, 0 to 1."""
     restorer, weights, const = model
+    restorer = Restorer(restorer.cost, frozenset(np.flatnonzero(weights).tolist()))
 
     @F.pandas_udf("double")
     def score(texts):
