@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from meshlark.plans import dynamics, fields, scoring  # noqa: F401  (they register themselves)
+from meshlark.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "sensor_interval_obs"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "ensemble_scores"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
