@@ -114,8 +114,10 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
 
     The first posterior takes one bad vote for bad: labellers are asked to vote bad only on
     plain evidence. Probabilities are smoothed, so a labeller that never votes one way still
-    leaves every pattern possible.
+    leaves every pattern possible. Without any pattern there is nothing to fit.
     """
+    if not len(codes):
+        return {}
     seen = unpacked(codes)
     good = np.where((seen == BAD).any(1), 0.1, np.where((seen == GOOD).any(1), 0.95, 0.5))
     one_hot = seen[:, :, None] == np.arange(3)
@@ -123,6 +125,11 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
         mass = np.stack([counts * (1 - good), counts * good])
         prior = (mass.sum(1) + 1) / (mass.sum() + 2)
         table = (np.einsum("cn,nkv->ckv", mass, one_hot) + 0.5) / (mass.sum(1)[:, None, None] + 1.5)
+        # A vote never speaks against what it says: where counts would have it so, it says nothing.
+        pooled = (table * mass.sum(1)[:, None, None]).sum(0) / mass.sum()
+        for vote, wrong in ((BAD, table[0, :, BAD] < table[1, :, BAD]), (GOOD, table[1, :, GOOD] < table[0, :, GOOD])):
+            table[:, wrong, vote] = pooled[wrong, vote]
+        table /= table.sum(2, keepdims=True)
         log = np.log(prior)[:, None] + np.einsum("nkv,ckv->cn", one_hot, np.log(table))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         done = np.abs(new - good).max(initial=0) < 1e-9
@@ -171,7 +178,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_scorer(rows: list, posterior: dict[int, float], rounds: int = 300) -> np.ndarray:
     """Weights of the hashed features and, last, the constant: logistic regression on posteriors."""
-    size = np.array([len(r["at"]) for r in rows])
+    size = np.array([len(r["at"]) for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), size)
     at = np.concatenate([np.array(r["at"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
     value = np.concatenate([np.array(r["value"], float) for r in rows]) if rows else np.zeros(0)
@@ -190,6 +197,7 @@ def score_quality(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FI
     """``docs`` with two more columns: ``quality_posterior`` (label model) and ``quality_score``, 0 to 1."""
     text = F.col(text_col).cast("binary").alias("text")
     patterns = docs.select(text).mapInArrow(_votes, "votes long").groupBy("votes").count().where("votes >= 0").collect()
+    patterns = sorted(patterns, key=lambda r: r["votes"])
     counts = np.array([r["count"] for r in patterns], float)
     posterior = fit_label_model(np.array([r["votes"] for r in patterns], np.int64).reshape(-1), counts)
     sample = bounded_sample(docs.select(text), F.col("text"), fit_rows, int(counts.sum()))
