@@ -229,11 +229,11 @@ def _candidates(window: int, unit: int):
                 np.add.at(inside, np.maximum(at + length - window, 0), 1)
                 np.add.at(inside, np.minimum(at, n - window) + 1, -1)
                 start = np.flatnonzero(np.cumsum(inside[: n - window + 1]) > 0)
-                out[0].append(start)
+                out[0].append(start.astype(np.int32))
                 for lane in (0, 1):
                     out[1 + lane].append(window_names(np.ascontiguousarray(both[:, lane]), window)[start].view(np.int64))
             part = batch.slice(low, high - low)
-            cols = [part.column(0), part.column(1), *(pa.array(o, pa.list_(pa.int64())) for o in out)]
+            cols = [part.column(0), part.column(1), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(o, pa.list_(pa.int64())) for o in out[1:])]
             yield pa.RecordBatch.from_arrays(cols, ["th", "tg", "start", "w1", "w2"])
 
     return run
@@ -260,6 +260,23 @@ def _kept(window: int):
     return run
 
 
+def repeated_starts(windows: DataFrame) -> DataFrame:
+    """``(row, start)`` of the windows ``(row, start, w1, w2)`` whose name, both halves, occurs at least twice.
+
+    Only the first half travels twice. Where different second halves share a first, which the counts
+    tell, both halves decide.
+    """
+    counts = windows.groupBy("w1").agg(F.count(F.lit(1)).alias("n"), (F.min("w2") != F.max("w2")).alias("clash"))
+    counts = materialise(counts.where("n > 1").select("w1", "clash"), "repeats")
+    found = windows.select("row", "start", "w1").join(counts.where("not clash").select("w1"), "w1").select("row", "start")
+    clash = counts.where("clash").select("w1")
+    if clash.isEmpty():
+        return found
+    unclear = materialise(windows.join(clash, "w1"), "clashes")
+    pairs = unclear.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+    return found.union(unclear.join(materialise(pairs, "repeats"), ["w1", "w2"]).select("row", "start"))
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256)``, a row for each row of ``docs``.
 
@@ -277,18 +294,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each = texts.select("th", "tg", "copies", F.explode("keys").alias("key"))
     # How often a key is kept, and by how many texts it may be (1: by one text only).
     count = each.groupBy("key").agg(F.sum("copies").alias("total"), F.min("th").alias("low"), F.max("th").alias("high"))
-    shared = count.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("several"))
+    shared = materialise(count.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("several")), "shared-keys")
     known = each.join(shared, "key").where("several or copies = 1").groupBy("th", "tg").agg(F.collect_set("key").alias("shared"))
     known = materialise(known, "shared")
 
     revealed = rows.join(known, ["th", "tg"]).select("th", "tg", "text", "shared")
-    candidate = materialise(revealed.mapInArrow(_candidates(window, unit), "th long, tg long, start array<long>, w1 array<long>, w2 array<long>"), "candidates")
-    every = candidate.select("th", "tg", F.explode(F.arrays_zip("start", "w1", "w2")).alias("w")).select("th", "tg", "w.*")
-    repeated = materialise(every.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "repeats")
-
+    candidate = revealed.mapInArrow(_candidates(window, unit), "th long, tg long, start array<int>, w1 array<long>, w2 array<long>")
+    candidate = materialise(candidate.withColumn("row", F.monotonically_increasing_id()), "candidates")
     copied = texts.where("copies > 1").select("th", "tg", "copies")
-    single = every.join(copied, ["th", "tg"], "left_anti")
-    places = materialise(single.join(repeated, ["w1", "w2"]).groupBy("th", "tg").agg(F.collect_set("start").alias("start")), "places")
+    asked = candidate.join(copied, ["th", "tg"], "left_anti").select("row", "th", "tg")
+    starts = repeated_starts(candidate.select("row", F.explode(F.arrays_zip("start", "w1", "w2")).alias("w")).select("row", "w.*"))
+    places = materialise(starts.groupBy("row").agg(F.collect_set("start").alias("start")).join(asked, "row").select("th", "tg", "start"), "places")
     partly = rows.join(places, ["th", "tg"]).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
     partly = partly.select("th", "tg", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
