@@ -145,6 +145,8 @@ def block_draws(sources: DataFrame, *, slots: int = SLOTS, most: int = 3, seed:
     counts = materialise(shard_counts(sources, slots=slots, seed=seed), "counts")
     before = F.sum("count").over(Window.partitionBy("number").orderBy("shard")) - F.col("count")
     placed = counts.withColumn("start", before).where("count > 0")
+    # Few rows become many here: deal them out first, to a number of tasks that is not merged again.
+    placed = placed.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "shard")
     slot = placed.select("number", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("j"))
     drawn = slot.join(F.broadcast(sources.select("number", "blocks")), "number").where(F.col("j") < most * F.col("blocks"))
     epoch = F.floor(F.col("j") / F.col("blocks"))
