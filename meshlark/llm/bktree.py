@@ -1,4 +1,4 @@
-"""Forests of BK-trees over 64-bit fingerprints, built and searched level by level in numpy.
+"""Forests of BK-trees over fingerprints of 64 bits or several such words, built and searched level by level in numpy.
 
 A node's children are keyed by their integer Hamming distance to it. A search from a node at
 distance ``d`` follows only the edges ``d - radius .. d + radius``: by the triangle inequality
@@ -9,23 +9,23 @@ from __future__ import annotations
 
 import numpy as np
 
-#: One more than the largest distance, so that (node, edge) packs into one integer.
-EDGES = 65
 #: Most (query, node) pairs that a search holds at once, by an upper bound from shard sizes.
 FRONTIER = 1 << 22
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distance of two uint64 arrays."""
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Hamming distances of the rows of two uint64 matrices."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 class BKForest:
     """One BK-tree for each run of equal ``shard`` (values within a shard are distinct)."""
 
     def __init__(self, values: np.ndarray, shard: np.ndarray):
-        self.values = values
         n = len(values)
+        self.values = values = values.reshape(n, -1) if n else values.reshape(0, 1)
+        # One more than the largest distance, so that (node, edge) packs into one integer.
+        self.edges = 64 * values.shape[1] + 1
         head = np.r_[True, shard[1:] != shard[:-1]] if n else np.zeros(0, bool)
         starts = np.flatnonzero(head)
         self.size = np.diff(np.r_[starts, n])[np.cumsum(head) - 1] if n else np.zeros(0, np.int64)
@@ -36,7 +36,7 @@ class BKForest:
             first = np.r_[True, group[1:] != group[:-1]]
             parents = nodes[first][np.cumsum(first) - 1][~first]
             nodes = nodes[~first]
-            group = parents * EDGES + distance(values[nodes], values[parents])
+            group = parents * self.edges + distance(values[nodes], values[parents])
             key[nodes] = group  # the last one stands: a node stops moving when it heads a group
             order = np.argsort(group, kind="stable")
             nodes, group = nodes[order], group[order]
@@ -60,8 +60,8 @@ class BKForest:
                 hit = (d <= radius) & (node < query)
                 if hit.any():
                     yield node[hit], query[hit]
-                low = np.searchsorted(self.keys, node * EDGES + np.maximum(d - radius, 0), "left")
-                many = np.searchsorted(self.keys, node * EDGES + np.minimum(d + radius, EDGES - 1), "right") - low
+                low = np.searchsorted(self.keys, node * self.edges + np.maximum(d - radius, 0), "left")
+                many = np.searchsorted(self.keys, node * self.edges + np.minimum(d + radius, self.edges - 1), "right") - low
                 at = np.arange(many.sum()) + np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many)
                 node, query = self.children[at], np.repeat(query, many)
 

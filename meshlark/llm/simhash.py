@@ -10,6 +10,11 @@ fingerprints become one BK-tree, sent to the task that searches it. A shard of m
 ``SHARD`` fingerprints is split into blocks, and a tree is built for each pair of its blocks,
 so no task depends on how full a shard is. Nothing is capped and no link is lost.
 
+Wide fingerprints. Documents of Jaccard similarity 0.8 differ in about 10 of 64 bits, which no exact sharding
+of 64 bits makes cheap. With ``similarity``, a fingerprint has ``WORDS`` words of 64 bits; distinct ones meet in
+shards of equal bands of 16 bits (of 32 bands, texts of similarity 0.8 share one with a probability of 0.91, of
+0.9 with 0.997), and BK-trees search these shards with the radius that the similarity implies.
+
 A task returns a spanning forest of the links that it found instead of the links; the forests
 are joined by :func:`meshlark.llm.components.connected_components`.
 
@@ -21,6 +26,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,42 +42,59 @@ from meshlark.llm.components import connected_components
 
 SEED = 42
 SHARD = 2048
+#: Words of a wide fingerprint, and how far below the wished similarity its radius lies, for noise of the bits.
+WORDS, SLACK = 8, 0.02
 #: Shingles whose bits are counted at once, so that a very long text needs no more memory.
 VOTES = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The 64-bit SimHash of one text, unsigned."""
+def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """The SimHash of one text, ``words`` times 64 bits. The first word votes with the shingles' hashes, others with mixes of them."""
     tokens = (text or b"").translate(LOWER).split()
+    out = np.zeros(words, np.uint64)
     if not tokens:
-        return 0
+        return out
     joined, n = b" ".join(tokens), max(1, len(tokens) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     if n == 1:
-        return digest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    begins = np.r_[0, ends[:-1] + 1][:n].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[b:e], SEED) for b, e in zip(begins, ends, strict=True)), np.uint64, n)
-    votes = np.zeros(64, np.int64)
-    for k in range(0, n, VOTES):
-        part = hashes[k : k + VOTES].astype("<u8")
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id, text_hash long, fp long)`` for every row; ``fp`` holds the 64 bits as a signed long."""
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        begins = np.r_[0, ends[:-1] + 1][:n].tolist()
+        ends = ends[shingle - 1 :].tolist()
+        hashes = np.fromiter((digest(joined[b:e], SEED) for b, e in zip(begins, ends, strict=True)), np.uint64, n)
+    for k in range(words):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, n, VOTES):
+            part = mixed(hashes[at : at + VOTES], k).astype("<u8")
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        out[k] = int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
+    return out
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes of hashes; the 0-th leaves them as they are."""
+    if not k:
+        return hashes
+    x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """``(id, text_hash long, fp)`` for every row; ``fp`` is a signed long, or binary of several words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
+            fps = [fingerprint(t, shingle, words) for t in batch.column(1).to_pylist()]
+            col = pa.array([f.view(np.int64)[0] for f in fps], pa.int64()) if words == 1 else pa.array([f.tobytes() for f in fps], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), col], ["id", "text_hash", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), _text_hash(text_col).alias("text_hash"))
-    return narrow.mapInArrow(run, f"id {kind}, text_hash long, fp long")
+    return narrow.mapInArrow(run, f"id {kind}, text_hash long, fp {'long' if words == 1 else 'binary'}")
 
 
 def _text_hash(text_col: str) -> Column:
@@ -86,73 +109,110 @@ def _masks(radius: int) -> list[int]:
 
 
 def _forest_edges(radius: int):
-    """A function for ``mapInArrow`` over rows sorted by shard; holds one batch and one shard."""
+    """A function for ``mapInArrow`` over rows sorted by shard, of four key columns, node and fingerprint.
+
+    It holds one batch and one shard.
+    """
 
-    def edges(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        forest = BKForest(fp.view(np.uint64), shard)
+    def edges(shard: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        forest = BKForest(fp, shard)
         root = roots(len(fp), forest.links(radius))
         moved = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["a", "b"])
+
+    def words(col: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(col.type):
+            return col.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [np.zeros(0, np.int64) for _ in range(5)]
+        cols: list[np.ndarray] = []
         for batch in batches:
-            cols = [np.r_[old, new.to_numpy(zero_copy_only=False)] for old, new in zip(cols, batch.columns, strict=True)]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
-            change = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
-            shard = np.r_[0, np.cumsum(change)]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]] + [words(batch.column(5))]
+            cols = [np.concatenate(pair) for pair in zip(cols, new, strict=True)] if cols else new
+            shard = np.r_[0, np.cumsum(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))]
             done = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
             if done:
-                yield edges(shard[:done], cols[4][:done])
+                yield edges(shard[:done], cols[4][:done], cols[5][:done])
                 cols = [c[done:] for c in cols]
-        if len(cols[0]):
-            change = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
-            yield edges(np.r_[0, np.cumsum(change)], cols[4])
+        if cols:
+            shard = np.r_[0, np.cumsum(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))]
+            yield edges(shard, cols[4], cols[5])
 
     return run
 
 
-def near_edges(distinct: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
-    """``(a, b)``: a spanning forest of all links between the distinct ``fp`` of the input."""
-    masks = F.array(*[F.struct(F.lit(k).cast("long").alias("pair"), F.lit(m).cast("long").alias("mask")) for k, m in enumerate(_masks(radius))])
-    rows = distinct.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.pair").alias("pair"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("bits"))
+def block_shards(radius: int) -> Column:
+    """Shards that hold every pair of 64-bit fingerprints within ``radius``: by two of ``radius + 2`` blocks."""
+    masks = [F.struct(F.lit(k).cast("long").alias("pair"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(_masks(radius))]
+    return F.array(*masks)
+
+
+def band_shards(words: int) -> Column:
+    """Shards of wide fingerprints: by each band of 16 bits."""
+    bands = [F.struct(F.lit(k).cast("long").alias("pair"), F.xxhash64(F.substring("fp", 2 * k + 1, 2)).alias("bits")) for k in range(4 * words)]
+    return F.array(*bands)
+
+
+def near_edges(distinct: DataFrame, shards: Column, radius: int, shard: int = SHARD) -> DataFrame:
+    """``(a, b)``: a spanning forest of the links within shards between the ``(node, fp)`` of the input."""
+    rows = distinct.select("node", "fp", F.explode(shards).alias("m")).select("node", "fp", "m.*")
     full = rows.groupBy("pair", "bits").count().where(F.col("count") > shard)
     blocks = full.select("pair", "bits", F.ceil(F.col("count") / shard).cast("long").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp", "pair"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("node", "pair"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = (
         rows.join(blocks, ["pair", "bits"], "left")
-        .select("pair", "bits", "fp", F.coalesce(own, F.lit(0)).cast("long").alias("own"), other.alias("other"))
-        .select("pair", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        .select("pair", "bits", "node", "fp", F.coalesce(own, F.lit(0)).cast("long").alias("own"), other.alias("other"))
+        .select("pair", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
     )
     keys = ["pair", "bits", "i", "j"]
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_forest_edges(radius), "a long, b long")
 
 
+def wide_radius(similarity: float, words: int) -> int:
+    """Differing bits at which texts of that Jaccard similarity are expected, for fingerprints of so many words."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * words * math.acos(cosine) / math.pi)
+
+
 def simhash_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard: int = SHARD
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    radius: int = 4,
+    shard: int = SHARD,
+    similarity: float | None = None,
+    words: int = WORDS,
 ) -> DataFrame:
     """``(id, text_hash, fp, root, component)``, a row for each row of ``docs``.
 
-    ``root`` names the group; ``component`` is the least id reachable in it.
+    ``root`` names the group; ``component`` is the least id reachable in it. With ``similarity``, texts link
+    by wide fingerprints of ``words`` words, at the radius of a Jaccard similarity a little below it.
     """
-    fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    names = connected_components(near_edges(distinct.select("fp"), radius, shard)).select(F.col("node").alias("fp"), "root")
-    named = distinct.join(names, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    wide = similarity is not None
+    fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words if wide else 1), "simhash")
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id() if wide else F.col("fp")), "distinct")
+    shards, radius = (band_shards(words), wide_radius(similarity - SLACK, words)) if wide else (block_shards(radius), radius)
+    names = connected_components(near_edges(distinct.select("node", "fp"), shards, radius, shard))
+    named = distinct.join(names, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     groups = materialise(named.join(least, "root").select("fp", "root", "component"), "groups")
     return fps.join(groups, "fp").select("id", "text_hash", "fp", "root", "component")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns.
 
     It is a row of the group's least id; where several rows of a group have that id (or all
     have none), the one whose text hashes lowest, and any one of equal texts.
     """
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
+    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, **options)
     first = groups.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("text_hash").alias("__hash"), F.first("id").alias("__id"))
     first = first.select("__hash", "__id").distinct()
     marked = docs.withColumn("__text_hash", _text_hash(text_col))

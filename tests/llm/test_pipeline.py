@@ -32,7 +32,7 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
 
     two = stage[names[1]](spark, one, d)
     ids = {r.doc_id for r in two.collect()}
-    groups = simhash.simhash_groups(one, shingle=5).collect()
+    groups = simhash.simhash_groups(one, shingle=5, similarity=0.8).collect()
     assert two.count() == len({r.root for r in groups})
     assert set(range(100, 140)) <= ids and not {500, 501} & ids and 2 not in ids
 

@@ -30,7 +30,9 @@ def closure(fps, radius):
 
 @given(st.one_of(st.none(), st.text(alphabet="aB c\t\né漢", max_size=60)))
 def test_fingerprint_is_the_definition(text):
-    assert simhash.fingerprint(None if text is None else text.encode()) == plain(text)
+    raw = None if text is None else text.encode()
+    assert simhash.fingerprint(raw)[0] == plain(text)
+    assert simhash.fingerprint(raw, 4, 3)[0] == plain(text)
 
 
 @settings(max_examples=40, deadline=None)
@@ -66,6 +68,31 @@ def test_groups_match_brute_force_with_full_shards(spark):
         assert sorted(((r.id, r.fp % 2**64, r.component) for r in got), key=str) == want
 
 
+def near_copies(seed=9, groups=25, copies=4, n=200):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 5000, n)]
+        for c in range(copies):
+            words = list(base)
+            for at in rng.integers(0, n, c):  # c words replaced: Jaccard of about (196 - 5c) / (196 + 5c)
+                words[at] = f"e{g}x{c}x{at}"
+            rows.append((100 * g + c, " ".join(words), None, None, None))
+    return rows
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    rows = near_copies()
+    sets = {r[0]: {tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)} for r in rows}
+    for shard in (2048, 5):
+        got = {r.id: r.component for r in simhash.simhash_groups(frame(spark, rows), shingle=5, similarity=0.8, shard=shard).collect()}
+        close = [(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+        assert len(close) > 50 and np.mean([got[a] == got[b] for a, b in close]) > 0.9
+        assert all(got[a] // 100 == a // 100 for a in got)
+    kept = simhash.keep_one(frame(spark, rows + awkward()), shingle=5, similarity=0.8)
+    assert 25 <= kept.where("doc_id is null or doc_id >= 100 or doc_id = 0").count() < 45
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = frame(spark)
     kept = simhash.keep_one(docs, shingle=4)
