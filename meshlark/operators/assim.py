@@ -209,3 +209,19 @@ def run_windows(prior: DataFrame, windows: list, assimilate: Callable, carry: Ca
 def error_column(sigma: float) -> Column:
     """The observation error's standard deviation: the covariance is diagonal, one column says it all."""
     return F.lit(float(sigma))
+
+
+def pin_knots(params: DataFrame, pinned: bool) -> tuple[DataFrame, DataFrame]:
+    """Parameters in time as augmented rows, and the knots left out: the first one, where it is pinned.
+
+    ``params(name, knot, member, value)``; rows are named ``name_knot``, knots of one name together.
+    """
+    free = params.where(F.col("knot") > 0) if pinned else params
+    rows = free.select(F.concat_ws("_", "name", "knot").alias("row_id"), "name", "knot", "member", "value")
+    return rows, params.where(F.col("knot") == 0) if pinned else params.where(F.lit(False))
+
+
+def unpin_knots(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The inverse of :func:`pin_knots`, from updated rows ``(row_id, member, value)``."""
+    name, knot = F.regexp_extract("row_id", r"^(.*)_(\d+)$", 1), F.regexp_extract("row_id", r"^(.*)_(\d+)$", 2).cast("long")
+    return rows.select(name.alias("name"), knot.alias("knot"), "member", "value").unionByName(kept.select("name", "knot", "member", "value"))

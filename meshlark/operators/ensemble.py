@@ -120,3 +120,43 @@ def even_members(members: int, n: int) -> list[int]:
 def status_column(condition: Column) -> Column:
     """Whether a member ran through: a null condition counts as failure."""
     return F.coalesce(condition, F.lit(False))
+
+
+def merge_params(existing: DataFrame, new: DataFrame, inflow: list[str], keys: list[str]) -> DataFrame:
+    """``existing(keys, name, value)`` with the inflow parameters of ``new`` in place of its own, or added."""
+    fresh = new.where(F.col("name").isin(inflow)).select(*keys, "name", F.col("value").alias("__new"))
+    return existing.join(fresh, [*keys, "name"], "full").select(*keys, "name", F.coalesce("__new", "value").alias("value"))
+
+
+def merge_positions(left: DataFrame, right: DataFrame, index: list[str]) -> DataFrame:
+    """Tables of one grid side by side, cells matched by index; columns that both have are the left one's."""
+    new = [c for c in right.columns if c not in left.columns]
+    return left.join(right.select(*index, *new), index)
+
+
+def constant_params(params: DataFrame, constants: dict[str, float], member: str = "member") -> DataFrame:
+    """``params(member, name, value)`` with constants that every member has; its own values stay."""
+    added = params.select(member).distinct().select(member, F.explode(F.create_map(*[c for n, v in constants.items() for c in (F.lit(n), F.lit(float(v)))])).alias("name", "value"))
+    return params.unionByName(added.join(params, [member, "name"], "left_anti"))
+
+
+def lookup(facets: DataFrame, types: DataFrame, key: str, value: str, default: float = 0.0) -> DataFrame:
+    """``facets`` with the first value of its type; ``default`` for types that are not listed.
+
+    ``types(key, position, value)`` is a small dimension.
+    """
+    first = types.groupBy(key).agg(F.min_by(value, "position").alias(value))
+    return facets.join(F.broadcast(first), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def rollout(states: DataFrame, params: DataFrame, model: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, steps: int, member: str = "m") -> DataFrame:
+    """``steps`` steps of a one-step model in one grouped pass for each member: rows with ``step`` from 1."""
+
+    def run(state: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for step in range(1, steps + 1):
+            state = model(state, own)
+            out.append(state.assign(step=step))
+        return pd.concat(out)
+
+    return states.groupBy(member).cogroup(params.groupBy(member)).applyInPandas(run, f"{schema}, step long")

@@ -228,3 +228,30 @@ def strided_nodes(points: DataFrame, n: int, count: int) -> DataFrame:
     """Up to ``n`` of ``count`` points, evenly by stride."""
     stride = max(1, count // n)
     return points.where((F.col("point") % stride == 0) & (F.col("point") / stride < n))
+
+
+def fluid_cells(mesh: DataFrame, xs: DataFrame, ys: DataFrame, zs: DataFrame) -> DataFrame:
+    """``(i, j, k, fluid)`` of all cells: 0 inside the closed mesh, by the number of surfaces above.
+
+    Surfaces over a column are few, whatever the mesh's size; each cell counts those above it.
+    """
+    near = mesh.join(F.broadcast(xs), F.col("x").between(F.least("x1", "x2", "x3"), F.greatest("x1", "x2", "x3")))
+    near = near.join(F.broadcast(ys), F.col("y").between(F.least("y1", "y2", "y3"), F.greatest("y1", "y2", "y3")))
+    area = (F.col("y2") - F.col("y3")) * (F.col("x1") - F.col("x3")) + (F.col("x3") - F.col("x2")) * (F.col("y1") - F.col("y3"))
+    safe = F.nullif(area, F.lit(0.0))
+    a = ((F.col("y2") - F.col("y3")) * (F.col("x") - F.col("x3")) + (F.col("x3") - F.col("x2")) * (F.col("y") - F.col("y3"))) / safe
+    b = ((F.col("y3") - F.col("y1")) * (F.col("x") - F.col("x3")) + (F.col("x1") - F.col("x3")) * (F.col("y") - F.col("y3"))) / safe
+    # Two triangles that share an edge over a centre are one surface there.
+    hits = near.where((a >= 0) & (b >= 0) & (a + b <= 1)).select("i", "j", F.round(a * F.col("z1") + b * F.col("z2") + (1 - a - b) * F.col("z3"), 9).alias("z"))
+    surfaces = hits.groupBy("i", "j").agg(F.collect_set("z").alias("surfaces"))
+    n_x, levels = xs.count(), F.array(*[F.struct(F.lit(r["k"]).cast("long").alias("k"), F.lit(float(r["z"])).alias("z")) for r in zs.collect()])
+    cells = ys.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_x - 1).cast("long")))).select("i", "j", F.explode(levels).alias("c"))
+    above = F.size(F.filter(F.coalesce("surfaces", F.array().cast("array<double>")), lambda z: z > F.col("c.z")))
+    return cells.join(surfaces, ["i", "j"], "left").select("i", "j", "c.k", (1 - above % 2).cast("long").alias("fluid"))
+
+
+def prepare(mesh: DataFrame, *, low: tuple[float, float], high: tuple[float, float], degrees: float = 0.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """A case's mesh: cropped, cleaned, turned, moved to its origin and seated on the floor."""
+    out = rotate(clean(crop(mesh, low, high)), degrees)
+    moved = {f"{a}{k}": F.col(f"{a}{k}") - o for a, o in zip("xyz", origin) for k in (1, 2, 3)}
+    return seat_floor(out.withColumns(moved))

@@ -107,20 +107,19 @@ def axis_weights(axes: DataFrame, points: DataFrame, axis: str, point_col: str |
     coordinate raise an error. Returns the points with ``lo_<axis>``, ``hi_<axis>``, ``w_<axis>``.
     """
     p = F.col(point_col or axis)
-    here = axes.where(F.col("axis") == axis)
-    order = Window.partitionBy("axis").orderBy("k")
-    step = here.withColumn("hi", F.lead("k").over(order)).withColumn("next", F.lead("coord").over(order))
-    step = step.withColumn("is_first", F.lag("k").over(order).isNull()).withColumn("is_last", F.lead("hi").over(order).isNull())
-    facts = here.join(step.where("hi is not null").select("axis", (F.col("next") - F.col("coord")).alias("gap")), "axis", "left")
-    facts = facts.groupBy("axis").agg(F.min("coord").alias("c_min"), F.max("coord").alias("c_max"), F.median("gap").alias("typical"), F.min("gap").alias("least_gap"))
-    inside = ((F.col("is_first")) | (p >= F.col("coord"))) & ((F.col("is_last")) | (p < F.col("next")))
-    steps = step.where("hi is not null").join(F.broadcast(facts), "axis").drop("axis")
-    got = points.join(F.broadcast(steps), inside)
-    weight = (p - F.col("coord")) / (F.col("next") - F.col("coord"))
+    # Names of the points' own columns cannot clash with these.
+    here = axes.where(F.col("axis") == axis).select(F.lit(1).alias("__one"), F.col("k").alias("__k"), F.col("coord").alias("__c"))
+    order = Window.partitionBy("__one").orderBy("__k")
+    step = here.withColumn("__hi", F.lead("__k").over(order)).withColumn("__next", F.lead("__c").over(order))
+    step = step.withColumn("__first", F.lag("__k").over(order).isNull()).withColumn("__last", F.lead("__hi").over(order).isNull())
+    facts = step.groupBy("__one").agg(F.min("__c").alias("__low"), F.max("__c").alias("__high"), F.median(F.col("__next") - F.col("__c")).alias("__gap"), F.min(F.col("__next") - F.col("__c")).alias("__least"))
+    steps = step.where("__hi is not null").join(F.broadcast(facts), "__one")
+    got = points.join(F.broadcast(steps), (F.col("__first") | (p >= F.col("__c"))) & (F.col("__last") | (p < F.col("__next"))))
+    weight = (p - F.col("__c")) / (F.col("__next") - F.col("__c"))
     if check:
-        wrong = (F.col("least_gap") <= 0) | (p < F.col("c_min") - F.col("typical") / 2) | (p > F.col("c_max") + F.col("typical") / 2)
+        wrong = (F.col("__least") <= 0) | (p < F.col("__low") - F.col("__gap") / 2) | (p > F.col("__high") + F.col("__gap") / 2)
         weight = F.when(wrong, F.raise_error(F.concat(F.lit(f"a point is outside the axis {axis}, or the axis does not ascend: "), p.cast("string"))).cast("double")).otherwise(weight)
-    return got.select(*points.columns, F.col("k").alias(f"lo_{axis}"), F.col("hi").alias(f"hi_{axis}"), weight.alias(f"w_{axis}"))
+    return got.select(*points.columns, F.col("__k").alias(f"lo_{axis}"), F.col("__hi").alias(f"hi_{axis}"), weight.alias(f"w_{axis}"))
 
 
 def corner_weights(axes: DataFrame, points: DataFrame, dims: tuple[str, ...] = ("x", "y", "z"), **options) -> DataFrame:
@@ -193,3 +192,42 @@ def attach_blanking(state: DataFrame, solid: DataFrame) -> DataFrame:
         return state
     marked = solid.select("kz", "ky", "kx").distinct().withColumn("blanking", F.lit(1).cast("long"))
     return state.join(marked, ["kz", "ky", "kx"], "left").withColumn("blanking", F.coalesce("blanking", F.lit(0)).cast("long"))
+
+
+#: Names of cell-centre axes after collocation: fixed values.
+REGULAR = {"xt": "x", "yt": "y", "zt": "z"}
+
+
+def to_regular(state: DataFrame) -> DataFrame:
+    """Centre axes under their plain names; nothing changes where they have them."""
+    return state.withColumnsRenamed({a: b for a, b in REGULAR.items() if a in state.columns and b not in state.columns})
+
+
+def limits(state: DataFrame, values: list[str]) -> DataFrame:
+    """``(var, low, high)``: the range of each variable over all finite cells and frames."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("value")) for v in values]))
+    return state.select(pairs.alias("p")).select("p.*").where(finite(F.col("value"))).groupBy("var").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def long_components(wide: DataFrame, keys: list[str], components: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
+    """Components and their magnitude as rows ``(keys, var, value)``."""
+    full = with_magnitude(wide, "vel", components)
+    names = [*components, "vel"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).alias("value")) for v in names]))
+    return full.select(*keys, pairs.alias("p")).select(*keys, "p.*")
+
+
+def sensor_series(states: DataFrame, axes: DataFrame, points: DataFrame, keys: list[str], values: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
+    """Series of all sensor sets at once, by one set of weights: ``(sensor_set, sensor, keys, var, value)``."""
+    at = interpolate_at(states, corner_weights(axes, points), list(values), ["sensor_set", "sensor", *keys])
+    return long_components(at, ["sensor_set", "sensor", *keys], values)
+
+
+def initial_fields(state: DataFrame, axes: DataFrame, target: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """Fields on another grid to start a solver from: linear, extended at the ends, without NaN.
+
+    ``target(.., x, y, z)`` are the cells of the other grid.
+    """
+    weights = corner_weights(axes, target, check=False)
+    got = interpolate_at(state, weights, values, [*keys, *target.columns], partial=True)
+    return fill_solids(got, values)

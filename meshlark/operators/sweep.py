@@ -77,3 +77,11 @@ def trajectories(rows: DataFrame, keys: list[str], value: str = "value") -> Data
 def top_rows(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
+
+
+def of_models(rows: DataFrame, models: list[str], name: str = "run") -> DataFrame:
+    """Runs whose name begins with one of the models'; all of them if none is given."""
+    keep = F.lit(not models)
+    for m in models:
+        keep = keep | F.col(name).startswith(f"{m}_") | (F.col(name) == m)
+    return rows.where(keep)

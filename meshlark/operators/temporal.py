@@ -145,3 +145,8 @@ def column_runs(solid: DataFrame, keys: list[str] = ["i", "j"], k: str = "k") ->
     """Vertical runs of solid cells as ``(keys, ks, ke)``, both ends included."""
     island = F.col(k) - F.row_number().over(Window.partitionBy(*keys).orderBy(k))
     return solid.withColumn("__g", island).groupBy(*keys, "__g").agg(F.min(k).alias("ks"), F.max(k).alias("ke")).drop("__g")
+
+
+def window_edges(windows: int, length: float) -> list[tuple[int, float, float, bool]]:
+    """``(window, start, end, shaded)`` of equal windows, every other one shaded."""
+    return [(w, w * length, (w + 1) * length, w % 2 == 1) for w in range(windows)]

@@ -534,3 +534,68 @@ def schedule_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").groupBy("event_type", big(F.day("ts")).alias("t")).agg((F.avg("value") / 10).alias("v"), F.avg("user_id").alias("a"))
     rows = rows.select("event_type", F.col("t").cast("double").alias("time"), F.round("v", 3).alias("speed"), F.round("a", 3).alias("angle"))
     return io.schedule_lines(rows).select("event_type", "line")
+
+
+@query(f"SELECT param || '_' || k AS row_id, m AS member, round(2*x,6) AS value FROM ({SERIES}) WHERE k>1 AND k<=5 UNION ALL SELECT param || '_' || 1, m, round(x,6) FROM ({SERIES}) WHERE k=1")
+def pinned_knots(spark: SparkSession, d: str) -> DataFrame:
+    """Knots as augmented rows, changed, and put back together with those that were pinned."""
+    p = series(spark, d).where("k <= 5").select(F.col("param").alias("name"), (F.col("k") - 1).alias("knot"), F.col("m").alias("member"), F.col("x").alias("value"))
+    rows, kept = assim.pin_knots(p, True)
+    back = assim.unpin_knots(rows.select("row_id", "member", (2 * F.col("value")).alias("value")), kept)
+    return back.select(F.concat_ws("_", "name", F.col("knot") + 1).alias("row_id"), "member", r6("value").alias("value"))
+
+
+@query(f"SELECT m AS member, param AS name, round(CASE WHEN param IN ('click','view') AND k2 IS NOT NULL THEN x2 ELSE x END,6) AS value FROM (SELECT * FROM ({SERIES}) WHERE k=3) a LEFT JOIN (SELECT param, m, x AS x2, k AS k2 FROM ({SERIES}) WHERE k=7) b USING (param, m) WHERE k2 IS NULL OR true UNION ALL SELECT m, param, round(x,6) FROM ({SERIES}) c WHERE k=7 AND param IN ('click','view') AND NOT EXISTS (FROM ({SERIES}) e WHERE e.k=3 AND e.param=c.param AND e.m=c.m)")
+def merge_params(spark: SparkSession, d: str) -> DataFrame:
+    p = series(spark, d).select(F.col("m").alias("member"), F.col("param").alias("name"), F.col("x").alias("value"), "k")
+    got = ensemble.merge_params(p.where("k = 3").drop("k"), p.where("k = 7").drop("k"), ["click", "view"], ["member"])
+    return got.select("member", "name", r6("value").alias("value"))
+
+
+@query(f"SELECT 'speed' AS name, e.member, e.knot, round(least(greatest((4+(8-4)*m.u)+(0.2+(0.6-0.2)*s.u)*e.z,4),8),6) AS value FROM ({_E1}) e JOIN ({_N1}) m USING (member) JOIN ({_N2}) s USING (member)")
+def external_series(spark: SparkSession, d: str) -> DataFrame:
+    members = spark.range(_MEMBERS).withColumnRenamed("id", "member").withColumn("name", F.lit("speed"))
+    paths = members.withColumn("knot", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))))
+    paths = with_noise(paths.withColumn("id", F.col("member") * 1000 + F.col("knot")), "id", normal="z")
+    for name, off in (("u_mean", 7000000), ("u_std", 8000000)):
+        members = with_noise(members.withColumn("id", F.col("member") + off), "id", uniform=name)
+    got = priors.external_series(paths.drop("id"), members.drop("id"), {"speed": {"mean": {"min": 4, "max": 8}, "std": {"min": 0.2, "max": 0.6}}})
+    return got.select("name", "member", "knot", r6("value").alias("value"))
+
+
+@query(f"SELECT m AS member, param AS name, round(x,6) AS value FROM ({SERIES}) WHERE k=3 UNION ALL SELECT DISTINCT m, 'roughness', 0.1::DOUBLE FROM ({SERIES}) WHERE k=3")
+def constant_params(spark: SparkSession, d: str) -> DataFrame:
+    p = series(spark, d).where("k = 3").select(F.col("m").alias("member"), F.col("param").alias("name"), F.col("x").alias("value"))
+    got = ensemble.constant_params(p, {"roughness": 0.1})
+    return got.select("member", "name", r6("value").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE l_returnflag WHEN 'A' THEN 0.2 WHEN 'N' THEN 0.35 ELSE 0.0 END,6) AS albedo FROM lineitem".replace("round(CASE", "round(1.0::DOUBLE*CASE"))
+def facet_lookup(spark: SparkSession, d: str) -> DataFrame:
+    types = spark.createDataFrame([("A", 0, 0.2), ("N", 1, 0.35), ("A", 2, 0.9)], "l_returnflag string, position long, albedo double")
+    got = ensemble.lookup(table(spark, d, "lineitem"), types, "l_returnflag", "albedo")
+    return got.select("l_orderkey", "l_linenumber", r6("albedo").alias("albedo"))
+
+
+@query(f"SELECT m, step, kz, ky, kx, round(u*pow(0.5, step),6) AS u FROM ({GRID}), (SELECT unnest(range(1,4)) AS step) WHERE kz=0")
+def batched_rollout(spark: SparkSession, d: str) -> DataFrame:
+    state = grid(spark, d).where("kz = 0").select(*CELL, "m", "u")
+    params = spark.range(8).select(F.col("id").alias("m"), F.lit(0.5).alias("decay"))
+
+    def step(s, p):
+        return s.assign(u=s["u"] * float(p["decay"].iloc[0]))
+
+    got = ensemble.rollout(state, params, step, "kz long, ky long, kx long, m long, u double", 3)
+    return got.select("m", "step", *CELL, r6("u").alias("u"))
+
+
+@query(f"""
+WITH c AS (SELECT i, j, k, i+0.5 AS x, j+0.5 AS y, k+0.5 AS z FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(4)) AS j), (SELECT unnest(range(5)) AS k))
+SELECT i, j, k, CAST(NOT EXISTS (FROM ({_BOX_SQL}) b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1) AS BIGINT) AS fluid FROM c
+""")
+def mesh_fluid_cells(spark: SparkSession, d: str) -> DataFrame:
+    mesh = geometry.box_triangles(_boxes(spark)).drop("box", "face").withColumn("id", F.monotonically_increasing_id())
+    xs = spark.range(5).select(F.col("id").alias("i"), (F.col("id") + 0.5).alias("x"))
+    ys = spark.range(4).select(F.col("id").alias("j"), (F.col("id") + 0.5).alias("y"))
+    zs = spark.range(5).select(F.col("id").alias("k"), (F.col("id") + 0.5).alias("z"))
+    return geometry.fluid_cells(mesh, xs, ys, zs)

@@ -272,3 +272,35 @@ def axis_origins(spark: SparkSession, d: str) -> DataFrame:
 def level_departures(spark: SparkSession, d: str) -> DataFrame:
     first = t.first_frames(timed_grid(spark, d))
     return first.select(*CELL, r6("u").alias("u"), r6(F.col("u") - F.avg("u").over(Window.partitionBy("kz"))).alias("departure"))
+
+
+@query(f"SELECT var, round(min(value),6) AS low, round(max(value),6) AS high FROM (UNPIVOT (SELECT u, v, w FROM ({TIMED})) ON u, v, w INTO NAME var VALUE value) GROUP BY var")
+def value_limits(spark: SparkSession, d: str) -> DataFrame:
+    got = g.limits(timed_grid(spark, d), ["u", "v", "w"])
+    return got.select("var", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query(f"""
+{TRILINEAR}, s AS (SELECT sensor_set, sensor, frame_idx, CASE WHEN count(*)=8 THEN sum(u*weight) END AS u, CASE WHEN count(*)=8 THEN sum(v*weight) END AS v, CASE WHEN count(*)=8 THEN sum(w*weight) END AS w
+  FROM ({TIMED}) JOIN c USING (kz,ky,kx) GROUP BY ALL), l AS (SELECT *, sqrt(u*u+v*v+w*w) AS vel FROM s)
+SELECT sensor_set, sensor, frame_idx, 'u' AS var, round(u,6) AS value FROM l UNION ALL SELECT sensor_set, sensor, frame_idx, 'v', round(v,6) FROM l
+UNION ALL SELECT sensor_set, sensor, frame_idx, 'w', round(w,6) FROM l UNION ALL SELECT sensor_set, sensor, frame_idx, 'vel', round(vel,6) FROM l
+""")
+def sensor_series(spark: SparkSession, d: str) -> DataFrame:
+    got = g.sensor_series(timed_grid(spark, d), axes(spark), sensors(spark), ["frame_idx"])
+    return got.select("sensor_set", "sensor", "frame_idx", "var", r6("value").alias("value"))
+
+
+@query(f"""
+WITH p AS (SELECT i AS i, j AS j, k AS k, i*1.5-0.25 AS x, j*1.2 AS y, k*2.0+0.5 AS z FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(3)) AS k)),
+q AS (SELECT i, j, k, {', '.join(_weights_sql(a) for a in 'xyz')} FROM p),
+c AS (SELECT i, j, k, lo_x+a AS kx, lo_y+b AS ky, lo_z+e AS kz, (CASE WHEN a=0 THEN 1-w_x ELSE w_x END)*(CASE WHEN b=0 THEN 1-w_y ELSE w_y END)*(CASE WHEN e=0 THEN 1-w_z ELSE w_z END) AS weight
+      FROM q, (VALUES (0),(1)) x(a), (VALUES (0),(1)) y(b), (VALUES (0),(1)) z(e))
+SELECT i, j, k, round(sum(u*weight),6) AS u FROM (SELECT * FROM ({GRID}) WHERE m=0) JOIN c USING (kz,ky,kx) GROUP BY ALL
+""")
+def initial_fields(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("id")
+    target = spark.range(27).select((n % 3).alias("i"), (F.floor(n / 3) % 3).alias("j"), F.floor(n / 9).alias("k"))
+    target = target.withColumns({"x": F.col("i") * 1.5 - 0.25, "y": F.col("j") * 1.2, "z": F.col("k") * 2.0 + 0.5})
+    got = g.initial_fields(grid(spark, d).where("m = 0"), axes(spark), target, ["u"], [])
+    return got.select("i", "j", "k", r6("u").alias("u"))

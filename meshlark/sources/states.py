@@ -104,3 +104,19 @@ def check_samples(states: DataFrame, params: DataFrame, wanted: list[str]) -> No
     a, b = (df.select("split", "sample").distinct() for df in (states, params))
     if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
         raise ValueError("states and parameters are of different samples")
+
+
+def driver_planes(planes: DataFrame, fill: float = -9999.0) -> DataFrame:
+    """Boundary planes of a dynamic driver: an error unless times begin at 0; missing values as a finite number."""
+    first = planes.agg(F.min("time").alias("t")).first()["t"]
+    if first != 0:
+        raise ValueError(f"a driver's first time is 0, not {first}")
+    numbers = [f.name for f in planes.schema if isinstance(f.dataType, (DoubleType, FloatType)) and f.name != "time"]
+    return planes.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(fill)) for c in numbers})
+
+
+def newest_matching(files: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
+    """Of restart files ``(path, modified, nx, ny, nz)``, the newest; an error if it is of another grid."""
+    last = files.agg(F.max(F.struct("modified", "path", "nx", "ny", "nz")).alias("f")).select("f.*")
+    fits = (F.col("nx") == grid[0]) & (F.col("ny") == grid[1]) & (F.col("nz") == grid[2])
+    return last.withColumn("path", F.when(fits, F.col("path")).otherwise(F.raise_error(F.lit("the newest restart is of another grid"))))
