@@ -469,3 +469,37 @@ def test_text_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         io.check_samples(states, states, ["angle"])
     io.check_samples(states, states, [])
+
+
+def test_small_helpers(spark):
+    assert temporal.window_edges(3, 10.0)[1] == (1, 10.0, 20.0, True)
+    runs = spark.createDataFrame([("udales_nx1",), ("palm_nx1",), ("palm",)], "run string")
+    assert sweep.of_models(runs, ["palm"]).count() == 2 and sweep.of_models(runs, []).count() == 3
+    s = spark.createDataFrame([(1.0, 2.0)], "xt double, u double")
+    assert grid.to_regular(s).columns == ["x", "u"] and grid.to_regular(grid.to_regular(s)).columns == ["x", "u"]
+    a = spark.createDataFrame([(0, 1.0), (1, 2.0)], "k long, u double")
+    b = spark.createDataFrame([(0, 9.0, 5.0), (1, 9.0, 6.0)], "k long, u double, v double")
+    assert sorted(map(tuple, ensemble.merge_positions(a, b, ["k"]).collect())) == [(0, 1.0, 5.0), (1, 2.0, 6.0)]
+    p = spark.createDataFrame([(0.0, float("nan")), (1.0, 2.0)], "time double, u double")
+    assert values(io.driver_planes(p), "u", "time") == [-9999.0, 2.0]
+    with pytest.raises(ValueError):
+        io.driver_planes(p.where("time > 0"))
+    files = spark.createDataFrame([("a", 5, 1, 2, 3), ("b", 9, 1, 2, 3)], "path string, modified long, nx long, ny long, nz long")
+    assert io.newest_matching(files, (1, 2, 3)).first().path == "b"
+    with pytest.raises(Exception, match="another grid"):
+        io.newest_matching(files, (1, 2, 4)).collect()
+    clock = scores.wall_clock(spark.createDataFrame([("r", 1, 2.0), ("r", 0, 4.0)], "run string, w long, s double"), ["run"], "s", "w").first()
+    assert (clock.total_seconds, clock.mean_window_seconds, clock.window_seconds) == (6.0, 3.0, [4.0, 2.0])
+    boxes = spark.createDataFrame([(0, 0.0, 2.0, 0.0, 1.0, 0.0, 3.0)], "box long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    mesh = geometry.box_triangles(boxes).drop("box")
+    got = geometry.prepare(mesh, low=(-1, -1), high=(5, 5), origin=(1.0, 0.0, 0.0)).agg(F.min("x1"), F.max("x1")).first()
+    assert np.allclose(got, (-1, 1))
+
+
+def test_split_samples_and_status(spark):
+    df = spark.range(4).withColumnRenamed("id", "sample")
+    got = [(r.split, r.number) for r in ensemble.split_samples(df, {"train": 2, "val": 1}).orderBy("sample").collect()]
+    assert got == [("train", 0), ("train", 1), ("val", 0), (None, None)]
+    assert df.select(ensemble.status_column(F.lit(None).cast("boolean")).alias("ok")).first().ok is False
+    params = spark.createDataFrame([(0, "a", 1.0), (1, "a", 2.0)], "member long, name string, value double")
+    assert ensemble.member_params(params, 1).columns == ["name", "value"] and ensemble.member_params(params, None).count() == 2
