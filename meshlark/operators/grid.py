@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from meshlark.functions.scalar import magnitude
 
-#: The axis that each component sits on, by solver: fixed values.
+#: The axis that each component sits on, by how a solver's grid is staggered: fixed values.
 STAGGERING = {
-    "udales": {"u": ("zt", "yt", "xm"), "v": ("zt", "ym", "xt"), "w": ("zm", "yt", "xt")},
-    "pylbm": {"u": ("z", "y", "x"), "v": ("z", "y", "x"), "w": ("z", "y", "x")},
-    "palm": {"u": ("z", "y", "xu"), "v": ("z", "yv", "x"), "w": ("z", "y", "x")},
+    "faces": {"u": ("zt", "yt", "xm"), "v": ("zt", "ym", "xt"), "w": ("zm", "yt", "xt")},
+    "centres": {"u": ("z", "y", "x"), "v": ("z", "y", "x"), "w": ("z", "y", "x")},
+    "mixed": {"u": ("z", "y", "xu"), "v": ("z", "yv", "x"), "w": ("z", "y", "x")},
 }
-#: Base parameters of each model: fixed values.
-PARAMETERS = {"udales": ["inflow_angle", "velocity_magnitude", "pressure_gradient_magnitude"], "pylbm": ["inflow_angle", "velocity_magnitude"], "palm": ["inflow_angle", "velocity_magnitude"]}
+#: Base parameters of models on these grids: fixed values.
+PARAMETERS = {"faces": ["inflow_angle", "velocity_magnitude", "pressure_gradient_magnitude"], "centres": ["inflow_angle", "velocity_magnitude"], "mixed": ["inflow_angle", "velocity_magnitude"]}
 
 
 def resolve_axis(columns: list[str], wanted: str) -> str:

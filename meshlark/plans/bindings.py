@@ -20,16 +20,25 @@ def big(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-_CELL = {"kz": F.col("l_linenumber") - 1, "ky": F.col("l_suppkey") % 4, "kx": F.col("l_partkey") % 5}
-_UVW = [F.avg("l_quantity").alias("u"), (F.avg("l_extendedprice") / 1000).alias("v"), (F.avg("l_discount") * 100).alias("w")]
+# Functions, as columns need a session and modules are imported without one.
+
+
+def _cell() -> dict[str, Column]:
+    return {"kz": F.col("l_linenumber") - 1, "ky": F.col("l_suppkey") % 4, "kx": F.col("l_partkey") % 5}
+
+
+def _uvw() -> list[Column]:
+    return [F.avg("l_quantity").alias("u"), (F.avg("l_extendedprice") / 1000).alias("v"), (F.avg("l_discount") * 100).alias("w")]
+
+
 _SQL_CELL = "CAST(l_linenumber-1 AS BIGINT) AS kz, l_suppkey%4 AS ky, l_partkey%5 AS kx"
 _SQL_UVW = "avg(l_quantity) AS u, avg(l_extendedprice)/1000 AS v, avg(l_discount)*100 AS w"
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
     """``(kz, ky, kx, m, u, v, w)``: an ensemble of 8 states on 7 x 4 x 5 cells."""
-    keys = [big(c).alias(k) for k, c in _CELL.items()] + [(F.col("l_orderkey") % 8).alias("m")]
-    return table(spark, d, "lineitem").groupBy(*keys).agg(*_UVW)
+    keys = [big(c).alias(k) for k, c in _cell().items()] + [(F.col("l_orderkey") % 8).alias("m")]
+    return table(spark, d, "lineitem").groupBy(*keys).agg(*_uvw())
 
 
 GRID = f"SELECT {_SQL_CELL}, l_orderkey%8 AS m, {_SQL_UVW} FROM lineitem GROUP BY ALL"
@@ -39,8 +48,8 @@ def timed_grid(spark: SparkSession, d: str) -> DataFrame:
     """``(frame_idx, time, kz, ky, kx, u, v, w)``: one state in frames two seconds apart."""
     orders = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
     rows = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    keys = [big(F.col("y") - 1995).alias("frame_idx")] + [big(c).alias(k) for k, c in _CELL.items()]
-    return rows.groupBy(*keys).agg(*_UVW).withColumn("time", F.col("frame_idx") * 2.0)
+    keys = [big(F.col("y") - 1995).alias("frame_idx")] + [big(c).alias(k) for k, c in _cell().items()]
+    return rows.groupBy(*keys).agg(*_uvw()).withColumn("time", F.col("frame_idx") * 2.0)
 
 
 TIMED = (
