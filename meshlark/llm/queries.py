@@ -94,4 +94,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Hash families, fitted models and pseudorandom draws are not for SQL; those queries are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, k, array_to_string(w[k:k+34], ' ') AS words FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+        again AS (SELECT r, k FROM win QUALIFY count(*) OVER (PARTITION BY words) > 1),
+        gone AS (SELECT DISTINCT r, k + j AS pos FROM again, (SELECT unnest(range(35)) AS j)),
+        word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM word ANTI JOIN gone USING (r, pos) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        s AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.r <> b.r AND len(a.e) = len(b.e) AND (a.e = b.e OR list_cosine_similarity(a.e, b.e) >= 0.9)),
+        reach AS (SELECT r, r AS t FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.t = l.a),
+        c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.t = v.r GROUP BY reach.r),
+        n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+    """,
+}
