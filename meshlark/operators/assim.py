@@ -76,14 +76,21 @@ def group_numbers(names: DataFrame, name: str, position: str) -> DataFrame:
 
 
 def flatten_state(state: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
-    """Wide cells as augmented rows, variables by name and cells in order: ``(row_id, name, keys, member, value)``."""
+    """Wide cells as augmented rows, variables by name and cells in order: ``(row_id, name, keys, member, value)``.
+
+    There are at least two keys, and few planes of the first.
+    """
     names = sorted(variables)
     cells = state.select(*keys).distinct()
-    order = cells.withColumn("__cell", F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
-    total = order.agg(F.count(F.lit(1)).alias("__n"))
+    # Ranks within planes of the first key, after the cells of the planes before: no task sorts them all.
+    planes = cells.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy(F.lit(1))
+    planes = planes.withColumn("__all", F.sum("__n").over(every)).withColumn("__before", F.sum("__n").over(every.orderBy(keys[0])) - F.col("__n"))
+    rank = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:])).cast("long") - 1
+    order = cells.withColumn("__rank", rank).join(planes, keys[0]).withColumn("__cell", F.col("__before") + F.col("__rank"))
     pairs = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(v).alias("name"), F.col(v).alias("value")) for i, v in enumerate(names)]))
-    long = state.withColumn("__p", pairs).select(*keys, "m", "__p.*").join(order, keys).withColumn("__one", F.lit(1))
-    return long.join(total.withColumn("__one", F.lit(1)), "__one").select((F.col("i") * F.col("__n") + F.col("__cell")).alias("row_id"), "name", *keys, F.col("m").alias("member"), "value")
+    long = state.withColumn("__p", pairs).select(*keys, "m", "__p.*").join(order, keys)
+    return long.select((F.col("i") * F.col("__all") + F.col("__cell")).alias("row_id"), "name", *keys, F.col("m").alias("member"), "value")
 
 
 def unflatten_state(rows: DataFrame, keys: list[str]) -> DataFrame:
