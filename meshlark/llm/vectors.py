@@ -22,6 +22,7 @@ as one; a null id never names a component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from meshlark.llm.components import connected_components
 
 #: Vectors in a block, and rows of a tile within a pair of blocks.
 BLOCK, TILE = 8192, 1024
+#: Vectors that a block has at least, about, when blocks are made smaller for more tasks.
+LEAST = 512
 #: Longest vectors whose int8 products single precision holds exactly.
 EXACT = (1 << 24) // (127 * 127)
 
@@ -114,7 +117,10 @@ def embedding_groups(
     rows = materialise(plain.withColumn("sound", F.coalesce("sound", F.lit(False))), "vectors")
     distinct = rows.where("sound").groupBy("embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding")), "distinct")
-    blocks = max(1, -(-distinct.count() // block))
+    # As few blocks as memory allows, but enough pairs of them to go round the tasks.
+    count = distinct.count()
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-count // block), min(-(-count // LEAST), math.ceil(math.sqrt(2 * tasks))))
     placed = distinct.select("node", "many", "embedding", "dims", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     pairs = placed.withColumn("other", other).select("node", "many", "embedding", "dims", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
