@@ -26,15 +26,14 @@ def reduce_intervals(state: DataFrame, seconds: float, mode: str, values: list[s
     """
     if not seconds or seconds <= 0:
         raise ValueError("intervals need a length of over 0 seconds")
-    if not run:
-        return reduce_intervals(state.withColumn("__run", F.lit(1)), seconds, mode, values, keys, run=["__run"], time=time).drop("__run")
-    start = state.groupBy(*run).agg(F.min(time).alias("__t0"))
-    based = state.join(start, run)
-    binned = based.withColumn("__bin", F.floor((F.col(time) - F.col("__t0")) / seconds))
-    bins = binned.select(*run, "__bin").distinct()
-    bins = bins.withColumn("bin", F.row_number().over(Window.partitionBy(*run).orderBy("__bin")).cast("long") - 1)
-    got = binned.groupBy(*dict.fromkeys(run + keys), "__bin").agg(*[MODES[mode](known(v)).alias(v) for v in values])
-    return got.join(bins, run + ["__bin"]).drop("__bin")
+    run = run or []
+    # Frames are few: their times, with the intervals they fall in, meet the cells in an equi-join.
+    every = Window.partitionBy(*(run or [F.lit(1)]))
+    frames = state.select(*run, time).distinct()
+    frames = frames.withColumn("__bin", F.floor((F.col(time) - F.min(time).over(every)) / seconds))
+    frames = frames.withColumn("bin", F.dense_rank().over(every.orderBy("__bin")).cast("long") - 1).drop("__bin")
+    others = [k for k in keys if k not in run]
+    return state.join(frames, [*run, time]).groupBy(*run, *others, "bin").agg(*[MODES[mode](known(v)).alias(v) for v in values])
 
 
 def obs_id(block: Column, var: Column, sensor: Column, variables: int, sensors: int) -> Column:
