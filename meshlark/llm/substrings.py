@@ -308,7 +308,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     partly = rows.join(places, ["th", "tg"]).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
     partly = partly.select("th", "tg", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
-    out = keyed.select("id", "th", "tg", "n_words", "whole_sha").join(copied, ["th", "tg"], "left").join(partly, ["th", "tg"], "left")
+    # One row for each text that loses words; rows of one text may be many, so they meet it in a single plain join.
+    fates = materialise(copied.join(partly, ["th", "tg"], "full"), "fates")
+    out = keyed.select("id", "th", "tg", "n_words", "whole_sha").join(fates, ["th", "tg"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return out.select(
         "id",
