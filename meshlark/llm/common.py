@@ -34,14 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (where or LOCAL_FALLBACK).rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meshlark/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written to the shared folder; results that read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
@@ -57,13 +67,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: Column, most: int, rows: int | None = None) -> DataFrame:
-    """About ``most`` rows of ``df`` (all, where it has no more), chosen by a hash of ``key``.
+def bounded_sample(df: DataFrame, key: str, most: int, rows: int | None = None) -> DataFrame:
+    """About ``most`` different rows of ``df`` (all, where it has no more), chosen by a hash of ``key``.
 
-    For fitting only. The same rows are chosen on every run.
+    For fitting only. The same rows are chosen on every run. Equal rows count once, so that a group of copies,
+    however large, cannot fill the sample.
     """
     rows = df.count() if rows is None else rows
-    if rows <= most:
-        return df
-    scale = 1 << 30
-    return df.where(F.pmod(F.xxhash64(key, F.lit(977)), F.lit(scale)) < int(scale * most / rows))
+    if rows > most:
+        scale = 1 << 30
+        df = df.where(F.pmod(F.xxhash64(key, F.lit(977)), F.lit(scale)) < int(scale * most / rows))
+    return df.distinct()

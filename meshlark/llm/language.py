@@ -132,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model | None:
     """The model of the rows of ``training`` that have a text with a letter and a language."""
     rows = training.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    got = bounded_sample(rows, F.col("text"), fit_rows).mapInArrow(_sets, "found array<int>, lang string").collect()
+    got = bounded_sample(rows, "text", fit_rows).mapInArrow(_sets, "found array<int>, lang string").collect()
     got = sorted(((np.array(r["found"], np.int32), r["lang"]) for r in got if r["found"]), key=lambda r: (r[1], r[0].tobytes()))
     return fit_model([f for f, _ in got], [lang for _, lang in got])
 

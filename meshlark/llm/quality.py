@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import bounded_sample, materialise
+from meshlark.llm.common import bounded_sample
 
 #: Documents that the scorer is fitted on, at most (about); hashed features.
 FIT_ROWS, HASHED = 20_000, 1 << 12
@@ -200,7 +200,7 @@ def score_quality(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FI
     patterns = sorted(patterns, key=lambda r: r["votes"])
     counts = np.array([r["count"] for r in patterns], float)
     posterior = fit_label_model(np.array([r["votes"] for r in patterns], np.int64).reshape(-1), counts)
-    sample = bounded_sample(docs.select(text), F.col("text"), fit_rows, int(counts.sum()))
+    sample = bounded_sample(docs.select(text), "text", fit_rows, int(counts.sum()))
     weights = fit_scorer(sample.mapInArrow(_sparse, "votes long, at array<long>, value array<double>").collect(), posterior)
 
     @F.pandas_udf("posterior double, score double")

@@ -17,7 +17,7 @@ reads the text alone.
 
 Defined cases: a text without words (null, empty, white space) gets the score of the constant; without
 training rows of both labels all texts get the share of toxic ones (0, where there is none); equal
-texts score alike; a document with several labels is trained on once for each; an empty table
+texts score alike; a text with both labels is trained on once for each, equal texts of one label once; an empty table
 gives an empty result.
 """
 
@@ -260,9 +260,9 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text"
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``(text, toxic)`` of at most about ``fit_rows`` labelled rows; the labels' ids are broadcast, bounded by that."""
-    chosen = bounded_sample(labels.select(F.col(id_col).alias("__id"), "toxic").where("__id is not null and toxic is not null"), F.col("__id"), fit_rows)
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).alias("text"), "toxic")
+    """Different ``(text, toxic)`` of at most about ``fit_rows`` labels; the labels' ids are broadcast, bounded by that."""
+    chosen = bounded_sample(labels.select(F.col(id_col).alias("__id"), "toxic").where("__id is not null and toxic is not null"), "__id", fit_rows)
+    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).alias("text"), "toxic").distinct()
 
 
 def score_toxicity(docs: DataFrame, model: tuple[Restorer, np.ndarray, float], *, text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+from meshlark.llm.common import materialise, release, shared_dir
 from meshlark.llm.components import connected_components
 
 
@@ -31,3 +32,11 @@ def test_chains_stars_and_loops(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tables_are_in_the_shared_folder_and_can_go(spark):
+    df = materialise(spark.range(3), "numbers")
+    assert df.count() == 3 and df.inputFiles()[0].removeprefix("file:").lstrip("/").startswith(shared_dir(spark).removeprefix("file:").lstrip("/"))
+    release(spark)
+    assert not list(__import__("pathlib").Path(shared_dir(spark)).glob("meshlark/*/numbers-*"))
+    assert materialise(spark.range(2), "numbers").count() == 2
