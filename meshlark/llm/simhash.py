@@ -43,7 +43,7 @@ from meshlark.llm.components import connected_components
 SEED = 42
 SHARD = 2048
 #: Words of a wide fingerprint, and how far below the wished similarity its radius lies, for noise of the bits.
-WORDS, SLACK = 8, 0.02
+WORDS, SLACK = 8, 0.04
 #: Shingles whose bits are counted at once, so that a very long text needs no more memory.
 VOTES = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -201,7 +201,8 @@ def simhash_groups(
     shards, radius = (band_shards(words), wide_radius(similarity - SLACK, words)) if wide else (block_shards(radius), radius)
     names = connected_components(near_edges(distinct.select("node", "fp"), shards, radius, shard))
     named = distinct.join(names, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    # Written first: a plain join of two tables is one whose hot groups adaptive execution can split.
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
     groups = materialise(named.join(least, "root").select("fp", "root", "component"), "groups")
     return fps.join(groups, "fp").select("id", "text_hash", "fp", "root", "component")
 
