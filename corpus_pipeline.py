@@ -5,8 +5,8 @@ read again as the next stage's ``docs``. All but the last return the columns of
 
 Defined cases: a null or empty text has no quality and goes in the first stage; equal rows, and
 rows that share an id, are one document to near-duplicate removal if their texts are near; what
-the mix takes no word of leaves the corpus in the fourth stage, and a document of which it takes
-words several times goes on once, whole, as packing counts documents; an empty table stays empty.
+the mix takes no word of leaves the corpus in the fourth stage, and of the others only the words that
+it takes go on, as often as it takes them, in one text a document; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix of sources takes words of."""
+    """The words that the mix of sources takes, repeats included."""
     return mixing.mixed_documents(docs)
 
 

@@ -13,7 +13,7 @@
    ``p`` is a swap-or-not shuffle of 0..n-1 keyed by source and epoch ``j div n``: a bijection
    for any n, computed for one index alone. No block is taken more than ``most`` times.
 5. *Join.* Slots meet blocks by (source, block); a document's ``taken`` is the words of it in
-   the blocks taken, repeats counted.
+   the blocks taken, repeats counted. :func:`mixed_documents` has these words themselves.
 
 Everything pseudorandom is a hash of ``seed`` and indices, so reruns agree.
 
@@ -81,10 +81,19 @@ def mix(
     seed: int = 42,
 ) -> DataFrame:
     """``(id, text_hash, source, size, source_size, target, taken)``, a row for each row of ``docs``."""
-    sized = materialise(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
-        "sizes",
-    )
+    narrow = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    located, pieces = _taken_pieces(narrow.withColumn("row", F.monotonically_increasing_id()), block=block, slots=slots, most=most, seed=seed)
+    taken = pieces.groupBy("row").agg(F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("taken"))
+    return located.join(taken, "row", "left").select("id", "text_hash", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _taken_pieces(rows: DataFrame, *, block: int, slots: int, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Where the ``(row, id, text_hash, source, size)`` lie in their sources, and ``(row, from, upto, times)`` of the words taken of them."""
+    sized = materialise(rows, "sizes")
     sized = sized.withColumn("spread", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.lit(SPREAD)))
     parts = materialise(sized.groupBy("source", "spread").agg(F.sum("size").alias("part")), "parts")
     # Per source, no more rows than SPREAD reach these windows, however many documents it has.
@@ -96,21 +105,18 @@ def mix(
 
     located = (
         sized.join(offsets, sized["source"].eqNullSafe(offsets["source"]) & (sized["spread"] == offsets["spread"]))
-        .select(sized["id"], "text_hash", sized["source"], "size", sized["spread"], "offset")
+        .select("row", sized["id"], "text_hash", sized["source"], "size", sized["spread"], "offset")
         .withColumn("end", F.sum("size").over(Window.partitionBy("source", "spread").orderBy("id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) + F.col("offset"))
         .withColumn("begin", F.col("end") - F.col("size"))
     )
     known = sources.select(F.col("source").alias("s"), "number", "source_size", "target", "blocks")
-    located = materialise(located.join(known, located["source"].eqNullSafe(known["s"])).drop("s", "offset", "spread").withColumn("row", F.monotonically_increasing_id()), "located")
+    located = materialise(located.join(known, located["source"].eqNullSafe(known["s"])).drop("s", "offset", "spread"), "located")
 
     spans = F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)))
     pieces = located.where("size > 0").select("row", "number", "begin", "end", spans.alias("block"))
-    words = F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
-    pieces = pieces.select("row", "number", "block", words.alias("words"))
-
-    taken = pieces.join(block_draws(sources, slots=slots, most=most, seed=seed), ["number", "block"])
-    taken = taken.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return located.join(taken, "row", "left").select("id", "text_hash", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    first, last = F.greatest("begin", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+    pieces = pieces.select("row", "number", "block", (first - F.col("begin")).alias("from"), (last - F.col("begin")).alias("upto"))
+    return located, pieces.join(block_draws(sources, slots=slots, most=most, seed=seed), ["number", "block"]).select("row", "from", "upto", "times")
 
 
 def shard_counts(sources: DataFrame, *, slots: int, seed: int) -> DataFrame:
@@ -154,9 +160,43 @@ def block_draws(sources: DataFrame, *, slots: int = SLOTS, most: int = 3, seed:
     return drawn.select("number", taken.alias("block")).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes any word of, each once, with all their columns."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    chosen = mix(docs, **options).where("taken > 0").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.join(chosen, marked[id_col].eqNullSafe(chosen["__id"]) & (marked["__text_hash"] == chosen["__hash"]), "left_semi").drop("__text_hash")
+def mixed_documents(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    chars_col: str | None = "n_chars",
+    block: int = BLOCK,
+    slots: int = SLOTS,
+    most: int = 3,
+    seed: int = 42,
+) -> DataFrame:
+    """What the mix takes: a row for each row of ``docs`` of which it takes words, with all its columns.
+
+    The text is the words of the blocks taken, with what separates them, in their order; those that are taken a
+    second and a third time follow on lines of their own. A text that is taken whole and once stays as it is.
+    ``chars_col``, where the table has it, is set to the new number of code points of the texts that change.
+    """
+    columns = docs.columns
+    # Written first, as rows are named by number.
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
+    narrow = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    located, pieces = _taken_pieces(narrow, block=block, slots=slots, most=most, seed=seed)
+    # One entry for each piece, however often it is taken; a document has no more than its blocks.
+    parts = F.sort_array(F.collect_list(F.struct("from", "upto", "times")))
+    takes = pieces.groupBy("row").agg(parts.alias("__parts"), F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("__taken"), F.max("times").alias("__times"))
+    takes = takes.join(located.select("row", F.col("size").alias("__size")), "row").withColumnRenamed("row", "__row")
+
+    def draw(tokens: Column, k: Column) -> Column:
+        mine = F.filter("__parts", lambda p: p["times"] >= k)
+        return F.array_join(F.transform(mine, lambda p: F.array_join(F.slice(tokens, (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int")), "")), "")
+
+    # Words with what follows them; as an argument of a lambda, they are found once for a text.
+    split = F.array(F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)))
+    cut = F.element_at(F.transform(split, lambda tokens: F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("__times")), lambda k: draw(tokens, k)), "\n")), 1)
+    whole = (F.col("__times") == 1) & (F.col("__taken") == F.col("__size"))
+    out = rows.join(takes, "__row").withColumn("__new", F.when(~whole, cut))
+    if chars_col in columns:
+        out = out.withColumn(chars_col, F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return out.withColumn(text_col, F.coalesce("__new", text_col)).select(*columns)

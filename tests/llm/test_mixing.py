@@ -75,3 +75,25 @@ def test_mixed_documents_keep_columns(spark):
     docs = frame(spark)
     kept = mixing.mixed_documents(docs, block=4)
     assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+
+
+def test_mixed_documents_hold_what_the_mix_takes(spark):
+    rng = np.random.default_rng(4)
+    rows = awkward() + [(1000 + i, "  " + "\n".join(f"d{i}w{k}" for k in range(int(rng.integers(1, 400)))), "en", "abcdefg"[int(rng.integers(0, 7)) if i % 3 else 0], -1) for i in range(600)]
+    docs = frame(spark, rows)
+    got = mixing.mixed_documents(docs, block=16, slots=64).collect()
+    want = targets(sized(rows))
+    for s, target in want.items():
+        assert abs(sum(len(r.text.split()) for r in got if r.source == s) - target) <= 0.05 * target + 64
+    took = {(r.id, r.text_hash): r.taken for r in mixing.mix(docs, block=16, slots=64).collect() if (r.id or 0) >= 1000}
+    text = {r[0]: r[1] for r in rows}
+    changed = 0
+    for r in got:
+        if (r.doc_id or 0) < 1000:
+            continue
+        words, whole = r.text.split(), text[r.doc_id].split()
+        assert set(words) <= set(whole) and max(words.count(w) for w in words[:3]) <= 3
+        assert r.n_chars == (-1 if r.text == text[r.doc_id] else len(r.text))
+        assert len(words) == next(v for (i, _), v in took.items() if i == r.doc_id)
+        changed += words != whole
+    assert changed > 100 and len([v for v in took.values() if v]) == sum((r.doc_id or 0) >= 1000 for r in got)
