@@ -13,7 +13,7 @@ so no task depends on how full a shard is. Nothing is capped and no link is lost
 Wide fingerprints. Documents of Jaccard similarity 0.8 differ in about 10 of 64 bits, which no exact sharding
 of 64 bits makes cheap. With ``similarity``, a fingerprint has ``WORDS`` words of 64 bits; distinct ones meet in
 shards of equal bands of 16 bits (of 32 bands, texts of similarity 0.8 share one with a probability of 0.91, of
-0.9 with 0.997), and BK-trees search these shards with the radius that the similarity implies.
+0.9 with 0.997), and BK-trees search these shards with the radius that the similarity implies. In them each distinct shingle votes once, as the similarity is of sets.
 
 A task returns a spanning forest of the links that it found instead of the links; the forests
 are joined by :func:`meshlark.llm.components.connected_components`.
@@ -49,22 +49,34 @@ VOTES = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """The SimHash of one text, ``words`` times 64 bits. The first word votes with the shingles' hashes, others with mixes of them."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text, in order."""
     tokens = (text or b"").translate(LOWER).split()
-    out = np.zeros(words, np.uint64)
     if not tokens:
-        return out
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(tokens), max(1, len(tokens) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     if n == 1:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        begins = np.r_[0, ends[:-1] + 1][:n].tolist()
-        ends = ends[shingle - 1 :].tolist()
-        hashes = np.fromiter((digest(joined[b:e], SEED) for b, e in zip(begins, ends, strict=True)), np.uint64, n)
-    for k in range(words):
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    begins = np.r_[0, ends[:-1] + 1][:n].tolist()
+    ends = ends[shingle - 1 :].tolist()
+    return np.fromiter((digest(joined[b:e], SEED) for b, e in zip(begins, ends, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """The SimHash of one text, ``words`` times 64 bits. The first word votes with the shingles' hashes, others with mixes of them.
+
+    Every occurrence of a shingle votes, or with ``distinct`` every shingle once.
+    """
+    hashes = shingle_hashes(text, shingle)
+    return votes_of(np.unique(hashes) if distinct else hashes, words)
+
+
+def votes_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits that over half of the hashes set, in ``words`` words."""
+    n, out = len(hashes), np.zeros(words, np.uint64)
+    for k in range(words if n else 0):
         votes = np.zeros(64, np.int64)
         for at in range(0, n, VOTES):
             part = mixed(hashes[at : at + VOTES], k).astype("<u8")
@@ -83,13 +95,13 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
     """``(id, text_hash long, fp)`` for every row; ``fp`` is a signed long, or binary of several words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle, words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, shingle, words, distinct) for t in batch.column(1).to_pylist()]
             col = pa.array([f.view(np.int64)[0] for f in fps], pa.int64()) if words == 1 else pa.array([f.tobytes() for f in fps], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), col], ["id", "text_hash", "fp"])
 
@@ -195,7 +207,7 @@ def simhash_groups(
     by wide fingerprints of ``words`` words, at the radius of a Jaccard similarity a little below it.
     """
     wide = similarity is not None
-    fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words if wide else 1), "simhash")
+    fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words if wide else 1, distinct=wide), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id() if wide else F.col("fp")), "distinct")
     shards, radius = (band_shards(words), wide_radius(similarity - SLACK, words)) if wide else (block_shards(radius), radius)

@@ -107,3 +107,22 @@ def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert simhash.simhash_groups(docs).count() == 0
     assert simhash.keep_one(docs).columns == docs.columns
+
+
+def repeated_lines():
+    """Pairs of ids and whether they are near: the same shingles with a line once and 20 times; texts that share only a line, 20 times."""
+    rng = np.random.default_rng(6)
+    rows, near = [], []
+    for g in range(20):
+        line = " ".join(f"l{g}x{k}" for k in range(24))
+        a, b, c = (" ".join(f"{x}{g}y{int(v)}" for v in rng.integers(0, 10**6, 104)) for x in "abc")
+        many = " ".join([line] * 20)
+        rows += [(10 * g + 1, f"{a} {line} {line}"), (10 * g + 2, f"{a} {many}"), (10 * g + 3, f"{b} {many}"), (10 * g + 4, f"{c} {many}")]
+        near += [(10 * g + 1, 10 * g + 2, True), (10 * g + 3, 10 * g + 4, False)]
+    return [(i, t, None, None, None) for i, t in rows], near
+
+
+def test_wide_fingerprints_count_a_repeated_shingle_once(spark):
+    rows, near = repeated_lines()
+    got = {r.id: r.component for r in simhash.simhash_groups(frame(spark, rows), shingle=5, similarity=0.8).collect()}
+    assert all((got[a] == got[b]) == linked for a, b, linked in near)
