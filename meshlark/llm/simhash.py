@@ -11,9 +11,13 @@ fingerprints become one BK-tree, sent to the task that searches it. A shard of m
 so no task depends on how full a shard is. Nothing is capped and no link is lost.
 
 Wide fingerprints. Documents of Jaccard similarity 0.8 differ in about 10 of 64 bits, which no exact sharding
-of 64 bits makes cheap. With ``similarity``, a fingerprint has ``WORDS`` words of 64 bits; distinct ones meet in
-shards of equal bands of 16 bits (of 32 bands, texts of similarity 0.8 share one with a probability of 0.91, of
-0.9 with 0.997), and BK-trees search these shards with the radius that the similarity implies. In them each distinct shingle votes once, as the similarity is of sets.
+of 64 bits makes cheap. With ``similarity``, a fingerprint has ``WORDS`` words of 64 bits, for which each distinct
+shingle votes once, as the similarity is of sets; texts of one set of shingles are one node. Nodes meet in shards
+named by the least hashes of their shingles, ``BAND`` of them in each of ``BANDS`` bands (texts of similarity 0.8
+share a shard with a probability of 0.9999), where BK-trees search with the radius that the similarity implies
+and ``NOISE`` standard deviations of the differing bits more. What is linked so is only a candidate: within each
+component of candidates, texts link if the true Jaccard similarity of their sets of shingles is as high as wished.
+Components of many shingles are split into blocks, and each pair of blocks is one group of a task.
 
 A task returns a spanning forest of the links that it found instead of the links; the forests
 are joined by :func:`meshlark.llm.components.connected_components`.
@@ -42,8 +46,12 @@ from meshlark.llm.components import connected_components
 
 SEED = 42
 SHARD = 2048
-#: Words of a wide fingerprint, and how far below the wished similarity its radius lies, for noise of the bits.
-WORDS, SLACK = 8, 0.04
+#: Words of a wide fingerprint, and how many standard deviations its radius has to spare for noise of the bits.
+WORDS, NOISE = 8, 6
+#: Bands of least hashes that name a wide fingerprint's shards, and hashes in a band.
+BANDS, BAND = 20, 4
+#: Shingles in a block of texts that are compared exactly.
+BLOCK = 1 << 20
 #: Shingles whose bits are counted at once, so that a very long text needs no more memory.
 VOTES = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -95,13 +103,13 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
     """``(id, text_hash long, fp)`` for every row; ``fp`` is a signed long, or binary of several words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, shingle, words, distinct) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, shingle, words) for t in batch.column(1).to_pylist()]
             col = pa.array([f.view(np.int64)[0] for f in fps], pa.int64()) if words == 1 else pa.array([f.tobytes() for f in fps], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), col], ["id", "text_hash", "fp"])
 
@@ -162,10 +170,120 @@ def block_shards(radius: int) -> Column:
     return F.array(*masks)
 
 
-def band_shards(words: int) -> Column:
-    """Shards of wide fingerprints: by each band of 16 bits."""
-    bands = [F.struct(F.lit(k).cast("long").alias("pair"), F.xxhash64(F.substring("fp", 2 * k + 1, 2)).alias("bits")) for k in range(4 * words)]
-    return F.array(*bands)
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """A name for each band of least hashes of a set of shingles; none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), VOTES):
+        for k in range(len(least)):
+            least[k] = min(least[k], mixed(hashes[at : at + VOTES], 64 + k).min())
+    return [int(np.uint64(xxhash.xxh64_intdigest(band.tobytes(), SEED)).astype(np.int64)) for band in least.reshape(BANDS, BAND)]
+
+
+def wide_fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """``(id, text_hash, fp binary, node long, bands array<long>)`` for every row; equal sets of shingles have equal ``node``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            fps = pa.array([votes_of(s, words).tobytes() for s in sets], pa.binary())
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+            bands = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, nodes, bands], ["id", "text_hash", "fp", "node", "bands"])
+
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), _text_hash(text_col).alias("text_hash"))
+    return narrow.mapInArrow(run, f"id {kind}, text_hash long, fp binary, node long, bands array<long>")
+
+
+def band_shards() -> Column:
+    """Shards of wide fingerprints: by each band of least hashes."""
+    return F.transform("bands", lambda b, k: F.struct(k.cast("long").alias("pair"), b.alias("bits")))
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays ``(i, j)``: a spanning forest of the pairs of sets whose Jaccard similarity is at least that.
+
+    A search from each set goes only to sets that no search has reached yet.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    value = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    own = np.split(value, np.cumsum(size)[:-1])
+    owner, left = np.repeat(np.arange(len(sets)), size), np.ones(len(sets), bool)
+    listed = 0  # how many sets the posting lists hold; they are made anew when half of these are reached
+    a, b = [], []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first], queue = False, [first]
+        while queue and (many := int(left.sum())):
+            if not listed or many * 2 < listed:
+                keep = left[owner]
+                order = np.argsort(value[keep], kind="stable")
+                posting, listed = owner[keep][order], many
+                edge = np.searchsorted(value[keep][order], np.arange(value.max(initial=0) + 2))
+            i = queue.pop()
+            begin, count = edge[own[i]], edge[own[i] + 1] - edge[own[i]]
+            at = np.arange(count.sum()) + np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count)
+            shared = np.bincount(posting[at], minlength=len(sets))
+            near = np.flatnonzero(left & (shared > 0) & (shared >= similarity * (size + size[i] - shared) - 1e-9))
+            left[near] = False
+            queue += near.tolist()
+            a.append(np.full(len(near), i))
+            b.append(near)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _similar_edges(similarity: float):
+    """A function for ``mapInArrow`` over rows sorted by group, of three key columns, node and set of shingles."""
+
+    def edges(node: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        node, at = np.unique(node, return_index=True)  # a repeated row is there again
+        i, j = similar_forest([np.frombuffer(sets[k], np.uint64) for k in at], similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [np.concatenate(pair) for pair in zip(cols, new, strict=True)] if cols else new
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+            for begin, end in zip(np.r_[0, cut[:-1]], cut):  # the last group may go on in the next batch
+                yield edges(cols[3][begin:end], cols[4][begin:end])
+            if len(cut):
+                cols = [c[cut[-1] :] for c in cols]
+        if cols:
+            yield edges(cols[3], cols[4])
+
+    return run
+
+
+def verified_edges(docs: DataFrame, members: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, shard: int = SHARD) -> DataFrame:
+    """``(a, b)``: a spanning forest of the pairs of one ``root`` whose texts have that Jaccard similarity.
+
+    ``members(node, root, rep)`` has the ``(id, text_hash)`` of a text for each node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "size", "shingles"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), _text_hash(text_col).alias("text_hash"))
+    wanted = members.select("node", "root", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["rep_hash"])).select("node", "root", "text")
+    sets = materialise(found.mapInArrow(run, "node long, root long, size long, shingles binary"), "shingles")
+    full = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / shard, F.sum("size") / BLOCK)).cast("long").alias("blocks")).where("blocks > 1")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0).cast("long"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1))
+    placed = sets.join(full, "root", "left").select("root", "node", "shingles", own.alias("own"), other.alias("other"))
+    placed = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    keys = ["root", "i", "j"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_similar_edges(similarity), "a long, b long")
 
 
 def near_edges(distinct: DataFrame, shards: Column, radius: int, shard: int = SHARD) -> DataFrame:
@@ -185,9 +303,9 @@ def near_edges(distinct: DataFrame, shards: Column, radius: int, shard: int = SH
 
 
 def wide_radius(similarity: float, words: int) -> int:
-    """Differing bits at which texts of that Jaccard similarity are expected, for fingerprints of so many words."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * words * math.acos(cosine) / math.pi)
+    """Within how many differing bits texts of that Jaccard similarity are, for fingerprints of so many words."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * words * differ + NOISE * math.sqrt(64 * words * differ * (1 - differ)))
 
 
 def simhash_groups(
@@ -204,19 +322,26 @@ def simhash_groups(
     """``(id, text_hash, fp, root, component)``, a row for each row of ``docs``.
 
     ``root`` names the group; ``component`` is the least id reachable in it. With ``similarity``, texts link
-    by wide fingerprints of ``words`` words, at the radius of a Jaccard similarity a little below it.
+    if the Jaccard similarity of their sets of shingles is at least that; wide fingerprints of ``words`` words
+    show the candidates.
     """
-    wide = similarity is not None
-    fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, words=words if wide else 1, distinct=wide), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id() if wide else F.col("fp")), "distinct")
-    shards, radius = (band_shards(words), wide_radius(similarity - SLACK, words)) if wide else (block_shards(radius), radius)
-    names = connected_components(near_edges(distinct.select("node", "fp"), shards, radius, shard))
-    named = distinct.join(names, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    columns = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
+    if similarity is None:
+        fps = materialise(fingerprints(docs, **columns).withColumn("node", F.col("fp")), "simhash")
+        distinct = materialise(fps.groupBy("node").agg(F.min("id").alias("least")).withColumn("fp", F.col("node")), "distinct")
+        names = connected_components(near_edges(distinct.select("node", "fp"), block_shards(radius), radius, shard))
+    else:
+        fps = materialise(wide_fingerprints(docs, words=words, **columns), "simhash")
+        rep = F.min(F.struct("id", "text_hash")).alias("rep")
+        distinct = materialise(fps.groupBy("node").agg(F.min("id").alias("least"), rep, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+        candidates = connected_components(near_edges(distinct.select("node", "fp", "bands"), band_shards(), wide_radius(similarity, words), shard))
+        members = candidates.join(distinct.select("node", "rep"), "node")
+        names = connected_components(verified_edges(docs, members, similarity=similarity, shard=shard, **columns))
+    named = distinct.join(names, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written first: a plain join of two tables is one whose hot groups adaptive execution can split.
     least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
-    groups = materialise(named.join(least, "root").select("fp", "root", "component"), "groups")
-    return fps.join(groups, "fp").select("id", "text_hash", "fp", "root", "component")
+    groups = materialise(named.join(least, "root").select("node", "root", "component"), "groups")
+    return fps.join(groups, "node").select("id", "text_hash", "fp", "root", "component")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

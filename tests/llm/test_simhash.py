@@ -126,3 +126,32 @@ def test_wide_fingerprints_count_a_repeated_shingle_once(spark):
     rows, near = repeated_lines()
     got = {r.id: r.component for r in simhash.simhash_groups(frame(spark, rows), shingle=5, similarity=0.8).collect()}
     assert all((got[a] == got[b]) == linked for a, b, linked in near)
+
+
+def threshold_pairs(pairs=60, n=200):
+    """Texts of ``n`` distinct shingles in pairs (10 g + 1, 10 g + 2) of Jaccard 0.802, and with a third of 0.794 to the first."""
+    rows = []
+    for g in range(pairs):
+        word = lambda x, k: f"{x}{g}z{k}"
+        texts = [[word("c", k) for k in range(c + 4)] + [word(x, k) for k in range(n - c)] for x, c in (("o", n), ("p", 178), ("q", 177))]
+        rows += [(10 * g + 1 + i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    return rows
+
+
+def test_similarity_is_verified_and_pairs_at_it_are_found(spark):
+    rows = threshold_pairs()
+    rows = [r for r in rows if r[0] % 10 == 1 or (r[0] % 10 == 2) == (r[0] // 10 % 2 == 0)]
+    for shard in (2048, 3):
+        got = {r.id: r.component for r in simhash.simhash_groups(frame(spark, rows), shingle=5, similarity=0.8, shard=shard).collect()}
+        assert [i for i in got if i % 10 == 2 and got[i] != i - 1] == []
+        assert [i for i in got if i % 10 == 3 and got[i] != i] == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), max_size=25))
+def test_similar_forest_is_that_of_all_pairs(sets):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    got = roots(len(sets), [simhash.similar_forest(arrays, 0.6)])
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6]
+    want = roots(len(sets), [(np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int))])
+    assert got.tolist() == want.tolist()
