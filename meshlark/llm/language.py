@@ -11,8 +11,9 @@ matrix of the landmarks, every text gets Nyström features.
 the Nyström features, folds into one matrix: a batch's scores are (presence matrix of the batch)
 x (presence matrix of the landmarks), scaled to kernel values, x (coefficients).
 
-The model is fitted on a bounded sample of training rows (``FIT_ROWS``); it reads only their
-texts and languages. Every text is scored whole.
+The model is fitted on a bounded sample of training rows (``FIT_ROWS``), drawn for each language apart: as many
+for each as have room, all of a language with fewer, and never less than ``FIT_LEAST`` of one that has them,
+so that rare languages are learned too. It reads only their texts and languages. Every text is scored whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the
 language that comes first in code-point order; with no training row every text is ``und``; with one
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import bounded_sample
 
 #: Training rows and landmarks, at most; ridge; steepness of the score.
 FIT_ROWS, LANDMARKS, RIDGE, STEEP = 4000, 128, 1e-3, 6.0
+#: Rows of each language that the sample has room for, however many languages there are.
+FIT_LEAST = 64
 #: Letters become one of 255 symbols (0 is a blank); feature numbers of n-grams start at these.
 TWO, THREE, SPACE = 256, 256 + 65536, 256 + 65536 + 65536
 #: Texts scored by one matrix product.
@@ -129,10 +131,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "lang"])
 
 
+def _share(counts: list[int], most: int) -> int:
+    """The largest number of rows a language at which all languages together have no more than ``most``."""
+    left, room = len(counts), most
+    for n in sorted(counts):
+        if n * left > room:
+            return max(FIT_LEAST, room // left)
+        left, room = left - 1, room - n
+    return max([FIT_LEAST, *counts])
+
+
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` different rows of ``(text, lang)``, chosen by a hash of the text, for each language apart."""
+    hashed = F.xxhash64("text", F.lit(977))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(hashed).alias("n")).collect()}
+    share, scale = _share(list(counts.values()), most), 1 << 30
+    thinned = [x for lang, n in counts.items() if n > share for x in (F.lit(lang), F.lit(int(scale * share / n)))]
+    if thinned:
+        rows = rows.where(F.pmod(hashed, F.lit(scale)) < F.coalesce(F.element_at(F.create_map(*thinned), F.col("lang")), F.lit(scale)))
+    return rows.distinct()
+
+
 def fit(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model | None:
     """The model of the rows of ``training`` that have a text with a letter and a language."""
     rows = training.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    got = bounded_sample(rows, "text", fit_rows).mapInArrow(_sets, "found array<int>, lang string").collect()
+    got = _sample(rows, fit_rows).mapInArrow(_sets, "found array<int>, lang string").collect()
     got = sorted(((np.array(r["found"], np.int32), r["lang"]) for r in got if r["found"]), key=lambda r: (r[1], r[0].tobytes()))
     return fit_model([f for f, _ in got], [lang for _, lang in got])
 

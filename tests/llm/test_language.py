@@ -53,3 +53,18 @@ def test_awkward_texts(spark):
     one = language.fit(spark.createDataFrame([(1, "only words", "en", "a", 1)], DOCS))
     assert {r.lang_pred for r in language.identify(docs, one).collect()} == {"und", "en"}
     assert language.identify(spark.createDataFrame([], DOCS), None).count() == 0
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the plain words number {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10 % 10]} {'uvwxyz'[i // 100 % 6]}{'abcdefghij'[i // 600 % 10]}", "en", "a", 1) for i in range(6000)]
+    rows += [(7000 + i, f"żółć gęślą jaźń {'abcdefghij'[i]}", "pl", "a", 1) for i in range(3)]
+    docs = frame(spark, rows)
+    model = language.fit(docs, fit_rows=100)
+    assert model.langs == ["en", "pl"]
+    assert {r.lang_pred for r in language.identify(docs.where("lang = 'pl'"), model).collect()} == {"pl"}
+
+
+def test_shares():
+    assert language._share([5, 1000, 1000], 405) == 200
+    assert language._share([5, 6], 4000) >= 6 and language._share([10**9] * 1000, 4000) == language.FIT_LEAST
+    assert language._share([], 10) == language.FIT_LEAST
