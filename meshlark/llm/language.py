@@ -17,7 +17,9 @@ so that rare languages are learned too. It reads only their texts and languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the
 language that comes first in code-point order; with no training row every text is ``und``; with one
-language every text with a letter is of it; an empty table gives an empty result.
+language every text with a letter is of it; repeated rows are learned from once and predicted alike; a very
+long text has no more features than ``SPACE``, and no more than ``SPACE / 8`` bytes of it reach the
+driver; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.llm.common import free_names
 
 #: Training rows and landmarks, at most; ridge; steepness of the score.
 FIT_ROWS, LANDMARKS, RIDGE, STEEP = 4000, 128, 1e-3, 6.0
@@ -127,8 +130,24 @@ def fit_model(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMAR
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "lang"])
+        found = [packed(features(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["found", "lang"])
+
+
+def packed(found: np.ndarray) -> bytes:
+    """Feature numbers as a byte of the form and 4 bytes each, or a bit for every possible one: ``SPACE / 8 + 1`` bytes at most."""
+    if len(found) * 32 <= SPACE:
+        return b"\0" + found.astype("<i4").tobytes()
+    bits = np.zeros(SPACE, bool)
+    bits[found] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What :func:`packed` packs."""
+    if data[0]:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1))).astype(np.int32)
+    return np.frombuffer(data, "<i4", offset=1)
 
 
 def _share(counts: list[int], most: int) -> int:
@@ -142,26 +161,43 @@ def _share(counts: list[int], most: int) -> int:
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` different rows of ``(text, lang)``, chosen by a hash of the text, for each language apart."""
+    """The different ``(text, lang)`` of the least hashes of each language, at most about ``most`` texts in all.
+
+    A language with more rows than its share gives exactly its share of different texts.
+    """
     hashed = F.xxhash64("text", F.lit(977))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(hashed).alias("n")).collect()}
-    share, scale = _share(list(counts.values()), most), 1 << 30
-    thinned = [x for lang, n in counts.items() if n > share for x in (F.lit(lang), F.lit(int(scale * share / n)))]
-    if thinned:
-        rows = rows.where(F.pmod(hashed, F.lit(scale)) < F.coalesce(F.element_at(F.create_map(*thinned), F.col("lang")), F.lit(scale)))
-    return rows.distinct()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(hashed, 0.02).alias("n")).collect()}
+    share = _share(list(counts.values()), most)
+    thinned = {lang: n for lang, n in counts.items() if n > 0.9 * share}
+    if not thinned:
+        return rows.distinct()
+    scale = 1 << 62
+    kept = F.pmod(hashed, F.lit(scale))
+
+    def of(values: dict) -> Column:
+        known = F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), F.lit(v).cast("long"))])
+        return F.coalesce(F.element_at(known, F.col("lang")), F.lit(scale))
+
+    # About twice the share lies below the first limits; the exact ones are ranks among those few hashes.
+    first = {lang: min(scale, int(scale * 2.0 * share / n)) for lang, n in thinned.items()}
+    few = rows.where(F.col("lang").isin(*thinned)).select("lang", kept.alias("h")).where(F.col("h") < of(first)).distinct()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") == share + 1)
+    exact = {r["lang"]: r["h"] for r in ranked.collect()}
+    return rows.where(kept < of({**first, **exact})).distinct()
 
 
 def fit(training: DataFrame, *, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model | None:
     """The model of the rows of ``training`` that have a text with a letter and a language."""
     rows = training.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    got = _sample(rows, fit_rows).mapInArrow(_sets, "found array<int>, lang string").collect()
-    got = sorted(((np.array(r["found"], np.int32), r["lang"]) for r in got if r["found"]), key=lambda r: (r[1], r[0].tobytes()))
+    got = _sample(rows.where(F.col("text").rlike(r"\p{L}")), fit_rows).mapInArrow(_sets, "found binary, lang string").toArrow()
+    pairs = zip(got.column("found").to_pylist(), got.column("lang").to_pylist(), strict=True)
+    got = sorted(((unpacked(f), lang) for f, lang in pairs if len(f) > 1), key=lambda r: (r[1], r[0].tobytes()))
     return fit_model([f for f, _ in got], [lang for _, lang in got])
 
 
-def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns: ``lang_pred`` and ``lang_score``."""
+def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+    """``docs`` with two more columns, ``lang_out`` and ``score_out`` (or :func:`free_names` for them)."""
+    both, lang_out, score_out = free_names(docs, "language", lang_out, score_out)
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):
@@ -176,5 +212,5 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                     lang[i], score[i] = model.langs[int(p.argmax())], float(p.max())
         return pd.DataFrame({"lang": lang, "score": score})
 
-    out = docs.withColumn("__language", predict(F.col(text_col)))
-    return out.withColumn("lang_pred", F.col("__language.lang")).withColumn("lang_score", F.col("__language.score")).drop("__language")
+    out = docs.withColumn(both, predict(F.col(text_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(both)["lang"].alias(lang_out), F.col(both)["score"].alias(score_out))

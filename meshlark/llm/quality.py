@@ -12,8 +12,10 @@
 A document is kept when its score is at least ``threshold``.
 
 Defined cases: a text without words (null, empty, white space) scores 0 and is rejected;
-equal texts score the same; ids and other columns play no part; an empty table gives an empty
-result.
+equal texts score the same, and repeated rows count as often as they are there in the label model and once
+in the scorer's sample; vote patterns that tie take the same posterior; a very long text is read whole and has
+``HASHED`` features at most, 6 bytes each, on their way to the driver; ids and other columns play no part; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import bounded_sample
+from meshlark.llm.common import bounded_sample, free_names
 
 #: Documents that the scorer is fitted on, at most (about); hashed features.
-FIT_ROWS, HASHED = 20_000, 1 << 12
+FIT_ROWS, HASHED = 10_000, 1 << 12
 GOOD, BAD, NONE = 1, 2, 0
 
 # Character classes: 0 white space, 1 lower-case letter, 2 upper-case, 3 digit, others themselves.
@@ -149,7 +151,7 @@ def features(text: bytes, m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     found: dict[int, float] = {}
     for shape, many in Counter(squeezed.split(b"\0")).items():
         if shape:
-            at = zlib.crc32(shape[:16]) % HASHED
+            at = zlib.crc32(shape) % HASHED
             found[at] = found.get(at, 0.0) + many / m["words"]
     for key in ("odd_marks", "mark_runs", "shouting", "upper", "digits", "letterless", "stutter", "line_copies"):
         found[zlib.crc32(f"{key}:{min(9, int(10 * m[key]))}".encode()) % HASHED] = 1.0
@@ -171,37 +173,48 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(0).to_pylist():
             if (m := measures(t or b"")) is not None:
                 at, value = features(t, m)
-                for k, v in (("votes", votes(m)), ("at", at.tolist()), ("value", value.tolist())):
+                for k, v in (("votes", votes(m)), ("at", at.astype("<u2").tobytes()), ("value", value.astype("<f4").tobytes())):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["votes"], pa.int64()), pa.array(out["at"], pa.list_(pa.int64())), pa.array(out["value"], pa.list_(pa.float64()))], list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["votes"], pa.int64()), pa.array(out["at"], pa.binary()), pa.array(out["value"], pa.binary())], list(out))
 
 
-def fit_scorer(rows: list, posterior: dict[int, float], rounds: int = 300) -> np.ndarray:
+def fit_scorer(vote: np.ndarray, at: list[np.ndarray], value: list[np.ndarray], posterior: dict[int, float], rounds: int = 300) -> np.ndarray:
     """Weights of the hashed features and, last, the constant: logistic regression on posteriors."""
-    size = np.array([len(r["at"]) for r in rows], np.int64)
-    row = np.repeat(np.arange(len(rows)), size)
-    at = np.concatenate([np.array(r["at"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([np.array(r["value"], float) for r in rows]) if rows else np.zeros(0)
-    target = np.array([posterior[r["votes"]] for r in rows])
+    n = len(vote)
+    row = np.repeat(np.arange(n), [len(a) for a in at])
+    col = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
+    share = np.concatenate([*value, np.zeros(0)]).astype(float)
+    target = np.array([posterior[v] for v in vote.tolist()])
     w, m, v = np.zeros(HASHED + 1), np.zeros(HASHED + 1), np.zeros(HASHED + 1)
-    for t in range(1, rounds + 1 if rows else 1):
-        score = np.bincount(row, w[at] * value, len(rows)) + w[-1]
+    for t in range(1, rounds + 1 if n else 1):
+        score = np.bincount(row, w[col] * share, n) + w[-1]
         off = 1 / (1 + np.exp(-score)) - target
-        grad = np.r_[np.bincount(at, off[row] * value, HASHED), off.sum()] / len(rows) + 1e-5 * w
+        grad = np.r_[np.bincount(col, off[row] * share, HASHED), off.sum()] / n + 1e-5 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def score_quality(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with two more columns: ``quality_posterior`` (label model) and ``quality_score``, 0 to 1."""
-    text = F.col(text_col).cast("binary").alias("text")
-    patterns = docs.select(text).mapInArrow(_votes, "votes long").groupBy("votes").count().where("votes >= 0").collect()
+def fit(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[int, float], np.ndarray]:
+    """The label model's posteriors and the scorer's weights."""
+    text = docs.select(F.col(text_col).cast("binary").alias("text"))
+    patterns = text.mapInArrow(_votes, "votes long").groupBy("votes").count().where("votes >= 0").collect()
     patterns = sorted(patterns, key=lambda r: r["votes"])
     counts = np.array([r["count"] for r in patterns], float)
     posterior = fit_label_model(np.array([r["votes"] for r in patterns], np.int64).reshape(-1), counts)
-    sample = bounded_sample(docs.select(text), "text", fit_rows, int(counts.sum()))
-    weights = fit_scorer(sample.mapInArrow(_sparse, "votes long, at array<long>, value array<double>").collect(), posterior)
+    # At most 6 bytes for each of HASHED features of a row reach the driver.
+    got = bounded_sample(text, "text", fit_rows).mapInArrow(_sparse, "votes long, at binary, value binary").toArrow()
+    order = np.lexsort([np.array([zlib.crc32(x) for x in got.column("value").to_pylist()], np.int64), got.column("votes").to_numpy()])
+    at, value = ([np.frombuffer(x, kind) for x in got.column(name).to_pylist()] for name, kind in (("at", "<u2"), ("value", "<f4")))
+    return posterior, fit_scorer(got.column("votes").to_numpy()[order], [at[k] for k in order], [value[k] for k in order], posterior)
+
+
+def score_quality(
+    docs: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS, posterior_out: str = "quality_posterior", score_out: str = "quality_score"
+) -> DataFrame:
+    """``docs`` with two more columns, 0 to 1: ``posterior_out`` (label model) and ``score_out`` (or :func:`free_names` for them)."""
+    both, posterior_out, score_out = free_names(docs, "quality", posterior_out, score_out)
+    posterior, weights = fit(docs, text_col=text_col, fit_rows=fit_rows)
 
     @F.pandas_udf("posterior double, score double")
     def score(texts):
@@ -217,11 +230,12 @@ def score_quality(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FI
             out.append((posterior.get(votes(m), 0.5), 1 / (1 + np.exp(-float(weights[at] @ value + weights[-1])))))
         return pd.DataFrame(out, columns=["posterior", "score"])
 
-    scored = docs.withColumn("__quality", score(F.col(text_col).cast("binary")))
-    return scored.withColumn("quality_posterior", F.col("__quality.posterior")).withColumn("quality_score", F.col("__quality.score")).drop("__quality")
+    scored = docs.withColumn(both, score(F.col(text_col).cast("binary")))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(both)["posterior"].alias(posterior_out), F.col(both)["score"].alias(score_out))
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, unchanged."""
-    columns = docs.columns
-    return score_quality(docs, text_col=text_col).where(F.col("quality_score") >= threshold).select(*columns)
+    posterior, score = free_names(docs, "quality_posterior", "quality_score")
+    scored = score_quality(docs, text_col=text_col, fit_rows=fit_rows, posterior_out=posterior, score_out=score)
+    return scored.where(F.col(score) >= threshold).drop(posterior, score)

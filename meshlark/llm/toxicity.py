@@ -17,8 +17,9 @@ reads the text alone.
 
 Defined cases: a text without words (null, empty, white space) gets the score of the constant; without
 training rows of both labels all texts get the share of toxic ones (0, where there is none); equal
-texts score alike; a text with both labels is trained on once for each, equal texts of one label once; an empty table
-gives an empty result.
+texts score alike; a text with both labels is trained on once for each, equal texts of one label once; of paths of one
+cost the first found stays, of equally sure features the lower number; a very long text is read whole, and no more than
+``USED`` bits of a text reach the driver; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import bounded_sample
+from meshlark.llm.common import bounded_sample, free_names, materialise
 
 #: Labelled rows for fitting, at most; hashed features; features that the regression may use.
 FIT_ROWS, HASHED, USED = 20_000, 1 << 20, 2048
@@ -212,51 +213,73 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def fit(numbers: list[np.ndarray], toxic: np.ndarray, used: int = USED, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of the hashed words, and the constant."""
-    weights = np.zeros(HASHED)
-    if not len(toxic) or toxic.min() == toxic.max():
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    row = np.repeat(np.arange(len(numbers), dtype=np.int32), [len(x) for x in numbers])
-    at = np.concatenate(numbers)
-    n, pos = np.bincount(at, minlength=HASHED), np.bincount(at[toxic[row] > 0], minlength=HASHED)
+def fit(has: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Weights of the features and, last, the constant, from a matrix of the features that each row has."""
+    row, col = np.nonzero(has)
     base = toxic.mean()
-    sure = (pos - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9))  # standard deviations from chance
-    rank = np.where((n >= 5) & (np.abs(sure) > 4), np.abs(sure), 0)
-    chosen = np.sort(np.argsort(-rank, kind="stable")[:used])
-    chosen = chosen[rank[chosen] > 0]
-    column = np.full(HASHED, -1)
-    column[chosen] = np.arange(len(chosen))
-    here = column[at] >= 0
-    row, col = row[here], column[at][here]
-    w, m, v = np.zeros(len(chosen) + 1), 0.0, 0.0
+    w, m, v = np.zeros(has.shape[1] + 1), 0.0, 0.0
     w[-1] = np.log(base / (1 - base))
     for t in range(1, rounds + 1):
         z = np.bincount(row, w[col], len(toxic)) + w[-1]
         off = 1 / (1 + np.exp(-z)) - toxic
-        grad = np.r_[np.bincount(col, off[row], len(chosen)), off.sum()] / len(toxic) + np.r_[2e-4 * w[:-1], 0]
+        grad = np.r_[np.bincount(col, off[row], has.shape[1]), off.sum()] / len(toxic) + np.r_[2e-4 * w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights[chosen] = w[:-1]
-    return weights, float(w[-1])
+    return w
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[Restorer, np.ndarray, float]:
-    """The model: a restorer for the language of ``docs``, and weights learned from ``labelled(text, toxic)``."""
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", used: int = USED) -> tuple[Restorer, np.ndarray, float]:
+    """The model: a restorer for the language of ``docs``, and weights learned from ``labelled(text, toxic)``.
+
+    Spark counts the features; the driver gets the counts of the ``used`` surest ones, and a bit for each of
+    these from every row: 256 bytes a row, however long the texts are.
+    """
     restorer = Restorer.of_counts(count_trigrams(docs, text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [restorer.numbers(t).astype(np.int32).tobytes() for t in batch.column(0).to_pylist()]
+            found = [restorer.numbers(t).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["found", "toxic"])
 
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    # Packed numbers: 4 bytes a feature, no Python object for each.
-    got = rows.mapInArrow(run, "found binary, toxic int").toArrow()
-    got = sorted(zip(got.column("toxic").to_pylist(), got.column("found").to_pylist(), strict=True))
-    weights, const = fit([np.frombuffer(f, np.int32) for _, f in got], np.array([float(y > 0) for y, _ in got]))
-    return restorer, weights, const
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, HASHED), np.int64)
+        for batch in batches:
+            for found, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n[toxic, np.frombuffer(found, "<i4")] += 1  # a row has each number once
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.sum(0)[at]), pa.array(n[1, at])], ["code", "n", "pos"])
+
+    rows = labelled.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).where("toxic is not null")
+    rows = materialise(rows.mapInArrow(numbers, "found binary, toxic int"), "features")
+    many, toxic = rows.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    weights = np.zeros(HASHED)
+    share = toxic / many if many else 0.0
+    if share in (0.0, 1.0):
+        return restorer, weights, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+
+    n, pos, var = F.col("n"), F.col("pos"), F.greatest(F.col("n") * (share * (1 - share)), F.lit(1e-9))
+    sure = F.abs(pos - n * share) / F.sqrt(var)
+    counts = rows.mapInArrow(counted, "code long, n long, pos long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    top = counts.where((n >= 5) & (sure > 4)).orderBy(sure.desc(), "code").limit(used).select("code").collect()
+    chosen = np.sort(np.array([r.code for r in top], np.int64))
+    column = np.full(HASHED, -1, np.int64)
+    column[chosen] = np.arange(len(chosen))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = np.zeros((batch.num_rows, max(1, len(chosen))), bool)
+            for row, found in zip(has, batch.column(0).to_pylist(), strict=True):
+                at = column[np.frombuffer(found, "<i4")]
+                row[at[at >= 0]] = True
+            packed = [x.tobytes() for x in np.packbits(has, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1)], ["has", "toxic"])
+
+    got = rows.mapInArrow(bits, "has binary, toxic int").toArrow()
+    got = sorted(zip(got.column("toxic").to_pylist(), got.column("has").to_pylist(), strict=True))
+    has = np.unpackbits(np.frombuffer(b"".join(x for _, x in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(chosen)]
+    w = fit(has, np.array([float(y) for y, _ in got]))
+    weights[chosen] = w[:-1]
+    return restorer, weights, float(w[-1])
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -265,8 +288,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).alias("text"), "toxic").distinct()
 
 
-def score_toxicity(docs: DataFrame, model: tuple[Restorer, np.ndarray, float], *, text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column ``toxicity``, 0 to 1."""
+def score_toxicity(docs: DataFrame, model: tuple[Restorer, np.ndarray, float], *, text_col: str = "text", score_out: str = "toxicity") -> DataFrame:
+    """``docs`` with one more column ``score_out`` (or :func:`free_names` for it), 0 to 1."""
+    (score_out,) = free_names(docs, score_out)
     restorer, weights, const = model
     restorer = Restorer(restorer.cost, frozenset(np.flatnonzero(weights).tolist()))
 
@@ -277,4 +301,4 @@ def score_toxicity(docs: DataFrame, model: tuple[Restorer, np.ndarray, float], *
         z = np.array([const + weights[restorer.numbers(t)].sum() for t in texts], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
-    return docs.withColumn("toxicity", score(F.col(text_col)))
+    return docs.withColumn(score_out, score(F.col(text_col)))

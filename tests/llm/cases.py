@@ -2,6 +2,18 @@
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
+EXTRA = """fp id root key size bucket score component label secrets redacted quality quality_score quality_posterior language text_hash least_id
+row parts times took mixed taken source_size target piece batch slot padded n_tokens first_token fingerprint edited next range tie heavy votes window spans
+toxicity lang_pred lang_score dotted.name""".split()
+
+
+def new_columns(df, docs):
+    """The columns that an operator has added to ``docs``: the last ones; the others have to be as they were."""
+    assert df.columns[: len(docs.columns)] == docs.columns and len(set(df.columns)) == len(df.columns)
+    assert [f.dataType for f in df.schema][: len(docs.columns)] == [f.dataType for f in docs.schema]
+    assert all(tuple(r[len(docs.columns) - len(EXTRA) : len(docs.columns)]) == tuple(range(len(EXTRA))) for r in df.collect())
+    return df.columns[len(docs.columns) :]
+
 WORDS = [f"w{(7 * k * k + 3 * k) % 101}" for k in range(400)]
 
 
@@ -27,6 +39,6 @@ def awkward():
 
 def frame(spark, rows=None, extra=True):
     df = spark.createDataFrame(awkward() if rows is None else rows, DOCS)
-    if extra:  # names that operators use inside
-        df = df.selectExpr("*", "'x' as fp", "1 as id", "2 as root", "3 as key", "4 as size", "5 as bucket", "6 as score", "7 as component", "8 as label")
+    if extra:  # names that operators use inside, or write unless told otherwise
+        df = df.selectExpr("*", *[f"{k} as `{name}`" for k, name in enumerate(EXTRA)])
     return df

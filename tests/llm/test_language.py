@@ -4,7 +4,7 @@ import numpy as np
 
 from meshlark.llm import language
 from meshlark.llm.common import held_out
-from tests.llm.cases import DOCS, frame
+from tests.llm.cases import DOCS, frame, new_columns
 
 
 def plain(text):
@@ -45,13 +45,14 @@ def test_held_out_accuracy(spark):
 def test_awkward_texts(spark):
     docs = frame(spark)
     got = language.identify(docs, language.fit(docs)).collect()
-    by = {(r.doc_id, r.text): (r.lang_pred, r.lang_score) for r in got}
+    by = {(r.doc_id, r.text): (r.lang_pred_, r.lang_score_) for r in got}
+    assert new_columns(language.identify(docs, None), docs) == ["lang_pred_", "lang_score_"]
     assert len(got) == docs.count()
     assert all(v == ("und", 0.0) for (_, t), v in by.items() if not any(c.isalpha() for c in t or ""))
     assert {v[0] for v in by.values()} <= {"und", "en", "de", "fr", "es"}
-    assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
+    assert {r.lang_pred_ for r in language.identify(docs, None).collect()} == {"und"}
     one = language.fit(spark.createDataFrame([(1, "only words", "en", "a", 1)], DOCS))
-    assert {r.lang_pred for r in language.identify(docs, one).collect()} == {"und", "en"}
+    assert {r.lang_pred_ for r in language.identify(docs, one).collect()} == {"und", "en"}
     assert language.identify(spark.createDataFrame([], DOCS), None).count() == 0
 
 
@@ -61,10 +62,31 @@ def test_rare_languages_are_learned(spark):
     docs = frame(spark, rows)
     model = language.fit(docs, fit_rows=100)
     assert model.langs == ["en", "pl"]
-    assert {r.lang_pred for r in language.identify(docs.where("lang = 'pl'"), model).collect()} == {"pl"}
+    assert {r.lang_pred_ for r in language.identify(docs.where("lang = 'pl'"), model).collect()} == {"pl"}
 
 
 def test_shares():
     assert language._share([5, 1000, 1000], 405) == 200
     assert language._share([5, 6], 4000) >= 6 and language._share([10**9] * 1000, 4000) == language.FIT_LEAST
     assert language._share([], 10) == language.FIT_LEAST
+
+
+def test_few_texts_on_many_rows(spark):
+    texts = {"en": "the plain words", "de": "der kleine hund", "fr": "le chat est ici"}
+    case = " ".join(f"when id % 3 = {k} then '{lang}'" for k, lang in enumerate(texts))
+    docs = spark.range(60_000).selectExpr("id as doc_id", f"case {case} end as lang").selectExpr("*", "case " + " ".join(f"when lang = '{x}' then '{t}'" for x, t in texts.items()) + " end as text")
+    model = language.fit(docs)
+    assert sorted(model.langs) == ["de", "en", "fr"]
+    assert language.identify(docs, model).where("lang <> lang_pred").count() == 0
+
+
+def test_sample_is_exact_and_takes_all_rare_rows(spark):
+    docs = spark.range(9000).selectExpr("concat('text ', id) as text", "if(id < 30, 'pl', 'en') as lang")
+    got = language._sample(docs.union(docs), 1000).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"pl": 30, "en": 970}
+
+
+def test_packed_features_are_bounded():
+    for found in (np.zeros(0, np.int32), np.array([5, 70000], np.int32), np.arange(0, language.SPACE, 3, dtype=np.int32)):
+        assert np.array_equal(language.unpacked(language.packed(found)), found)
+        assert len(language.packed(found)) <= language.SPACE // 8 + 1

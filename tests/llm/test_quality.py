@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 
 from meshlark.llm import quality
-from tests.llm.cases import DOCS, frame
+from meshlark.llm.queries import op7_quality_classifier
+from tests.llm.cases import DOCS, frame, new_columns
 
 GOOD = "The plain words of this text are many, and each of them is as good as another one. "
 
@@ -40,8 +41,49 @@ def test_junk_goes_and_clean_stays(spark):
     ids = {r.doc_id for r in kept.collect()}
     assert set(range(60)) | {None} <= ids
     assert not {i for i in ids if i is not None and 100 <= i < 203}
-    scored = quality.score_quality(docs).collect()
-    assert all(0 <= r.quality_score <= 1 and 0 <= r.quality_posterior <= 1 for r in scored)
+    assert new_columns(kept, docs) == []
+    scored = quality.score_quality(docs)
+    assert new_columns(scored, docs) == ["quality_posterior_", "quality_score_"]
+    assert all(0 <= r.quality_score_ <= 1 and 0 <= r.quality_posterior_ <= 1 for r in scored.collect())
+
+
+def by_hand(texts, threshold=0.5):
+    """Votes, label model and scorer in one process; which of the texts stay."""
+    seen = [quality.measures(t.encode()) for t in texts]
+    codes = [None if m is None else quality.votes(m) for m in seen]
+    kinds, counts = np.unique([c for c in codes if c is not None], return_counts=True)
+    posterior = quality.fit_label_model(kinds, counts.astype(float))
+    rows = sorted({t for t, m in zip(texts, seen, strict=True) if m})
+    pairs = [quality.features(t.encode(), quality.measures(t.encode())) for t in rows]
+    w = quality.fit_scorer(np.array([quality.votes(quality.measures(t.encode())) for t in rows]), [a for a, _ in pairs], [v for _, v in pairs], posterior)
+    out = []
+    for t, m in zip(texts, seen, strict=True):
+        at, value = quality.features(t.encode(), m) if m else ([], np.zeros(0))
+        out.append(1 / (1 + np.exp(-(w[at] @ value + w[-1]))) if m else 0.0)
+    return [x >= threshold for x in out], out
+
+
+def test_query_agrees_with_one_process(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    stay, score = by_hand([t or "" for t in docs.text])
+    got = op7_quality_classifier(spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    assert np.allclose(got.score[docs.doc_id], score, atol=1e-4) and (got.keep[docs.doc_id].to_numpy() == stay).all()
+
+
+def test_few_texts_on_many_rows(spark):
+    plain, junk = GOOD * 3, "BUY!! NOW!! CHEAP!! DEAL!! " * 20
+    docs = spark.range(60_000).selectExpr("id as doc_id", f"if(id % 3 = 0, '{junk}', '{plain}') as text")
+    got = {r.text: r.s for r in quality.score_quality(docs).groupBy("text").agg({"quality_score": "max"}).withColumnRenamed("max(quality_score)", "s").collect()}
+    assert got[junk] < 0.5 < got[plain]
+
+
+def test_whole_word_shapes_are_features():
+    a, b = b"aB" * 20 + b"1", b"aB" * 20 + b"2c"
+    assert quality.measures(a)["words"] == 1
+    one, two = (set(quality.features(t, quality.measures(t))[0].tolist()) for t in (a, b))
+    assert one != two
 
 
 def test_long_text_and_empty_table(spark):

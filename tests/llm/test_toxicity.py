@@ -3,7 +3,7 @@ import pytest
 
 from meshlark.llm import toxicity
 from meshlark.llm.common import held_out
-from tests.llm.cases import DOCS, frame
+from tests.llm.cases import DOCS, frame, new_columns
 
 
 @pytest.fixture(scope="module")
@@ -67,10 +67,20 @@ def test_awkward_texts(spark):
     assert sorted(r.toxic for r in rows.collect()) == [0, 1]
     model = toxicity.fit_toxicity(docs, rows)
     got = toxicity.score_toxicity(docs, model).collect()
-    assert len(got) == docs.count() and all(0 <= r.toxicity <= 1 for r in got)
-    assert len({r.toxicity for r in got if not (r.text or "").split()}) == 1
+    assert len(got) == docs.count() and all(0 <= r.toxicity_ <= 1 for r in got)
+    assert new_columns(toxicity.score_toxicity(docs, model), docs) == ["toxicity_"]
+    assert len({r.toxicity_ for r in got if not (r.text or "").split()}) == 1
     none = toxicity.fit_toxicity(docs, rows.where("false"))
-    assert all(r.toxicity < 1e-6 for r in toxicity.score_toxicity(docs, none).collect())
+    assert all(r.toxicity_ < 1e-6 for r in toxicity.score_toxicity(docs, none).collect())
     empty = spark.createDataFrame([], DOCS)
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, rows.where("false"))).count() == 0
     assert np.isfinite(model[2])
+
+
+def test_features_are_the_surest_ones(spark):
+    rows = [("good word here", 0)] * 3 + [(f"idiot stuff {k}", 1) for k in range(30)] + [(f"kind stuff {k}", 0) for k in range(60)]
+    docs = spark.createDataFrame(rows, "text string, toxic int")
+    restorer, weights, const = toxicity.fit_toxicity(docs, docs, used=2)
+    assert set(np.flatnonzero(weights)) <= set(toxicity.hashed("idiot")) | set(toxicity.hashed("kind"))
+    assert np.count_nonzero(weights) == 2
+    assert const + weights[restorer.numbers("idiot")].sum() > const + weights[restorer.numbers("kind")].sum()
