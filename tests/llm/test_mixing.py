@@ -97,3 +97,18 @@ def test_mixed_documents_hold_what_the_mix_takes(spark):
         assert len(words) == next(v for (i, _), v in took.items() if i == r.doc_id)
         changed += words != whole
     assert changed > 100 and len([v for v in took.values() if v]) == sum((r.doc_id or 0) >= 1000 for r in got)
+
+
+def test_what_is_drawn_over_a_limit_is_drawn_again():
+    assert mixing.redrawn([3.0, 5.2, 1.1], [5, 4, 1], [3, 100, 100]) == [-2, 2, 0]
+    assert mixing.redrawn([3.0, 5.2, 1.1], [3, 5, 1], [3, 100, 100]) == [0, 0, 0]
+    assert sum(mixing.redrawn([30.0] * 3, [33, 29, 28], [30, 30, 30])) == 0
+
+
+def test_sources_at_their_limit_get_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 2)  # several ranges of output shards
+    rows = [(i, " ".join(["w"] * 64), "en", "b" if i % 40 == 0 else "a" if i % 40 == 1 else "c", 1) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block=64, slots=64).groupBy("source").agg({"taken": "sum", "target": "max", "size": "sum"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 64 * 2
+        assert r["sum(taken)"] <= 3 * r["sum(size)"]
