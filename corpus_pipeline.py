@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshlark.llm import mixing, packing, quality, secrets, simhash
-from meshlark.llm.common import materialise, table
+from meshlark.llm.common import materialise, scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in a padded batch of its length bucket."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """Every piece of every document, with its text, in a padded batch of its length bucket."""
+    return packing.pack(docs, with_text=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # what a stage has written on its way goes when its result is written
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,7 +13,8 @@
 Tokens are words unless ``tokens`` gives another column expression.
 
 Defined cases: null and empty texts have no pieces and no row in the result of :func:`pack`;
-repeated rows are packed one by one; fewer distinct lengths than ``buckets`` give that many
+repeated rows are packed one by one, and which of two goes first may differ; ties of the optimum go to the
+earliest split; a very long text is cut into as many pieces as it needs; fewer distinct lengths than ``buckets`` give that many
 buckets and no padding; an empty table gives an empty result.
 """
 
@@ -83,18 +84,32 @@ def pack(
     context: int = CONTEXT,
     buckets: int = BUCKETS,
     budget: int = BUDGET,
+    with_text: bool = False,
 ) -> DataFrame:
-    """``(id, piece, n_tokens, bucket, padded, batch, slot)``, a row for each piece.
+    """``(id, piece, first_token, n_tokens, bucket, padded, batch, slot)``, a row for each piece.
 
-    ``bucket`` counts from 0 by length, ``batch`` from 0 within its bucket, ``slot`` from 0
-    within its batch; ``padded`` is the bucket's boundary.
+    A piece is the ``n_tokens`` tokens of its document from ``first_token`` on (counted from 0). ``bucket`` counts
+    from 0 by length, ``batch`` from 0 within its bucket, ``slot`` from 0 within its batch; ``padded`` is the
+    bucket's boundary. ``with_text`` (only where tokens are words) adds ``text``: the piece's words with what
+    separates them.
     """
     count = word_count(F.col(text_col)) if tokens is None else tokens
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    sized = docs.select(F.col(id_col).alias("id"), text_hash.alias("text_hash"), count.cast("long").alias("tokens")).where("tokens > 0")
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / context)))
-    pieces = sized.select("id", "text_hash", "tokens", piece.alias("piece"))
-    pieces = materialise(pieces.select("id", "text_hash", "piece", F.least(F.lit(context).cast("long"), F.col("tokens") - F.col("piece") * context).alias("n_tokens")), "pieces")
+    carried = [F.col(text_col).alias("whole")] if with_text else []
+    sized = docs.select(F.col(id_col).alias("id"), text_hash.alias("text_hash"), count.cast("long").alias("tokens"), *carried).where("tokens > 0")
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / context))
+    if with_text:
+        # Words with what follows them; as an argument of a lambda, they are found once for a text.
+        split = F.array(F.regexp_extract_all("whole", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)))
+        cut = F.element_at(F.transform(split, lambda w: F.transform(numbers, lambda k: F.array_join(F.slice(w, (k * context + 1).cast("int"), context), ""))), 1)
+        pieces = sized.select("id", "text_hash", "tokens", F.posexplode(F.when(F.col("tokens") > context, cut).otherwise(F.array("whole"))).alias("piece", "text"))
+        pieces = pieces.withColumn("piece", F.col("piece").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    else:
+        pieces = sized.select("id", "text_hash", "tokens", F.explode(numbers).alias("piece"))
+    extra = ["row", "text"] if with_text else []
+    first = (F.col("piece") * context).alias("first_token")
+    stored = materialise(pieces.select("id", "text_hash", "piece", first, F.least(F.lit(context).cast("long"), F.col("tokens") - F.col("piece") * context).alias("n_tokens"), *extra), "pieces")
+    pieces = stored.drop("text")
 
     histogram = pieces.groupBy("n_tokens").count().orderBy("n_tokens").collect()  # at most `context` rows
     upper = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
@@ -109,4 +124,8 @@ def pack(
     ranked = placed.withColumn("rank", rank).join(F.broadcast(offsets), ["bucket", "spread"])
     at = F.col("offset") + F.col("rank") - 1
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded"))).cast("long")
-    return ranked.select("id", "piece", "n_tokens", "bucket", "padded", F.floor(at / fits).alias("batch"), F.pmod(at, fits).alias("slot"))
+    out = ["id", "piece", "first_token", "n_tokens", "bucket", "padded"]
+    if with_text:
+        ranked = ranked.join(stored.select("row", "text"), "row")
+        out.append("text")
+    return ranked.select(*out, F.floor(at / fits).alias("batch"), F.pmod(at, fits).alias("slot"))

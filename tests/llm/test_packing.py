@@ -44,6 +44,16 @@ def test_every_token_is_packed_once(spark):
         last = max(b for k, b in places if k == bucket)
         assert n <= most and (n == most or batch == last)
     assert {b for _, b in places} >= {0}
+    assert all(r.first_token == 50 * r.piece for r in got)
+
+
+def test_texts_of_pieces_are_the_words(spark):
+    rows = awkward() + [(100 + i, " w0\n" + " ".join(f"w{k}" for k in range(i)) + " \t ", None, None, None) for i in range(120)]
+    got = packing.pack(frame(spark, rows), context=50, buckets=5, budget=120, with_text=True).collect()
+    plain = packing.pack(frame(spark, rows), context=50, buckets=5, budget=120).collect()
+    assert Counter((r.id, r.piece, r.n_tokens, r.bucket) for r in got) == Counter((r.id, r.piece, r.n_tokens, r.bucket) for r in plain)
+    want = Counter((i, p, tuple((t or "").split()[50 * p : 50 * p + 50])) for i, t, *_ in rows for p in range(-(-len((t or "").split()) // 50)))
+    assert Counter((r.id, r.piece, tuple(r.text.split())) for r in got) == want
 
 
 def test_empty(spark):
