@@ -8,7 +8,7 @@ stores the ``bits`` low-order bits of a hash of each bin's value, packed. Of two
 bins a share ``m`` agrees; values that differ agree in ``bits`` bits by chance with probability
 ``c = 2 ** -bits``, so the likeness is ``(m - c) / (1 - c)``, at least 0.
 
-All of it happens within a row, by functions on arrays: no shuffle.
+A fingerprint is made within a row, by functions on arrays: no shuffle.
 
 Defined cases: a text without words (null, empty, white space) has the fingerprint '', whose
 likeness is 1 to itself and 0 to any other; equal word sequences have equal fingerprints; a
@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import SEPARATORS
+from meshlark.llm.common import SEPARATORS, materialise
 
 #: Bins and bits of each. A fingerprint is a string of BINS * BITS / 4 hexadecimal digits.
 BINS, BITS, SHINGLE = 128, 8, 5
-#: Rows in a range of ids, about, when documents are put in order; most ranges.
-RANGE, RANGES = 4096, 8192
+#: Rows in a range, about, when documents are put in order; most ranges; sampled keys for each.
+RANGE, RANGES, EACH = 4096, 1 << 16, 20
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, *, shingle: int = SHINGLE, bins: int = BINS) -> DataFrame:
@@ -76,55 +76,88 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), (same / n - chance) / (1 - chance)))
 
 
-def in_order(df: DataFrame, id_col: str, ties: list[str], columns: list[str]) -> DataFrame:
-    """``df`` with ``next``: a struct of ``columns`` of the following row in order of ``id_col``, then ``ties``.
+def _literals(values: list[int]) -> Column:
+    """An array of longs that the optimiser folds into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
 
-    After the last row comes the first; null ids come last. Ids are cut into ranges of about
-    ``RANGE`` rows (at most ``RANGES`` ranges) by approximate percentiles; within a range a window
-    gives the next row, and a range's last row gets the first one of the next range.
+
+def _range_of(key: Column, tie: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the ascending ``cuts`` lie below ``(key, tie)``, by binary search."""
+    keys, ties = _literals([c[0] for c in cuts]), _literals([c[1] for c in cuts])
+    state = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        over = (key > F.get(keys, mid)) | ((key == F.get(keys, mid)) & (tie > F.get(ties, mid)))
+        half = F.when(over, F.struct((mid + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), mid.alias("high")))
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(half)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))), state, halve, lambda acc: acc["low"])
+
+
+def range_cuts(keys: DataFrame, size: int = RANGE) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Cuts of the pairs ``(key, tie)`` into ranges of about ``size`` rows, and the pairs that are a range by themselves.
+
+    A sample of ``EACH`` pairs a range comes to the driver, for ``RANGES`` ranges at most.
     """
-    rows = df.count()
-    ranges = max(1, min(RANGES, rows // RANGE))
-    cuts: list = []
-    if ranges > 1:
-        cuts = sorted(set(df.agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []))
-    # Binary search in the sorted cuts; a range holds the ids over its lower cut.
-    bounds, kind = F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<long>"), "int"
-    steps = max(1, len(cuts).bit_length())
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")),
-        lambda acc, _: F.when(acc["low"] >= acc["high"], acc).otherwise(
-            F.when(
-                F.col(id_col) <= F.get(bounds, F.floor((acc["low"] + acc["high"]) / 2).cast(kind)),
-                F.struct(acc["low"].alias("low"), F.floor((acc["low"] + acc["high"]) / 2).cast(kind).alias("high")),
-            ).otherwise(F.struct((F.floor((acc["low"] + acc["high"]) / 2) + 1).cast(kind).alias("low"), acc["high"].alias("high")))
-        ),
-        lambda acc: acc["low"],
-    )
-    placed = df.withColumn("__range", F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(found))
-    order = [F.col(id_col).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]
-    here = F.struct(*columns)
-    key = F.struct(F.col(id_col), *ties, here.alias("__here"))
-    firsts = placed.groupBy("__range").agg(F.min(key).alias("__first"))
-    firsts = firsts.select("__range", F.col("__first.__here").alias("__first"))
-    around = Window.orderBy("__range")  # one row per range: RANGES + 1 at most
-    start = F.first("__first").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = firsts.select("__range", F.coalesce(F.lead("__first").over(around), start).alias("__after"))
-    led = placed.withColumn("next", F.lead(here).over(Window.partitionBy("__range").orderBy(*order)))
-    return led.join(F.broadcast(after) if rows < RANGE else after, "__range").withColumn("next", F.coalesce("next", "__after")).drop("__range", "__after")
-
-
-def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = keys.count()
+    ranges = max(1, min(RANGES, rows // size))
+    if ranges == 1:
+        return [], []
+    rate = min(1.0, ranges * EACH / rows)
+    drawn = keys.where(F.rand(7) < rate).orderBy("key", "tie").collect()
+    cuts = [(r["key"], r["tie"]) for r in drawn[:: max(1, round(len(drawn) / ranges))][1:]]
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    return sorted(set(cuts)), heavy
+
+
+def in_order(rows: DataFrame, *, size: int = RANGE) -> DataFrame:
+    """``rows(key, tie, text)`` with ``fingerprint`` and ``next``, the text and fingerprint that follow in order of key and tie.
+
+    After the last row comes the first. A window within each range of keys gives the next row, and a range's
+    last row gets the first one of the next range. Where one key holds many rows, ranges cut its ties. Rows of one
+    key and tie are of one text; where they are as many as a range, one of them stands for all in the order, and
+    the others follow each other.
+    """
+    keys = materialise(rows.select("key", "tie"), "keys")
+    cuts, heavy = range_cuts(keys, size)
+    single = rows
+    if heavy:
+        wide = keys.sparkSession.createDataFrame(heavy, "key long, tie long").withColumn("heavy", F.lit(True))  # RANGES pairs at most
+        marked = rows.join(F.broadcast(wide), ["key", "tie"], "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+        others = [F.first(c).alias(c) for c in rows.columns if c not in ("key", "tie")]
+        same = materialise(marked.where("heavy").groupBy("key", "tie").agg(F.count(F.lit(1)).alias("many"), *others), "copies")
+        single = marked.where("not heavy").select(*rows.columns).unionByName(same.select(*rows.columns))
+
+    here, where = F.struct("text", "fingerprint"), _range_of(F.col("key"), F.col("tie"), cuts)
+    # The first row of each range, found by its key alone; only these rows' texts are read again.
+    firsts = materialise(keys.withColumn("range", where).groupBy("range").agg(F.min(F.struct("key", "tie")).alias("k")).select("range", "k.*"), "firsts")
+    order = Window.orderBy("range")  # a narrow row for each range: RANGES + 1 at most
+    after = firsts.select("range", F.coalesce(F.lead("range").over(order), F.first("range").over(order)).alias("after"))
+    first_rows = rows.join(F.broadcast(firsts), ["key", "tie"]).groupBy("range").agg(F.first("text").alias("text"))
+    first_rows = with_fingerprint(materialise(first_rows, "first-texts"), "text", "fingerprint").select(F.col("range").alias("after"), here.alias("first"))
+    follow = materialise(after.join(first_rows, "after").select("range", "first"), "follow")
+    placed = with_fingerprint(single.withColumn("range", where), "text", "fingerprint")
+    led = placed.withColumn("next", F.lead(here).over(Window.partitionBy("range").orderBy("key", "tie")))
+    # Both sides meet by range, by which the window has dealt the rows already.
+    led = led.join(follow.hint("merge"), "range").withColumn("next", F.coalesce("next", "first")).drop("range", "first")
+    if heavy:
+        copies = with_fingerprint(same.where("many > 1"), "text", "fingerprint").withColumn("next", here)
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(2).cast("long"), "many")))
+        led = led.unionByName(copies.select(*led.columns))
+    return led
+
+
+def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = RANGE) -> DataFrame:
     """For every row of ``docs``, its fingerprint, that of its edited text, and how alike they are.
 
     The edited text has the first half of the text and, in place of the last floor(n / 2) code
     points, as many of the next document's first (all, if it has fewer). Returns ``(id, text,
     n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next)``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    printed = with_fingerprint(rows, "text", "fingerprint")
-    led = in_order(printed, "id", ["text"], ["text", "fingerprint"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("key"), F.xxhash64(text).alias("tie"))
+    led = in_order(rows, size=size)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next.text"), F.lit(1), half))

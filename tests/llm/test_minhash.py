@@ -51,18 +51,40 @@ def alike(a, b):
     return max(0.0, (m - 1 / 256) / (1 - 1 / 256))
 
 
-def test_all_columns_match_brute_force(spark, monkeypatch):
-    rows = sorted(((i, t or "") for i, t, *_ in awkward()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+def expected(rows):
+    """All columns by brute force, from (id, text) pairs."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (2**63 - 1 if r[0] is None else r[0], xx(r[1].encode())))
+    prints = {t: plain(t) for _, t in rows}
     want = []
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), plain(t), plain(e), round(alike(plain(t), plain(e)), 9), round(alike(plain(t), plain(nxt)), 9)))
+        p = plain(e)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), prints[t], p, round(alike(prints[t], p), 9), round(alike(prints[t], prints[nxt]), 9)))
+    return sorted(want, key=str)
+
+
+def computed(docs, **options):
+    got = minhash.edited_fingerprints(docs, **options).collect()
+    return sorted(((r.id, r.n_chars, hashlib.sha256(r.edited.encode()).hexdigest(), r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str)
+
+
+def test_all_columns_match_brute_force(spark):
+    want = expected([(i, t) for i, t, *_ in awkward()])
     for size in (minhash.RANGE, 2):
-        monkeypatch.setattr(minhash, "RANGE", size)
-        got = minhash.edited_fingerprints(frame(spark)).collect()
-        got = [(r.id, r.n_chars, hashlib.sha256(r.edited.encode()).hexdigest(), r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
-        assert sorted(got, key=str) == sorted(want, key=str)
+        assert computed(frame(spark), size=size) == want
+
+
+def test_hot_ids_and_hot_rows(spark):
+    rows = [(None if i % 3 else 7, f"text {i} of a hot id", None, None, None) for i in range(120)]
+    rows += [(50, "one row many times over", None, None, None)] * 80 + [(i, f"other {i}", None, None, None) for i in range(60)]
+    docs = frame(spark, rows)
+    assert computed(docs, size=8) == expected([r[:2] for r in rows])
+    keys = docs.selectExpr("coalesce(doc_id, 9223372036854775807) as key", "xxhash64(coalesce(text, '')) as tie")
+    cuts, heavy = minhash.range_cuts(keys, 8)
+    assert len(heavy) == 1 and heavy[0][0] == 50
+    placed = keys.select(minhash._range_of(keys.key, keys.tie, cuts).alias("r"), "key").where("key <> 50").groupBy("r").count()
+    assert max(r["count"] for r in placed.collect()) < 40  # a third of the rows has one id
 
 
 def test_likeness_estimates_jaccard(spark):
