@@ -3,38 +3,40 @@
 A window is ``WINDOW`` consecutive words of one document. Every word covered by a window whose
 words also start anywhere else goes.
 
-*Recompression.* A text is a sequence of symbols, at first its words, named by hashes of their
-content, so every task of every round gives equal content the same name without a dictionary.
-A round of runs replaces each maximal run of one symbol that is at most ``RUN`` words long by a
-symbol for symbol and number; a round of pairs replaces neighbours (a, b), a and b different, whose
-names fall in the classes *left* and *right*, by a symbol for the pair, if that is at most ``PAIR``
-words long. What a round does within a window depends on what is outside only at the window's
-ends: of a run that goes on outside at most ``RUN`` words are affected, and of the next symbol
-(at most ``RUN`` words) those that a pair from outside takes. So, ``MARGIN`` words from either
-end, equal windows consist of equal symbols.
-
-*High-level symbols.* From each symbol on, the symbols that make up at least ``UNIT`` words are one
-high-level symbol, of at most ``UNIT + PAIR - 1`` words. Of those that begin within ``SPAN`` words in
-a row, the one of the least name (the first, if several) is kept. A window's interior holds ``SPAN``
-beginnings of whole high-level symbols, so equal windows keep an equal one at the same
-place: none is missed.
-
-*Verification.* High-level symbols that are kept at least twice in the table reveal the candidates:
-windows around them. Candidates' words are hashed to 128 bits; those that occur twice are the
-repeats. A hash stands for its words throughout; no window is compared with another directly.
-
-Texts that occur several times are settled by counting them, and their windows take part
-only around symbols that other texts have, too.
+*Recompression.* A text is a sequence of symbols, at first its words. ``ROUNDS`` says what the rounds do: a round
+of runs (``R``) replaces every maximal run of one symbol, however long, by a symbol for symbol and number; a round of
+pairs (``P``) deals the symbols to the classes *left* and *right* and replaces every left symbol with the right one
+after it by a symbol for the pair. Symbols are named by hashes of what they are made of, so every task gives equal
+content the same name: the naming is global without a dictionary, a shuffle or a further pass over the table.
+
+*Interior symbols.* What a round does inside a window depends on what is outside only at the window's ends: a
+run at either end may go on outside, a first symbol that is a right one and a last one that is a left one may
+be half of a pair. These are popped; all other symbols of the window are the same wherever its words occur.
+So a window is a sequence of popped symbols, round by round from both ends, and equal windows, and
+only they, have equal sequences: the hash of this sequence, 128 bits, is the window's name.
+
+*High-level symbols.* A window's high-level symbol is the interior symbol that outlasts the others: of the last round
+that leaves any, the one of the least name. Equal windows have the same one at the same place, so none is missed.
+
+*Spark's rounds.* One counts the high-level symbols of the whole table; those that occur at least twice reveal the
+candidates, the windows whose own high-level symbol they are. The next counts the candidates' names, which verify
+them; those that occur twice are the repeats. A name stands for its words throughout; no window is compared with
+another directly.
+
+Texts that occur several times are settled by counting them; one row of each stands for all, and its windows take
+part only around symbols that other texts have, too.
 
 Defined cases: null is a text without words; a text shorter than a window keeps everything; a
 repeated row is a repeat of all its windows; equal windows within a text count as well;
-a long run of one word is a repeat of itself; an empty table gives an empty result.
+a long run of one word is a repeat of itself; symbols of one name tie and go by place; a very long text is one
+sequence like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +46,11 @@ from pyspark.sql import functions as F
 
 from meshlark.llm.common import materialise
 
-RUN, PAIR = 2, 3
-MARGIN = RUN + RUN
-WINDOW, UNIT = 35, 8
-NO_UNIT = np.uint64(2**64 - 1)
+WINDOW, ROUNDS = 35, "RPPRPPPPP"
 #: Words whose symbols are held at once, about (at least one whole text).
 BATCH_WORDS = 1 << 20
 
 
-def span(window: int, unit: int) -> int:
-    """How many words in a row hold the beginning of a kept high-level symbol."""
-    out = window - 2 * MARGIN - (unit + PAIR - 1) + 1
-    if out < PAIR:
-        raise ValueError("the window is too short for the unit")
-    return out
-
-
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     """A name for two names in order."""
     x = (a ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -75,104 +66,128 @@ def names(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
 
 
-def runs(sym: np.ndarray, start: np.ndarray, size: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A round of run compression."""
-    same = (sym[1:] == sym[:-1]) & (start[:-1] + size[:-1] == start[1:])
-    head = np.flatnonzero(np.r_[True, ~same])
-    many = np.diff(np.r_[head, len(sym)])
-    total = size[head] * many
-    merged = (many > 1) & (total <= cap)
-    keep = np.ones(len(sym), bool)
-    sym, size = sym.copy(), size.copy()
-    at = head[merged]
-    sym[at] = mixed(sym[at], many[merged].astype(np.uint64), 1)
-    size[at] = total[merged]
-    for k in range(1, cap):
-        keep[at[many[merged] > k] + k] = False
-    return sym[keep], start[keep], size[keep]
-
-
-def pairs(sym: np.ndarray, start: np.ndarray, size: np.ndarray, cap: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A round of pair compression."""
-    right = (mixed(sym, sym, salt) >> np.uint64(7) & np.uint64(1)).astype(bool)
-    fit = (start[:-1] + size[:-1] == start[1:]) & (size[:-1] + size[1:] <= cap) & (sym[:-1] != sym[1:])
-    at = np.flatnonzero(fit & ~right[:-1] & right[1:])
-    keep = np.ones(len(sym), bool)
-    keep[at + 1] = False
-    new, size = sym.copy(), size.copy()
-    new[at] = mixed(sym[at], sym[at + 1], salt + 1)
-    size[at] += size[at + 1]
-    return new[keep], start[keep], size[keep]
-
-
-def units(word: np.ndarray, begin: np.ndarray, many: np.ndarray, window: int = WINDOW, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(name, position, length)`` of the kept high-level symbols of several texts.
-
-    ``word`` holds the words' names of all texts, with one position free after each text;
-    ``begin`` and ``many`` say where each text's words are.
+@dataclass
+class Round:
+    """The symbols that a round finds: their names (a row for each lane), first words, and what the round does with them."""
+
+    kind: str
+    name: np.ndarray
+    start: np.ndarray
+    to: np.ndarray | None = None  # the symbol of the next round that each becomes part of
+    edge: np.ndarray | None = None  # R: where runs begin, and the end
+    right: np.ndarray | None = None  # P: the class
+
+
+def recompress(name: np.ndarray, text: np.ndarray, rounds: str = ROUNDS) -> list[Round]:
+    """All rounds over the words of several texts; ``name`` is (lanes, words), ``text`` tells which text a word is of.
+
+    The first lane decides, further ones only lengthen the names. The last entry holds what the rounds leave.
     """
-    inside = np.zeros(len(word) + 1, np.int64)
-    inside[begin], inside[begin + many] = 1, -1
-    at = np.flatnonzero(np.cumsum(inside[:-1]))
-    sym, start, size = word[at], at, np.ones(len(at), np.int64)
-    sym, start, size = runs(sym, start, size, RUN)
-    sym, start, size = pairs(sym, start, size, PAIR, 2)
-    # High-level symbols: extend each symbol by its neighbours until it is long enough.
-    n = len(sym)
-    name, length, nxt = sym.copy(), size.copy(), np.arange(1, n + 1)
-    todo = np.arange(n)
-    while True:
-        todo = todo[length[todo] < unit]
-        if not len(todo):
-            break
-        go = nxt[todo] < n
-        go[go] = start[todo[go]] + length[todo[go]] == start[nxt[todo[go]]]
-        length[todo[~go]] = 1 << 40  # the text ends before
-        todo = todo[go]
-        name[todo] = mixed(name[todo], sym[nxt[todo]], 4)
-        length[todo] += size[nxt[todo]]
-        nxt[todo] += 1
-    whole = length < 1 << 40
-    name, start, length = np.minimum(name[whole], NO_UNIT - np.uint64(1)), start[whole], length[whole]
-    # The least name of every SPAN positions: a sliding minimum of positions, by doubling.
-    width = span(window, unit)
-    dense = np.full(len(word), NO_UNIT, np.uint64)
-    dense[start] = name
-    least, have = np.arange(len(word)), 1
-    while have < width:
-        step = min(have, width - have)
-        a, b = least[:-step], least[step:]
-        least = np.where(dense[a] <= dense[b], a, b)
-        have += step
-    # Only spans within one text count.
-    inside = np.zeros(len(word) + 1, np.int64)
-    long = many >= width
-    inside[begin[long]] += 1
-    inside[begin[long] + many[long] - width + 1] -= 1
-    spans = np.flatnonzero(np.cumsum(inside[: len(least) + 1])[: len(least)])
-    kept = np.unique(least[spans])
-    kept = kept[dense[kept] != NO_UNIT]
-    where = np.searchsorted(start, kept)
-    return name[where], start[where], length[where]
-
-
-def window_names(word: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The name of every window's words, from the names of words; of one text, shape (words - window + 1,)."""
-    level, have, out, covered = word, 1, None, 0
-    rest = window
-    n = len(word) - window + 1
-    while rest:
-        if rest & 1:
-            part = level[covered : covered + n]
-            out = part if out is None else mixed(out, part, 5)
-            covered += have
-        rest >>= 1
-        if rest:
-            level = mixed(level[:-have], level[have:], 6)
-            have *= 2
+    out, start = [], np.arange(name.shape[1], dtype=np.int32)
+    for k, kind in enumerate(rounds):
+        same = text[1:] == text[:-1]
+        if kind == "R":
+            joined, right = same & (name[0, 1:] == name[0, :-1]), None
+        else:
+            right = (mixed(name[0], name[0], 2 * k) >> np.uint64(7) & np.uint64(1)).astype(bool)
+            joined = same & ~right[:-1] & right[1:]
+        head = np.ones(name.shape[1], bool)
+        head[1:] = ~joined
+        at = np.flatnonzero(head).astype(np.int32)
+        edge = np.append(at, np.int32(len(head)))
+        out.append(Round(kind, name, start, (np.cumsum(head, dtype=np.int32) - 1).astype(np.int32), edge, right))
+        many = np.diff(edge)
+        big = np.flatnonzero(many > 1)
+        new = name[:, at]
+        for lane in range(len(name)):
+            other = many[big].astype(np.uint64) if kind == "R" else name[lane, at[big] + 1]
+            new[lane, big] = mixed(name[lane, at[big]], other, 2 * k + 1 + 64 * lane)
+        name, start, text = new, start[at], text[at]
+    out.append(Round("", name, start))
     return out
 
 
+def least(name: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where the least name of each range ``i .. j - 1`` is, the first of several."""
+    best, low, todo, step = i.copy(), name[i], np.flatnonzero(j - i > 1), 1
+    while len(todo):
+        at = i[todo] + step
+        less = name[at] < low[todo]
+        best[todo[less]], low[todo[less]] = at[less], name[at[less]]
+        step += 1
+        todo = todo[j[todo] - i[todo] > step]
+    return best
+
+
+def popped(level: Round, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols ``i .. j - 1`` of windows, without those that the round may join with others outside, as symbols of the next round."""
+    if level.kind == "R":
+        return level.to[i] + 1, level.to[j - 1]
+    i = i + level.right[i]
+    j = j - ((j > i) & ~level.right[j - 1])
+    rest = j > i
+    return np.where(rest, level.to[np.minimum(i, len(level.to) - 1)], 0), np.where(rest, level.to[j - 1] + 1, 0)
+
+
+def high_symbols(rounds: list[Round], begin: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """``(name, first word)`` of the high-level symbol of the windows that begin at these words."""
+    name, first = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.int32)
+    todo, i, j = np.arange(len(begin)), begin.astype(np.int32), (begin + window).astype(np.int32)
+    for level in rounds:
+        if level.kind:
+            x, y = popped(level, i, j)
+            last = x >= y
+        else:
+            x, y, last = i, j, np.ones(len(i), bool)
+        at = least(level.name[0], i[last], j[last])
+        name[todo[last]], first[todo[last]] = level.name[0, at], level.start[at]
+        todo, i, j = todo[~last], x[~last], y[~last]
+    return name, first
+
+
+def window_names(rounds: list[Round], begin: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The names of the windows that begin at these words, a row for each lane: hashes of their popped symbols."""
+    lanes = len(rounds[0].name)
+    left, right = np.zeros((lanes, len(begin)), np.uint64), np.zeros((lanes, len(begin)), np.uint64)
+    todo, i, j = np.arange(len(begin)), begin.astype(np.int32), (begin + window).astype(np.int32)
+
+    def add(chain: np.ndarray, who: np.ndarray, level: Round, at: np.ndarray, many: np.ndarray | None = None) -> None:
+        for lane in range(lanes):
+            value = level.name[lane, at]
+            if many is not None:
+                value = mixed(value, many.astype(np.uint64), 129 + lane)
+            chain[lane, who] = mixed(chain[lane, who], value, 131 + lane)
+
+    for level in rounds[:-1]:
+        if level.kind == "R":
+            add(left, todo, level, i, np.minimum(level.edge[level.to[i] + 1], j) - i)
+            two = level.to[i] != level.to[j - 1]
+            add(right, todo[two], level, j[two] - 1, (j - level.edge[level.to[j - 1]])[two])
+        else:
+            lost = level.right[i]
+            add(left, todo[lost], level, i[lost])
+            lost = (j > i + lost) & ~level.right[j - 1]
+            add(right, todo[lost], level, j[lost] - 1)
+        i, j = popped(level, i, j)
+        rest = j > i
+        todo, i, j = todo[rest], i[rest], j[rest]
+    while len(todo):
+        add(left, todo, rounds[-1], i)
+        i = i + 1
+        rest = j > i
+        todo, i, j = todo[rest], i[rest], j[rest]
+    return np.stack([mixed(left[lane], right[lane], 133 + lane) for lane in range(lanes)])
+
+
+def laid_out(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the words of texts, which text each is of, and the words at which a window begins."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    word = names([w for t in texts for w in t]).T.copy()
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
+    return word, text, np.flatnonzero(left >= window)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[list[bytes]]]]:
     """Slices of batches of about ``BATCH_WORDS`` words, with the words of their texts."""
     for batch in batches:
@@ -187,20 +202,19 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch, low, batch.num_rows, held
 
 
-def _keys(window: int, unit: int):
+def _keys(window: int, rounds: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, low, high, texts in _texts(batches, 3):
             sizes = [len(t) for t in texts]
             found, when = [np.zeros(0, np.uint64)] * len(texts), [k for k, n in enumerate(sizes) if n >= window]
             if when:
-                many = np.array([sizes[k] for k in when])
-                begin = np.r_[0, np.cumsum(many + 1)[:-1]]
-                word = np.zeros(int((many + 1).sum()), np.uint64)
-                for k, b, n in zip(when, begin, many, strict=True):
-                    word[b : b + n] = names(texts[k])[:, 0]
-                name, at, _ = units(word, begin, many, window, unit)
-                cut = np.searchsorted(at, begin[1:])
-                for k, part in zip(when, np.split(name, cut), strict=True):
+                word, text, begin = laid_out([texts[k] for k in when], window)
+                name, first = high_symbols(recompress(word[:1], text, rounds), begin, window)
+                order = np.lexsort([name, first])
+                name, first = name[order], first[order]
+                new = np.r_[True, (name[1:] != name[:-1]) | (first[1:] != first[:-1])]
+                name, owner = name[new], text[first[new]]
+                for k, part in zip(when, np.split(name, np.searchsorted(owner, np.arange(1, len(when)))), strict=True):
                     found[k] = part
             kept = [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts]
             part = batch.slice(low, high - low)
@@ -210,29 +224,23 @@ def _keys(window: int, unit: int):
     return run
 
 
-def _candidates(window: int, unit: int):
-    """For each text with shared keys: the positions and names of the windows around them."""
+def _candidates(window: int, rounds: str):
+    """For each text with shared high-level symbols: the positions and names of the windows that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, low, high, texts in _texts(batches, 2):
-            keys = batch.slice(low, high - low).column(3)
-            out = [[], [], []]
-            for k, words in enumerate(texts):
-                shared = keys[k].values.to_numpy().view(np.uint64)
-                n = len(words)
-                both = names(words)
-                word = np.r_[both[:, 0], np.uint64(0)]
-                name, at, length = units(word, np.array([0]), np.array([n]), window, unit)
-                hit = np.isin(name, shared)
-                at, length = at[hit], length[hit]
-                inside = np.zeros(n + 2, np.int64)
-                np.add.at(inside, np.maximum(at + length - window, 0), 1)
-                np.add.at(inside, np.minimum(at, n - window) + 1, -1)
-                start = np.flatnonzero(np.cumsum(inside[: n - window + 1]) > 0)
-                out[0].append(start.astype(np.int32))
-                for lane in (0, 1):
-                    out[1 + lane].append(window_names(np.ascontiguousarray(both[:, lane]), window)[start].view(np.int64))
             part = batch.slice(low, high - low)
+            word, text, begin = laid_out(texts, window)
+            levels = recompress(word, text, rounds)
+            name, _ = high_symbols(levels, begin, window)
+            cut = np.searchsorted(text[begin], np.arange(1, len(texts)))
+            hit = [np.isin(n, keys.values.to_numpy().view(np.uint64)) for n, keys in zip(np.split(name, cut), part.column(3), strict=True)]
+            begin = begin[np.concatenate(hit)]
+            one, two = window_names(levels, begin, window)
+            owner = text[begin]
+            cut = np.searchsorted(owner, np.arange(1, len(texts)))
+            begin = (begin - np.searchsorted(text, np.arange(len(texts)))[owner]).astype(np.int32)
+            out = [np.split(x, cut) for x in (begin, one.view(np.int64), two.view(np.int64))]
             cols = [part.column(0), part.column(1), pa.array(out[0], pa.list_(pa.int32())), *(pa.array(o, pa.list_(pa.int64())) for o in out[1:])]
             yield pa.RecordBatch.from_arrays(cols, ["th", "tg", "start", "w1", "w2"])
 
@@ -277,38 +285,37 @@ def repeated_starts(windows: DataFrame) -> DataFrame:
     return found.union(unclear.join(materialise(pairs, "repeats"), ["w1", "w2"]).select("row", "start"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: str = ROUNDS) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256)``, a row for each row of ``docs``.
 
     ``kept_sha256`` is of the kept words, joined by blanks.
     """
-    span(window, unit)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A text's name: two hashes, 128 bits.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tg"), text.cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = materialise(rows.mapInArrow(_keys(window, unit), f"id {kind}, th long, tg long, n_words long, whole_sha string, keys array<long>"), "keyed")
+    keyed = materialise(rows.mapInArrow(_keys(window, rounds), f"id {kind}, th long, tg long, n_words long, whole_sha string, keys array<long>"), "keyed")
 
-    texts = keyed.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    texts = keyed.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("keys").alias("keys"))
     texts = materialise(texts.where(F.size("keys") > 0), "texts")
     each = texts.select("th", "tg", "copies", F.explode("keys").alias("key"))
-    # How often a key is kept, and by how many texts it may be (1: by one text only).
+    # How often a key is there, and in how many texts it may be (1: in one text only).
     count = each.groupBy("key").agg(F.sum("copies").alias("total"), F.min("th").alias("low"), F.max("th").alias("high"))
     shared = materialise(count.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("several")), "shared-keys")
     known = each.join(shared, "key").where("several or copies = 1").groupBy("th", "tg").agg(F.collect_set("key").alias("shared"))
-    known = materialise(known, "shared")
+    known = materialise(known.join(texts.select("th", "tg", "rep", "copies"), ["th", "tg"]), "shared")
 
-    revealed = rows.join(known, ["th", "tg"]).select("th", "tg", "text", "shared")
-    candidate = revealed.mapInArrow(_candidates(window, unit), "th long, tg long, start array<int>, w1 array<long>, w2 array<long>")
+    revealed = _one_of_each(rows, known.select("th", "tg", "rep", "shared")).select("th", "tg", "text", "shared")
+    candidate = revealed.mapInArrow(_candidates(window, rounds), "th long, tg long, start array<int>, w1 array<long>, w2 array<long>")
     candidate = materialise(candidate.withColumn("row", F.monotonically_increasing_id()), "candidates")
-    copied = texts.where("copies > 1").select("th", "tg", "copies")
-    asked = candidate.join(copied, ["th", "tg"], "left_anti").select("row", "th", "tg")
+    asked = candidate.join(known.where("copies = 1").select("th", "tg", "rep"), ["th", "tg"]).select("row", "th", "tg", "rep")
     starts = repeated_starts(candidate.select("row", F.explode(F.arrays_zip("start", "w1", "w2")).alias("w")).select("row", "w.*"))
-    places = materialise(starts.groupBy("row").agg(F.collect_set("start").alias("start")).join(asked, "row").select("th", "tg", "start"), "places")
-    partly = rows.join(places, ["th", "tg"]).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
+    places = materialise(starts.groupBy("row").agg(F.collect_set("start").alias("start")).join(asked, "row").select("th", "tg", "rep", "start"), "places")
+    partly = _one_of_each(rows, places).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
     partly = partly.select("th", "tg", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
     # One row for each text that loses words; rows of one text may be many, so they meet it in a single plain join.
+    copied = texts.where("copies > 1").select("th", "tg", "copies")
     fates = materialise(copied.join(partly, ["th", "tg"], "full"), "fates")
     out = keyed.select("id", "th", "tg", "n_words", "whole_sha").join(fates, ["th", "tg"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
@@ -318,3 +325,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha")).alias("kept_sha256"),
     )
+
+
+def _one_of_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted(th, tg, rep, ...)`` with ``text``: a row of that text and id, one of them if it is there again.
+
+    Copies with other ids meet nothing, so that a text of very many copies is no hot key.
+    """
+    rep = wanted["rep"]
+    found = rows.join(wanted, (rows["th"] == wanted["th"]) & (rows["tg"] == wanted["tg"]) & rows["id"].eqNullSafe(rep))
+    return found.select(*[wanted[c] for c in wanted.columns], "text").dropDuplicates(["th", "tg"])

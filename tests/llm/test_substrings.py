@@ -45,41 +45,90 @@ def test_matches_brute_force(spark):
         assert sorted(((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == plain(rows, 35)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(0, 2**32), st.integers(1, 6), st.integers(0, 30), st.integers(0, 30), st.integers(0, 30))
-def test_equal_windows_keep_an_equal_symbol_at_the_same_place(seed, letters, before, between, after):
-    """The claim that no window is missed, also for runs and periods."""
+def words_of(numbers):
+    return [b"%d" % x for x in numbers]
+
+
+def laid(*texts, window=35, rounds=s.ROUNDS):
+    word, text, begin = s.laid_out([words_of(t) for t in texts], window)
+    return s.recompress(word, text, rounds), begin
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 6), st.integers(0, 30), st.integers(0, 30), st.integers(0, 30), st.sampled_from([2, 7, 35]))
+def test_equal_windows_have_one_high_symbol_at_one_place(seed, letters, before, between, after, window):
+    """The claim that no window is missed, also for runs and periods, and that names are of content."""
     rng = np.random.default_rng(seed)
-    raw = rng.integers(0, letters, 35 + before + between + after)
-    same = rng.integers(0, letters, 35)
+    raw = rng.integers(0, letters, before + between + after)
+    same = rng.integers(0, letters, window)
     if seed % 3 == 0:
-        same = np.resize(same[: 1 + seed % 7], 35)
+        same = np.resize(same[: 1 + seed % 7], window)
     text = np.r_[raw[:before], same, raw[before : before + between], same, raw[before + between :]]
-    word = np.r_[s.names([b"%d" % x for x in text])[:, 0], np.uint64(0)]
-    name, at, length = s.units(word, np.array([0]), np.array([len(text)]))
-    first, second = ({(int(a) - b, int(n), int(k)) for a, n, k in zip(at, name, length) if b <= a and a + k <= b + 35} for b in (before, before + 35 + between))
-    assert first & second
+    levels, begin = laid(text, window=window)
+    name, first = s.high_symbols(levels, begin, window)
+    names = s.window_names(levels, begin, window)
+    content = [tuple(text[b : b + window].tolist()) for b in begin]
+    seen = {}
+    for c, n, at, b, w in zip(content, name.tolist(), first.tolist(), begin.tolist(), names.T.tolist(), strict=True):
+        assert b <= at < b + window
+        assert seen.setdefault(c, (n, at - b, w)) == (n, at - b, w)
+    assert len({tuple(w) for _, _, w in seen.values()}) == len(seen)  # different windows, different names
+
+
+def test_rounds_replace_runs_and_pairs():
+    """Symbols of every round stand for the words that they should, and the rounds leave few."""
+    rng = np.random.default_rng(2)
+    text = np.r_[rng.integers(0, 50, 3000), np.full(1000, 7), np.resize([1, 2], 500)]
+    levels, _ = laid(text)
+    for level, after in zip(levels, levels[1:]):
+        assert (level.start[np.r_[True, level.to[1:] != level.to[:-1]]] == after.start).all()
+        if level.kind == "R":
+            assert (after.name[0, 1:] != after.name[0, :-1])[np.diff(level.edge)[1:] > 1].all()
+        else:
+            assert np.bincount(level.to).max() <= 2
+    for level in levels:  # equal names stand for equal words
+        ends, named = np.r_[level.start[1:], len(text)], {}
+        for n, a, b in zip(level.name[0].tolist(), level.start, ends):
+            assert named.setdefault(n, tuple(text[a:b])) == tuple(text[a:b])
+    assert len(levels[-1].start) < 0.2 * len(text)
+
+
+def test_high_symbols_make_few_candidates():
+    """Without the rounds, words alone would make nearly every window a candidate."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40, 400) for _ in range(60)]
+
+    def candidates(rounds):
+        levels, begin = laid(*texts, rounds=rounds)
+        name, first = s.high_symbols(levels, begin)
+        kept = np.unique(np.stack([name, first.astype(np.uint64)]), axis=1)[0]
+        values, many = np.unique(kept, return_counts=True)
+        return np.isin(name, values[many > 1]).mean()
+
+    assert candidates("") > 0.99 and candidates("RPP") > 0.5 and candidates(s.ROUNDS) < 0.1
 
 
 def test_several_texts_at_once_are_as_one_by_one():
     rng = np.random.default_rng(5)
-    texts = [rng.integers(0, 30, n) for n in (40, 35, 90, 36)]
-    words = [s.names([b"%d" % x for x in t])[:, 0] for t in texts]
-    many = np.array([len(t) for t in texts])
-    begin = np.r_[0, np.cumsum(many + 1)[:-1]]
-    joined = np.concatenate([np.r_[w, np.uint64(0)] for w in words])
-    together = s.units(joined, begin, many)
-    alone = [s.units(np.r_[w, np.uint64(0)], np.array([0]), np.array([len(w)])) for w in words]
-    assert together[0].tolist() == np.concatenate([a[0] for a in alone]).tolist()
-    assert together[1].tolist() == np.concatenate([a[1] + b for a, b in zip(alone, begin)]).tolist()
-
-
-def test_window_names():
-    rng = np.random.default_rng(1)
-    w = s.names([b"%d" % x for x in np.resize(rng.integers(0, 4, 40), 200)])[:, 0]
-    got = s.window_names(w, 35)
-    want = [tuple(w[i : i + 35].tolist()) for i in range(166)]
-    assert len(got) == 166 and len(set(got.tolist())) == len(set(want))
+    texts = [rng.integers(0, 3, n) for n in (40, 35, 0, 90, 10, 36)]
+    levels, begin = laid(*texts)
+    together = s.window_names(levels, begin)
+    alone = [s.window_names(*laid(t)) for t in texts if len(t) >= 35]
+    assert (together == np.concatenate(alone, axis=1)).all()
+
+
+def test_any_rounds_give_the_same_result(spark):
+    rows = rows_with_passages(7)
+    for rounds in ("", "R", "PPPP", "RPRPRPRPRPRPRPRPRPRPRP"):
+        got = s.remove_repeats(frame(spark, rows), window=35, rounds=rounds).collect()
+        assert sorted(((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == plain(rows, 35)
+
+
+def test_hot_text_and_equal_ids(spark):
+    rows = [(k if k % 2 else 4, " ".join(f"h{x}" for x in range(50)), None, None, None) for k in range(60)]
+    rows += [(100, " ".join(f"h{x}" for x in range(10, 50)) + " tail", None, None, None), (None, " ".join(["z"] * 80), None, None, None)]
+    got = s.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == plain(rows, 35)
 
 
 def test_names_that_share_a_half(spark):
