@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.llm.bktree import BKForest, roots
-from meshlark.llm.common import materialise
+from meshlark.llm.common import free_names, materialise
 from meshlark.llm.components import connected_components
 
 SEED = 42
@@ -351,8 +351,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     have none), the one whose text hashes lowest, and any one of equal texts.
     """
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col, **options)
-    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("text_hash").alias("__hash"), F.first("id").alias("__id"))
-    first = first.select("__hash", "__id").distinct()
-    marked = docs.withColumn("__text_hash", _text_hash(text_col))
-    kept = marked.join(first, marked[id_col].eqNullSafe(first["__id"]) & (marked["__text_hash"] == first["__hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    key, least = free_names(docs, "text_hash", "least_id")
+    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("text_hash").alias("hash"), F.first("id").alias("id"))
+    first = first.select(F.col("hash").alias(key), F.col("id").alias(least)).distinct()
+    marked = docs.withColumn(key, _text_hash(text_col))
+    kept = marked.join(first, marked[id_col].eqNullSafe(first[least]) & (marked[key] == first[key]), "left_semi")
+    return kept.dropDuplicates([id_col, key]).drop(key)
