@@ -5,8 +5,8 @@
 2. Vectors are scaled to length 1 and quantised to int8: ``x = s q + e``. The bound
    ``|x.y - s s' q.q'| <= |s q| |e'| + |e| (|s' q'| + |e'|)`` holds for every pair (Cauchy-Schwarz),
    plus an allowance for rounding.
-3. Blocks of ``BLOCK`` vectors are paired, each pair once, and pairs of blocks go to tasks. A
-   task multiplies tiles of int8 values (exactly: a product of two rows stays below 2 ** 24 in
+3. Blocks of ``BLOCK_BYTES`` of vectors, as packed bytes, are paired, each pair once, and pairs of blocks go to
+   tasks. A task multiplies tiles of int8 values (exactly: a product of two rows stays below 2 ** 24 in
    single precision up to 1,040 components, and longer vectors are multiplied in double) and
    keeps the pairs whose bound reaches the threshold; only these are recomputed from the full
    vectors in double precision.
@@ -14,7 +14,7 @@
    joined by :func:`meshlark.llm.components.connected_components`.
 
 Every pair of different vectors is looked at, so work grows with the square of their number; memory
-does not. Vectors of different lengths link with nothing of another length.
+does not. A vector is sent once for each block, of which there are as few as fill the tasks or the blocks. Vectors of different lengths link with nothing of another length.
 
 Defined cases: repeated vectors link with each other; a repeated id is one more vector and counts
 as one; a null id never names a component; an empty table gives an empty result.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ from meshlark.llm.bktree import roots
 from meshlark.llm.common import materialise
 from meshlark.llm.components import connected_components
 
-#: Vectors in a block, and rows of a tile within a pair of blocks.
-BLOCK, TILE = 8192, 1024
+#: Bytes of vectors in a block, rows of a tile within a pair of blocks, bytes of vectors recomputed at once.
+BLOCK_BYTES, TILE, CHUNK_BYTES = 16 << 20, 1024, 32 << 20
 #: Vectors that a block has at least, about, when blocks are made smaller for more tasks.
 LEAST = 512
 #: Longest vectors whose int8 products single precision holds exactly.
@@ -77,20 +78,30 @@ def tile_links(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterat
             x, y = x[maybe] + i, y[maybe] + j
             if same:
                 x, y = x[x < y], y[x < y]
-            for k in range(0, len(x), 1 << 16):
-                u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            step = max(1, CHUNK_BYTES // (16 * a.shape[1]))
+            for k in range(0, len(x), step):
+                u, v = x[k : k + step], y[k : k + step]
                 hit = np.einsum("nd,nd->n", a[u], b[v]) >= least
                 if hit.any():
                     yield u[hit], v[hit]
 
 
-def _task(least: float):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[0], key[1]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vector of each row, in the last column, as bytes."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+        packed = [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "vec"])
+
+
+def _task(least: float, kind: str):
+    def run(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, dims = key
         ids, number = rows["node"].to_numpy(), rows["many"].to_numpy()
         left = np.flatnonzero(rows["block"].to_numpy() == i)
         right = left if i == j else np.flatnonzero(rows["block"].to_numpy() == j)
-        unit = normalised(np.array(rows["embedding"].tolist()))
+        unit = normalised(np.frombuffer(b"".join(rows["vec"]), kind).reshape(len(rows), dims))
         links = np.zeros(len(rows), np.int64)
         label = np.arange(len(rows))
         for u, v in tile_links(unit[left], unit[right], least, i == j):
@@ -106,26 +117,32 @@ def _task(least: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, block: int = BLOCK
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, block: int | None = None
 ) -> DataFrame:
     """``(id, n_links, component)``, a row for each row of ``vectors``."""
     v = F.col("embedding")
-    plain = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    # Single precision goes round as it is; everything else in double precision, in which all is computed.
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    number = "float" if single else "double"
+    plain = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{number}>").alias("embedding"))
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     # -0.0 equals 0.0
-    plain = plain.withColumn("sound", sound).withColumn("embedding", F.transform(v, lambda x: x + 0.0))
+    plain = plain.withColumn("sound", sound).withColumn("embedding", F.transform(v, lambda x: x + F.lit(0.0).cast(number)))
     rows = materialise(plain.withColumn("sound", F.coalesce("sound", F.lit(False))), "vectors")
     distinct = rows.where("sound").groupBy("embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding")), "distinct")
     # As few blocks as memory allows, but enough pairs of them to go round the tasks.
-    count = distinct.count()
+    count, widest = distinct.agg(F.count(F.lit(1)), F.max("dims")).first()
+    block = block or max(1, BLOCK_BYTES // ((4 if single else 8) * (widest or 1)))
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-count // block), min(-(-count // LEAST), math.ceil(math.sqrt(2 * tasks))))
-    placed = distinct.select("node", "many", "embedding", "dims", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
+    packed = distinct.select("node", "many", "dims", "embedding").mapInArrow(_packed, "node long, many long, dims int, vec binary")
+    placed = packed.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = placed.withColumn("other", other).select("node", "many", "embedding", "dims", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = placed.withColumn("other", other).select("node", "many", "vec", "dims", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # In pairs of blocks of one kind, a block's rows come once.
-    found = materialise(pairs.groupBy("i", "j", "dims").applyInPandas(_task(least), "node long, links long, other long"), "links")
+    work = _task(least, "<f4" if single else "<f8")
+    found = materialise(pairs.groupBy("i", "j", "dims").applyInPandas(work, "node long, links long, other long"), "links")
     roots_ = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = distinct.select("node", "least", "many", "embedding").join(links, "node", "left").join(roots_, "node", "left").withColumn("root", F.coalesce("root", "node"))

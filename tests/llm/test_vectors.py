@@ -38,7 +38,7 @@ def test_matches_brute_force_in_any_blocks(spark):
     rows = data()
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as node", "3 as root")
     want = plain(rows)
-    for block in (vectors.BLOCK, 30):
+    for block in (None, 30):
         got = sorted(((r.id, r.n_links, r.component) for r in vectors.embedding_groups(df, block=block).collect()), key=str)
         assert got == want
 
@@ -54,3 +54,11 @@ def test_bound_holds():
 
 def test_empty(spark):
     assert vectors.embedding_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_double_precision_stays(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.9, (1 - 0.81) ** 0.5 - 1e-9], 0), (3, [0.9 - 1e-9, (1 - 0.81) ** 0.5 + 1e-9], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: r.n_links for r in vectors.embedding_groups(df).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    assert got == {i: sum(float(unit[i] @ unit[j]) >= 0.9 for j in unit if j != i) for i in unit}
