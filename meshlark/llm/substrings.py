@@ -210,10 +210,13 @@ def _keys(window: int, rounds: str):
             if when:
                 word, text, begin = laid_out([texts[k] for k in when], window)
                 name, first = high_symbols(recompress(word[:1], text, rounds), begin, window)
-                order = np.lexsort([name, first])
-                name, first = name[order], first[order]
-                new = np.r_[True, (name[1:] != name[:-1]) | (first[1:] != first[:-1])]
-                name, owner = name[new], text[first[new]]
+                for ordered in (False, True):  # neighbours that share a symbol first, so that few are left to sort
+                    if ordered:
+                        order = np.lexsort([name, first])
+                        name, first = name[order], first[order]
+                    new = np.r_[True, (name[1:] != name[:-1]) | (first[1:] != first[:-1])]
+                    name, first = name[new], first[new]
+                owner = text[first]
                 for k, part in zip(when, np.split(name, np.searchsorted(owner, np.arange(1, len(when)))), strict=True):
                     found[k] = part
             kept = [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts]
@@ -294,9 +297,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # A text's name: two hashes, 128 bits.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tg"), text.cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
+    # Ids name a row of each text by their hash, which is never null.
+    named = rows.withColumn("rep", F.xxhash64("id"))
     keyed = materialise(rows.mapInArrow(_keys(window, rounds), f"id {kind}, th long, tg long, n_words long, whole_sha string, keys array<long>"), "keyed")
 
-    texts = keyed.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    texts = keyed.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("id")).alias("rep"), F.first("keys").alias("keys"))
     texts = materialise(texts.where(F.size("keys") > 0), "texts")
     each = texts.select("th", "tg", "copies", F.explode("keys").alias("key"))
     # How often a key is there, and in how many texts it may be (1: in one text only).
@@ -305,13 +310,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     known = each.join(shared, "key").where("several or copies = 1").groupBy("th", "tg").agg(F.collect_set("key").alias("shared"))
     known = materialise(known.join(texts.select("th", "tg", "rep", "copies"), ["th", "tg"]), "shared")
 
-    revealed = _one_of_each(rows, known.select("th", "tg", "rep", "shared")).select("th", "tg", "text", "shared")
+    revealed = _one_of_each(named, known.select("th", "tg", "rep", "shared")).select("th", "tg", "text", "shared")
     candidate = revealed.mapInArrow(_candidates(window, rounds), "th long, tg long, start array<int>, w1 array<long>, w2 array<long>")
     candidate = materialise(candidate.withColumn("row", F.monotonically_increasing_id()), "candidates")
     asked = candidate.join(known.where("copies = 1").select("th", "tg", "rep"), ["th", "tg"]).select("row", "th", "tg", "rep")
     starts = repeated_starts(candidate.select("row", F.explode(F.arrays_zip("start", "w1", "w2")).alias("w")).select("row", "w.*"))
     places = materialise(starts.groupBy("row").agg(F.collect_set("start").alias("start")).join(asked, "row").select("th", "tg", "rep", "start"), "places")
-    partly = _one_of_each(rows, places).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
+    partly = _one_of_each(named, places).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
     partly = partly.select("th", "tg", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
     # One row for each text that loses words; rows of one text may be many, so they meet it in a single plain join.
@@ -330,8 +335,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def _one_of_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The columns of ``wanted(th, tg, rep, ...)`` with ``text``: a row of that text and id, one of them if it is there again.
 
-    Copies with other ids meet nothing, so that a text of very many copies is no hot key.
+    Copies with other ids meet nothing, so that a text of very many copies is no hot key. The join has dealt the
+    rows as their selection needs them.
     """
-    rep = wanted["rep"]
-    found = rows.join(wanted, (rows["th"] == wanted["th"]) & (rows["tg"] == wanted["tg"]) & rows["id"].eqNullSafe(rep))
-    return found.select(*[wanted[c] for c in wanted.columns], "text").dropDuplicates(["th", "tg"])
+    return rows.drop("id").join(wanted, ["th", "tg", "rep"]).dropDuplicates(["th", "tg", "rep"])
