@@ -124,3 +124,19 @@ def nudged_levels(z: Column, height: float) -> Column:
     """Aggregate: how many levels lie below ``height``; all of them is an error."""
     below = F.count_if(z < height)
     return F.when(below >= F.count(z), F.raise_error(F.lit("no level lies above the nudging height"))).otherwise(below)
+
+
+#: Kinds of forcing, and the column that each gives a value to: fixed values.
+FORCINGS = {"pressure": "dpdx", "flow_rate": "u_flow", "profile": "u_geo", "coriolis": "coriolis"}
+
+
+def forcing_columns(kinds: Column, value: Column) -> dict[str, Column]:
+    """A run's forcing as columns, 0 but for the one kind that ``kinds`` (an array of names) has.
+
+    More than one kind, or one that is not known, is an error; none leaves all 0.
+    """
+    known = F.array(*[F.lit(k) for k in FORCINGS])
+    bad = F.when(F.size(kinds) > 1, F.raise_error(F.lit("more than one kind of forcing"))).when(
+        F.size(F.array_except(kinds, known)) > 0, F.raise_error(F.lit("unknown kind of forcing"))
+    )
+    return {c: F.when(F.array_contains(kinds, k), value).otherwise(F.coalesce(bad.cast("double"), F.lit(0.0))) for k, c in FORCINGS.items()}

@@ -33,9 +33,12 @@ def lerp_join(asked: DataFrame, known: DataFrame, keys: list[str], time: str, va
     rows = left.unionByName(right)
     rows = rows.withColumn("__a", F.last("__p", ignorenulls=True).over(back)).withColumn("__b", F.first("__p", ignorenulls=True).over(ahead))
     if ends == "extend":
-        points = right.withColumn("__t2", F.col("__t"))
-        edge = points.groupBy(*keys).agg(F.sort_array(F.collect_list("__p")).alias("s"))
-        edge = edge.select(*keys, F.get("s", F.lit(0)).alias("p0"), F.get("s", F.lit(1)).alias("p1"), F.get("s", F.size("s") - 2).alias("q0"), F.get("s", F.size("s") - 1).alias("q1"))
+        # Two points from either end of each series: its ranks stop there, no series is gathered.
+        ends_of = []
+        for names, ordered in ((("p0", "p1"), F.col("__p").asc()), (("q1", "q0"), F.col("__p").desc())):
+            ranked = right.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(ordered))).where("__n <= 2")
+            ends_of.append(ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("__n") == n, F.col("__p"))).alias(name) for n, name in enumerate(names, 1)]))
+        edge = ends_of[0].join(ends_of[1], keys)
         rows = rows.where("__row is not null").join(edge, keys, "left")
     a, b, t = F.col("__a"), F.col("__b"), F.col("__t").cast("double")
 

@@ -7,32 +7,86 @@ are aggregated by Spark, solved once, and the update streams over the augmented
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions.scalar import taper_inflation
+from meshlark.sources.states import shared_folder
+
+
+def dense(lists: pa.ListArray, members: np.ndarray, strict: bool = True) -> np.ndarray:
+    """Lists of ``(member, value)`` as a matrix, a column for each of the sorted ``members``; NaN where a row has none.
+
+    With ``strict``, a member that is not among them is an error, else it does not count.
+    """
+    pairs = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    member = pairs.field("member").to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(members, member), len(members) - 1)
+    known = members[at] == member
+    if strict and not known.all():
+        raise ValueError(f"no prediction for member {member[~known][0]}")
+    out = np.full((len(lists), len(members)), np.nan)
+    out[row[known], at[known]] = pairs.field("value").to_numpy(zero_copy_only=False)[known]
+    return out
+
+
+def by_row(augmented: DataFrame) -> DataFrame:
+    """``(row_id, members)``: the values of each row as an array of ``(member, value)``."""
+    return augmented.groupBy("row_id").agg(F.collect_list(F.struct("member", F.col("value").cast("double").alias("value"))).alias("members"))
+
+
+def _each_pair(rows: DataFrame, obs: DataFrame, out: str, of: Callable[..., np.ndarray]) -> DataFrame:
+    """``(row_id, obs_id, out)`` for the pairs with a common member, from sums over members that both have."""
+    small, obs_ids, members = _small(obs, "obs_id", "member", "value")
+    kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema, *obs.schema]}
+    members, ids = np.array(members), pa.array(obs_ids)
+    has_o = ~np.isnan(small)
+    shift = np.where(has_o.any(1), np.nanmean(np.where(has_o.any(1, keepdims=True), small, 0.0), axis=1), 0.0)
+    o = np.where(has_o, small - shift[:, None], 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = dense(batch.column(1), members, strict=False)
+            has = ~np.isnan(raw)
+            mean = np.where(has, raw, 0.0).sum(1) / np.maximum(has.sum(1), 1)
+            a = np.where(has, raw - mean[:, None], 0.0)
+            n = has.astype(float) @ has_o.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sa, sb = a @ has_o.T, has @ o.T
+                cov = (a @ o.T - sa * sb / n) / (n - 1)
+                value = of(cov, (a * a @ has_o.T - sa * sa / n) / (n - 1), (has @ (o * o).T - sb * sb / n) / (n - 1))
+            row, col = np.nonzero(n)
+            got = pa.array(value[row, col], mask=n[row, col] < 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids.take(pa.array(col)), got], ["row_id", "obs_id", out])
+
+    return by_row(rows).mapInArrow(run, f"row_id {kinds['row_id']}, obs_id {kinds['obs_id']}, {out} double")
 
 
 def covariance(rows: DataFrame, obs: DataFrame) -> DataFrame:
-    """``(row_id, obs_id, cov)``: sample covariances of rows and predicted observations over members.
+    """``(row_id, obs_id, cov)``: sample covariances of rows and predicted observations over the members that both have.
 
-    ``obs(obs_id, member, value)`` is small (observations x members) and broadcast only by Spark's own threshold.
+    ``obs(obs_id, member, value)`` is small (observations x members) and a matrix; rows stream by it in batches.
     """
-    o = obs.select("obs_id", "member", F.col("value").alias("__o"))
-    return rows.join(o, "member").groupBy("row_id", "obs_id").agg(F.covar_samp("value", "__o").alias("cov"))
+    return _each_pair(rows, obs, "cov", lambda cov, va, vo: cov)
 
 
 def correlation(rows: DataFrame, obs: DataFrame) -> DataFrame:
     """``(row_id, obs_id, corr)``: correlations within [-1, 1], 0 where either side does not vary."""
-    o = obs.select("obs_id", "member", F.col("value").alias("__o"))
-    sides = rows.join(o, "member").groupBy("row_id", "obs_id").agg(F.covar_samp("value", "__o").alias("c"), F.stddev_samp("value").alias("a"), F.stddev_samp("__o").alias("b"))
-    scale = F.col("a") * F.col("b")
-    corr = F.when(scale > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / F.nullif(scale, F.lit(0.0))))).otherwise(F.lit(0.0))
-    return sides.select("row_id", "obs_id", corr.alias("corr"))
+
+    def of(cov: np.ndarray, va: np.ndarray, vo: np.ndarray) -> np.ndarray:
+        scale = np.sqrt(va * vo)
+        return np.where(scale > 0, np.clip(cov / np.where(scale > 0, scale, 1.0), -1, 1), 0.0)
+
+    return _each_pair(rows, obs, "corr", of)
 
 
 def correlation_inflation(corr: DataFrame, truncation: float, beta: float, most: float) -> DataFrame:
@@ -118,7 +172,8 @@ def esmda_update(
     ``augmented(row_id, member, value)``; ``predicted(obs_id, member, value)``; ``observed(obs_id, value, sigma)``;
     ``noise(obs_id, member, z)``, standard normal. With ``inflation(row_id, obs_id, inflation)``, each row sees only
     the observations it has there, their errors inflated; systems are solved once for each distinct pattern of a
-    batch. Rows without any pair in ``inflation`` stay as they are. Returns ``augmented`` updated.
+    batch. Rows without any pair in ``inflation`` stay as they are. A row that lacks members is updated from those
+    that it has, and no member is made up; one that was not predicted is an error. Returns ``augmented`` updated.
     """
     d, obs_ids, members = _small(predicted, "obs_id", "member", "value")
     z, _, _ = _small(noise, "obs_id", "member", "z")
@@ -143,40 +198,48 @@ def esmda_update(
                 out[on] = np.linalg.lstsq(system, right, rcond=None)[0]
         return out
 
-    everywhere = inflation is None
-    whole = solve(np.ones(n)) if everywhere else None
-    place = {m: i for i, m in enumerate(members)}
-
-    rows = augmented.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("member", "value"))).alias("members"))
+    kinds = {f.name: f.dataType.simpleString() for f in augmented.schema}
+    names, labels = np.array(members), pa.array(members)
+    whole = solve(np.ones(n)) if inflation is None else None
+    rows = by_row(augmented)
     if inflation is not None:
-        factors = inflation.where("inflation is not null").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("obs_id", "inflation"))).alias("factors"))
-        rows = rows.join(factors, "row_id", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        solved: dict[bytes, np.ndarray] = {}
+        # An array of factors in the order of the observations; null excludes one.
+        pairs = F.map_from_entries(F.collect_list(F.struct("obs_id", F.col("inflation").cast("double").alias("inflation"))))
+        seen = inflation.where("inflation is not null").groupBy("row_id").agg(pairs.alias("f"))
+        order = F.array(*[F.lit(k) for k in obs_ids])
+        factors = F.transform(order, lambda k: F.try_element_at("f", k))
+        rows = rows.join(seen, "row_id", "left").select("row_id", "members", F.when(F.col("f").isNotNull(), factors).alias("factors"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                a = np.empty(len(members))
-                for m in r["members"]:
-                    a[place[m["member"]]] = m["value"]
-                if everywhere:
-                    x = whole
-                else:
-                    got = dict(r["factors"]) if r["factors"] is not None else {}
-                    f = np.array([got.get(k, np.nan) for k in obs_ids], float)
-                    if f.tobytes() not in solved:
-                        if len(solved) > 4096:
-                            solved.clear()
-                        solved[f.tobytes()] = solve(f)
-                    x = solved[f.tobytes()]
-                c = (a - a.mean()) @ dev.T / (len(members) - 1)
-                out.append(pd.DataFrame({"row_id": r["row_id"], "member": members, "value": a + c @ x}))
-            if out:
-                yield pd.concat(out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in augmented.schema}
-    return rows.mapInPandas(run, f"row_id {kinds['row_id']}, member {kinds['member']}, value double")
+            if not batch.num_rows:
+                continue
+            a = dense(batch.column(1), names)
+            has = ~np.isnan(a)
+            count = has.sum(1)
+            mean = np.where(has, a, 0.0).sum(1) / np.maximum(count, 1)
+            # Centred rows sum to 0, so the predictions need no new centre for the members that a row has.
+            c = np.where(has, a - mean[:, None], 0.0) @ dev.T / np.maximum(count - 1, 1)[:, None]
+            if whole is not None:
+                a += c @ whole
+            else:
+                factors = np.array([x if x is not None else [None] * n for x in batch.column(2).to_pylist()], float).reshape(batch.num_rows, n)
+                patterns, which = np.unique(factors, axis=0, return_inverse=True, equal_nan=True)
+                for k, pattern in enumerate(patterns):
+                    mine = which.ravel() == k
+                    a[mine] += c[mine] @ solve(pattern)
+            row, col = np.nonzero(has)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), labels.take(pa.array(col)), pa.array(a[row, col])], ["row_id", "member", "value"])
+
+    return rows.mapInArrow(run, f"row_id {kinds['row_id']}, member {kinds['member']}, value double")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed: in the session's folder, or one of its own where there is none."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def analysis(
@@ -197,20 +260,79 @@ def analysis(
     history = [augmented]
     for step in range(steps):
         now = history[-1] if repair is None else repair(history[-1])
-        predicted = forecast(now).checkpoint()
+        predicted = settled(forecast(now))
         inflation = None if localise is None else localise(now, predicted)
-        history.append(esmda_update(now, predicted, observed, noise(step, predicted), float(steps), inflation=inflation).checkpoint())
+        history.append(settled(esmda_update(now, predicted, observed, noise(step, predicted), float(steps), inflation=inflation)))
     return history[-1], history
 
 
-def run_windows(prior: DataFrame, windows: list, assimilate: Callable, carry: Callable[[DataFrame, int], DataFrame]) -> list[DataFrame]:
-    """Assimilation windows one after the other: ``assimilate(prior, window)``, then ``carry`` to the next prior."""
+def noisy(observations: DataFrame, noise: DataFrame, sigma: float) -> DataFrame:
+    """``(obs_id, value, sigma)``: the truth's observations with errors, ``noise(obs_id, z)`` standard normal."""
+    return observations.join(noise.select("obs_id", "z"), "obs_id").select("obs_id", (F.col("value") + sigma * F.col("z")).alias("value"), error_column(sigma).alias("sigma"))
+
+
+def run_windows(
+    prior: DataFrame,
+    state: DataFrame,
+    observations: DataFrame,
+    windows: int,
+    forecast: Callable[[DataFrame, DataFrame], DataFrame],
+    errors: Callable[[int], DataFrame],
+    noise: Callable[[int, int, DataFrame], DataFrame],
+    sigma: float,
+    steps: int,
+    *,
+    warm_start: Callable[[DataFrame, DataFrame], DataFrame],
+    next_prior: Callable[[DataFrame, int], DataFrame],
+    localise: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    repair: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Assimilation windows one after the other: ``(posteriors, last state)``, posteriors numbered by ``window``.
+
+    Each window takes its slice of ``observations(window, obs_id, value)``, adds ``errors(window)``, runs the smoother
+    on ``forecast(augmented, state)``, forecasts once more to warm-start the next window's state, and makes its prior.
+    """
     out = []
-    for n, window in enumerate(windows):
-        posterior = assimilate(prior, window)
-        out.append(posterior.withColumn("window", F.lit(n).cast("long")))
-        prior = carry(posterior, n)
-    return out
+    for w in range(windows):
+        observed = noisy(observations.where(F.col("window") == w), errors(w), sigma)
+        posterior, _ = analysis(prior, lambda rows, s=state: forecast(rows, s), observed, lambda k, d, w=w: noise(w, k, d), steps, localise=localise, repair=repair)
+        out.append(posterior.withColumn("window", F.lit(w).cast("long")))
+        state = settled(warm_start(posterior, state))
+        prior = next_prior(posterior, w)
+    return reduce(DataFrame.unionByName, out), state
+
+
+def row_coords(rows: DataFrame, axes: DataFrame, dims: dict[str, str | None]) -> DataFrame:
+    """``rows(.., k<axis>)`` with coordinates: ``dims[axis]`` names the axis table's axis, or None where a field has none (0).
+
+    A cell whose axis is not in ``axes(axis, k, coord)`` is an error.
+    """
+    for axis, name in dims.items():
+        if name is None:
+            rows = rows.withColumn(axis, F.lit(0.0))
+            continue
+        one = axes.where(F.col("axis") == name).select(F.col("k").alias(f"k{axis}"), F.col("coord").cast("double").alias(axis))
+        found = rows.join(F.broadcast(one), f"k{axis}", "left")
+        lost = F.raise_error(F.concat(F.lit(f"no coordinate on the axis {name} for cell "), F.col(f"k{axis}").cast("string"))).cast("double")
+        rows = found.withColumn(axis, F.coalesce(F.col(axis), lost))
+    return rows
+
+
+class Localisation(ABC):
+    """Which observations a row sees, and how much less: ``(row_id, obs_id, inflation)``; null excludes. Subclass for more."""
+
+    @abstractmethod
+    def inflation(self, rows: DataFrame, predicted: DataFrame) -> DataFrame: ...
+
+
+class ByCorrelation(Localisation):
+    """By the sample correlation of a row with an observation."""
+
+    def __init__(self, truncation: float, beta: float, most: float):
+        self.options = truncation, beta, most
+
+    def inflation(self, rows: DataFrame, predicted: DataFrame) -> DataFrame:
+        return correlation_inflation(correlation(rows, predicted), *self.options)
 
 
 def error_column(sigma: float) -> Column:

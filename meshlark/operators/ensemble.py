@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 
 def union_members(states: dict[int, DataFrame], grid: list[str]) -> DataFrame:
-    """States of one grid as an ensemble; states on other cells are refused."""
-    tagged = [df.withColumn("m", F.lit(k).cast("long")) for k, df in states.items()]
-    cells = [df.select(*grid).distinct() for df in tagged]
-    for other in cells[1:]:
-        if not cells[0].exceptAll(other).isEmpty() or not other.exceptAll(cells[0]).isEmpty():
-            raise ValueError("the members' grids differ")
-    return reduce(DataFrame.unionByName, tagged)
+    """States of one grid as an ensemble; states on other cells are refused. One pass checks all members."""
+    union = reduce(DataFrame.unionByName, [df.withColumn("m", F.lit(k).cast("long")) for k, df in states.items()])
+    seen = union.groupBy(*grid).agg(F.count_distinct("m").alias("__n"))
+    if not seen.where(F.col("__n") != len(states)).isEmpty():
+        raise ValueError("the members' grids differ")
+    return union
 
 
 def union_steps(steps: list[DataFrame], name: str = "esmda_step") -> DataFrame:
@@ -102,11 +101,16 @@ def canonical_levels(levels: DataFrame, member: str = "m") -> DataFrame:
     return grid.withColumn("coord", checked)
 
 
-def fix_levels(states: DataFrame, levels: DataFrame, values: list[str]) -> DataFrame:
-    """States cut to canonical levels; an error where a value is not finite."""
+def fix_levels(states: DataFrame, levels: DataFrame, values: list[str], coord: str | None = None) -> DataFrame:
+    """States cut to canonical levels; an error where a value is not finite, or the states' own ``coord`` is another one."""
     from meshlark.operators.grid import finite
 
-    kept = states.join(F.broadcast(levels.select("kz")), "kz")
+    kept = states.join(F.broadcast(levels.select("kz", F.col("coord").alias("__c"))), "kz")
+    if coord is not None:
+        # Within one part in 100,000, or 1e-8.
+        apart = F.abs(F.col(coord) - F.col("__c")) > 1e-8 + 1e-5 * F.abs(F.col("__c"))
+        kept = kept.withColumn(coord, F.when(apart, F.raise_error(F.lit("a member's levels are others")).cast("double")).otherwise(F.col(coord)))
+    kept = kept.drop("__c")
     return kept.withColumns({v: F.when(finite(F.col(v)), F.col(v)).otherwise(F.raise_error(F.lit(f"{v} is not finite")).cast("double")) for v in values})
 
 
@@ -149,6 +153,19 @@ def lookup(facets: DataFrame, types: DataFrame, key: str, value: str, default: f
     return facets.join(F.broadcast(first), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def spin_up_then_roll(
+    states: DataFrame,
+    params: DataFrame,
+    spin_up: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    steps: int,
+    member: str = "m",
+) -> DataFrame:
+    """Members spun up in parallel by one model, then rolled out by another from where they stand."""
+    return rollout(run_members(states, params, spin_up, schema, member), params, step, schema, steps, member)
+
+
 def rollout(states: DataFrame, params: DataFrame, model: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, steps: int, member: str = "m") -> DataFrame:
     """``steps`` steps of a one-step model in one grouped pass for each member: rows with ``step`` from 1."""
 

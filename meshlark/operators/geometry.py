@@ -1,7 +1,7 @@
 """Meshes, masks and halos as tables.
 
-A mesh is ``tri(id, x1, y1, z1, ..., z3)``. Cells and boxes meet in range joins on small dimension tables
-(axes, boxes), which are broadcast.
+A mesh is ``tri(id, x1, y1, z1, ..., z3)``. Triangles find their columns by binary search on the axes; cells and
+boxes meet in range joins on small dimension tables, which are broadcast.
 """
 
 from __future__ import annotations
@@ -76,21 +76,53 @@ def clean(mesh: DataFrame) -> DataFrame:
     return mesh.where(area > 0).withColumn("__c", corners).dropDuplicates(["__c"]).drop("__c")
 
 
-def roof_heights(mesh: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
-    """``(i, j, height)``: the highest surface over each column that has one.
+#: Cells that an axis of columns or levels has at most; its centres are an array of the plan.
+AXIS = 1 << 20
+
+
+def axis_centres(axis: DataFrame, index: str, centre: str) -> Column:
+    """Cell centres in order as one array; an error unless cells are numbered from 0 and the axis is short enough."""
+    rows = axis.select(index, F.col(centre).cast("double").alias("c")).orderBy(index).limit(AXIS + 1).collect()
+    if len(rows) > AXIS or [r[0] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"an axis has cells 0, 1, 2, ..., at most {AXIS}")
+    return F.split(F.lit(",".join(repr(r["c"]) for r in rows)), ",").cast("array<double>") if rows else F.array().cast("array<double>")
+
+
+def first_at(centres: Column, value: Column, *, over: bool = False) -> Column:
+    """The first cell whose centre is at least ``value`` (``over``: above it), by binary search; their number, if none is."""
+    start = F.struct(F.lit(0).alias("a"), F.size(centres).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        low = F.get(centres, mid) <= value if over else F.get(centres, mid) < value
+        return F.when(s["a"] >= s["b"], s).when(low, F.struct((mid + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), mid.alias("b")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(AXIS.bit_length())), start, halve, lambda s: s["a"])
+
+
+def crossings(mesh: DataFrame, xs: DataFrame, ys: DataFrame, slack: float = 0.0) -> DataFrame:
+    """``(i, j, z)``: where the vertical through each column's centre meets a triangle.
 
-    ``xs(i, x)`` and ``ys(j, y)`` are columns' centres. Triangles meet columns inside their bounding boxes; the
-    height there is by barycentric weights.
+    Each triangle goes to the columns of its own bounding box, found by binary search on the axes; there is no join.
     """
-    near = mesh.join(F.broadcast(xs), F.col("x").between(F.least("x1", "x2", "x3"), F.greatest("x1", "x2", "x3")))
-    near = near.join(F.broadcast(ys), F.col("y").between(F.least("y1", "y2", "y3"), F.greatest("y1", "y2", "y3")))
-    x, y = F.col("x"), F.col("y")
-    area = (F.col("y2") - F.col("y3")) * (F.col("x1") - F.col("x3")) + (F.col("x3") - F.col("x2")) * (F.col("y1") - F.col("y3"))
-    safe = F.nullif(area, F.lit(0.0))
-    a = ((F.col("y2") - F.col("y3")) * (x - F.col("x3")) + (F.col("x3") - F.col("x2")) * (y - F.col("y3"))) / safe
-    b = ((F.col("y3") - F.col("y1")) * (x - F.col("x3")) + (F.col("x1") - F.col("x3")) * (y - F.col("y3"))) / safe
-    hit = (a >= -1e-12) & (b >= -1e-12) & (a + b <= 1 + 1e-12)
-    return near.where(hit).groupBy("i", "j").agg(F.max(a * F.col("z1") + b * F.col("z2") + (1 - a - b) * F.col("z3")).alias("height"))
+    got = mesh
+    for n, axis, c in (("i", xs, "x"), ("j", ys, "y")):
+        centres = axis_centres(axis, n, c)
+        corners = [f"{c}{k}" for k in (1, 2, 3)]
+        first, last = first_at(centres, F.least(*corners)), first_at(centres, F.greatest(*corners), over=True) - 1
+        got = got.withColumn(n, F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn(c, F.get(centres, F.col(n)))
+    dx, dy = F.col("x") - F.col("x3"), F.col("y") - F.col("y3")
+    e1x, e1y, e2x, e2y = F.col("x1") - F.col("x3"), F.col("y1") - F.col("y3"), F.col("x2") - F.col("x3"), F.col("y2") - F.col("y3")
+    twice = F.nullif(e1x * e2y - e2x * e1y, F.lit(0.0))
+    a, b = (dx * e2y - e2x * dy) / twice, (e1x * dy - dx * e1y) / twice
+    got = got.withColumn("__a", a).withColumn("__b", b).where((F.col("__a") >= -slack) & (F.col("__b") >= -slack) & (F.col("__a") + F.col("__b") <= 1 + slack))
+    z = F.col("__a") * F.col("z1") + F.col("__b") * F.col("z2") + (1 - F.col("__a") - F.col("__b")) * F.col("z3")
+    return got.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), z.alias("z"))
+
+
+def roof_heights(mesh: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """``(i, j, height)``: the highest surface over each column that has one; ``xs(i, x)`` and ``ys(j, y)`` are columns' centres."""
+    return crossings(mesh, xs, ys, 1e-12).groupBy("i", "j").agg(F.max("z").alias("height"))
 
 
 def height_raster(mesh: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
@@ -235,23 +267,92 @@ def fluid_cells(mesh: DataFrame, xs: DataFrame, ys: DataFrame, zs: DataFrame) ->
 
     Surfaces over a column are few, whatever the mesh's size; each cell counts those above it.
     """
-    near = mesh.join(F.broadcast(xs), F.col("x").between(F.least("x1", "x2", "x3"), F.greatest("x1", "x2", "x3")))
-    near = near.join(F.broadcast(ys), F.col("y").between(F.least("y1", "y2", "y3"), F.greatest("y1", "y2", "y3")))
-    area = (F.col("y2") - F.col("y3")) * (F.col("x1") - F.col("x3")) + (F.col("x3") - F.col("x2")) * (F.col("y1") - F.col("y3"))
-    safe = F.nullif(area, F.lit(0.0))
-    a = ((F.col("y2") - F.col("y3")) * (F.col("x") - F.col("x3")) + (F.col("x3") - F.col("x2")) * (F.col("y") - F.col("y3"))) / safe
-    b = ((F.col("y3") - F.col("y1")) * (F.col("x") - F.col("x3")) + (F.col("x1") - F.col("x3")) * (F.col("y") - F.col("y3"))) / safe
     # Two triangles that share an edge over a centre are one surface there.
-    hits = near.where((a >= 0) & (b >= 0) & (a + b <= 1)).select("i", "j", F.round(a * F.col("z1") + b * F.col("z2") + (1 - a - b) * F.col("z3"), 9).alias("z"))
+    hits = crossings(mesh, xs, ys).select("i", "j", F.round("z", 9).alias("z"))
     surfaces = hits.groupBy("i", "j").agg(F.collect_set("z").alias("surfaces"))
-    n_x, levels = xs.count(), F.array(*[F.struct(F.lit(r["k"]).cast("long").alias("k"), F.lit(float(r["z"])).alias("z")) for r in zs.collect()])
-    cells = ys.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_x - 1).cast("long")))).select("i", "j", F.explode(levels).alias("c"))
-    above = F.size(F.filter(F.coalesce("surfaces", F.array().cast("array<double>")), lambda z: z > F.col("c.z")))
-    return cells.join(surfaces, ["i", "j"], "left").select("i", "j", "c.k", (1 - above % 2).cast("long").alias("fluid"))
+    centres, n_x = axis_centres(zs, "k", "z"), xs.count()
+    columns = ys.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_x - 1).cast("long")))).select("i", F.col("j").cast("long").alias("j"))
+    cells = columns.join(surfaces, ["i", "j"], "left").select("i", "j", F.coalesce("surfaces", F.array().cast("array<double>")).alias("surfaces"), F.posexplode(centres).alias("k", "z"))
+    above = F.size(F.filter("surfaces", lambda s: s > F.col("z")))
+    return cells.select("i", "j", F.col("k").cast("long").alias("k"), (1 - above % 2).cast("long").alias("fluid"))
+
+
+def weld(mesh: DataFrame, digits: int = 9) -> DataFrame:
+    """Corners that agree in so many digits become one."""
+    return mesh.withColumns({c: F.round(c, digits) for corner in CORNERS for c in corner})
 
 
-def prepare(mesh: DataFrame, *, low: tuple[float, float], high: tuple[float, float], degrees: float = 0.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """A case's mesh: cropped, cleaned, turned, moved to its origin and seated on the floor."""
-    out = rotate(clean(crop(mesh, low, high)), degrees)
+def outward(mesh: DataFrame, inside: tuple[Column, Column, Column]) -> DataFrame:
+    """Triangles wound so that their normals point away from a point inside (of a convex part)."""
+    nx, ny, nz = normal()
+    away = sum(n * ((F.col(f"{a}1") + F.col(f"{a}2") + F.col(f"{a}3")) / 3 - p) for n, a, p in zip((nx, ny, nz), "xyz", inside, strict=True))
+    wrong = away < 0
+    swapped = {f"{a}{k}": F.when(wrong, F.col(f"{a}{5 - k}")).otherwise(F.col(f"{a}{k}")) for a in "xyz" for k in (2, 3)}
+    return mesh.withColumns(swapped)
+
+
+def normal() -> tuple[Column, Column, Column]:
+    """The components of a triangle's normal, as long as twice its area."""
+    ux, uy, uz = (F.col(f"{a}2") - F.col(f"{a}1") for a in "xyz")
+    vx, vy, vz = (F.col(f"{a}3") - F.col(f"{a}1") for a in "xyz")
+    return uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+
+
+def stl_text(mesh: DataFrame, name: str = "mesh") -> DataFrame:
+    """``(id, text)``: each triangle as a facet of a text STL file, six decimals, with its unit normal."""
+    n = normal()
+    size = F.nullif(F.sqrt(sum(c * c for c in n)), F.lit(0.0))
+    # Adding 0 turns a negative zero into a plain one.
+    facet = F.format_string("facet normal %.6f %.6f %.6f", *[F.coalesce(F.round(c / size, 6), F.lit(0.0)) + 0.0 for c in n])
+    corners = [F.format_string("vertex %.6f %.6f %.6f", *[F.round(c, 6) + 0.0 for c in corner]) for corner in CORNERS]
+    return mesh.select("id", F.concat_ws("\n", facet, F.lit("outer loop"), *corners, F.lit("endloop"), F.lit("endfacet")).alias("text"))
+
+
+def write_stl(mesh: DataFrame, path: str, name: str = "mesh") -> None:
+    """A mesh as one text STL file (one task writes it: meshes of solvers are some megabytes)."""
+    body = stl_text(mesh, name).select(F.col("id").alias("o"), "text")
+    frame = mesh.sparkSession.createDataFrame([(-1, f"solid {name}"), (2**62, f"endsolid {name}")], "o long, text string")
+    body.unionByName(frame).coalesce(1).sortWithinPartitions("o").select("text").write.mode("overwrite").text(path)
+
+
+def box_mask(spark: SparkSession, boxes: DataFrame, faces: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """``(kz, ky, kx, solid)`` of all cells of a grid: 1 in the cells that a box spans, by the faces it covers."""
+    spans = box_index(boxes, faces).groupBy("box").pivot("axis", ["x", "y", "z"]).agg(F.first("first").alias("first"), F.first("last").alias("last"))
+    for axis in "xyz":
+        spans = spans.withColumn(f"k{axis}", F.explode(F.expr(f"case when {axis}_first <= {axis}_last then sequence({axis}_first, {axis}_last) end")))
+    filled = spans.select("kz", "ky", "kx").distinct().withColumn("solid", F.lit(1).cast("long"))
+    cells = spark.range(sizes["z"]).withColumnRenamed("id", "kz")
+    for axis in "yx":
+        cells = cells.withColumn(f"k{axis}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[axis] - 1).cast("long"))))
+    return cells.join(filled, ["kz", "ky", "kx"], "left").withColumn("solid", F.coalesce("solid", F.lit(0).cast("long")))
+
+
+def flatten_base(mesh: DataFrame, below: float) -> DataFrame:
+    """Corners under a height are put on the floor, so that parts stand on one plane."""
+    return mesh.withColumns({f"z{k}": F.when(F.col(f"z{k}") < below, F.lit(0.0)).otherwise(F.col(f"z{k}")) for k in (1, 2, 3)})
+
+
+def to_datum(mesh: DataFrame) -> DataFrame:
+    """Moved so that the lowest corner is at 0."""
+    low = mesh.agg(F.min(F.least("z1", "z2", "z3")).alias("__low"))
+    return mesh.join(F.broadcast(low)).withColumns({f"z{k}": F.col(f"z{k}") - F.col("__low") for k in (1, 2, 3)}).drop("__low")
+
+
+def prepare(
+    mesh: DataFrame,
+    *,
+    low: tuple[float, float],
+    high: tuple[float, float],
+    degrees: float = 0.0,
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0),
+    base: float = 0.0,
+    ground: DataFrame | None = None,
+) -> DataFrame:
+    """A case's mesh: cropped, welded, cleaned, turned, set on a flat base and merged with its ground, which gives the
+    datum, then moved to its origin and seated on the floor."""
+    out = rotate(clean(weld(crop(mesh, low, high))), degrees)
+    out = flatten_base(to_datum(out), base)
+    if ground is not None:
+        out = clean(out.unionByName(ground))
     moved = {f"{a}{k}": F.col(f"{a}{k}") - o for a, o in zip("xyz", origin) for k in (1, 2, 3)}
     return seat_floor(out.withColumns(moved))

@@ -72,6 +72,22 @@ def fill_solids(state: DataFrame, columns: list[str]) -> DataFrame:
     return state.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(0.0)) for c in columns})
 
 
+def axis_summary(axes: DataFrame) -> DataFrame:
+    """``(axis, cells, origin)``: how many cells each axis has, and its first coordinate."""
+    return axes.groupBy("axis").agg(F.count(F.lit(1)).alias("cells"), F.min("coord").alias("origin"))
+
+
+def rescale(state: DataFrame, factors: dict[str, float], shifts: dict[str, float] | None = None, *, inverse: bool = False) -> DataFrame:
+    """Columns times their factors, plus their shifts; ``inverse`` undoes it."""
+    shifts = shifts or {}
+
+    def one(c: str) -> Column:
+        factor, shift = factors.get(c, 1.0), shifts.get(c, 0.0)
+        return (F.col(c) - shift) / factor if inverse else F.col(c) * factor + shift
+
+    return state.withColumns({c: one(c) for c in {**factors, **shifts}})
+
+
 def finite(c: Column) -> Column:
     """Whether a value takes part in statistics."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -113,13 +129,17 @@ def axis_weights(axes: DataFrame, points: DataFrame, axis: str, point_col: str |
     step = here.withColumn("__hi", F.lead("__k").over(order)).withColumn("__next", F.lead("__c").over(order))
     step = step.withColumn("__first", F.lag("__k").over(order).isNull()).withColumn("__last", F.lead("__hi").over(order).isNull())
     facts = step.groupBy("__one").agg(F.min("__c").alias("__low"), F.max("__c").alias("__high"), F.median(F.col("__next") - F.col("__c")).alias("__gap"), F.min(F.col("__next") - F.col("__c")).alias("__least"))
-    steps = step.where("__hi is not null").join(F.broadcast(facts), "__one")
-    got = points.join(F.broadcast(steps), (F.col("__first") | (p >= F.col("__c"))) & (F.col("__last") | (p < F.col("__next"))))
-    weight = (p - F.col("__c")) / (F.col("__next") - F.col("__c"))
+    steps = step.where("__hi is not null").join(F.broadcast(facts), "__one")  # an axis: one row for each cell
+    # Each different coordinate meets the axis once; the points then meet their coordinates by equality.
+    places = points.select(p.alias("__p")).distinct()
+    q = F.col("__p")
+    got = places.join(F.broadcast(steps), (F.col("__first") | (q >= F.col("__c"))) & (F.col("__last") | (q < F.col("__next"))))
+    weight = (q - F.col("__c")) / (F.col("__next") - F.col("__c"))
     if check:
-        wrong = (F.col("__least") <= 0) | (p < F.col("__low") - F.col("__gap") / 2) | (p > F.col("__high") + F.col("__gap") / 2)
-        weight = F.when(wrong, F.raise_error(F.concat(F.lit(f"a point is outside the axis {axis}, or the axis does not ascend: "), p.cast("string"))).cast("double")).otherwise(weight)
-    return got.select(*points.columns, F.col("__k").alias(f"lo_{axis}"), F.col("__hi").alias(f"hi_{axis}"), weight.alias(f"w_{axis}"))
+        wrong = (F.col("__least") <= 0) | (q < F.col("__low") - F.col("__gap") / 2) | (q > F.col("__high") + F.col("__gap") / 2)
+        weight = F.when(wrong, F.raise_error(F.concat(F.lit(f"a point is outside the axis {axis}, or the axis does not ascend: "), q.cast("string"))).cast("double")).otherwise(weight)
+    got = got.select("__p", F.col("__k").alias(f"lo_{axis}"), F.col("__hi").alias(f"hi_{axis}"), weight.alias(f"w_{axis}"))
+    return points.join(got, p == F.col("__p")).drop("__p")
 
 
 def corner_weights(axes: DataFrame, points: DataFrame, dims: tuple[str, ...] = ("x", "y", "z"), **options) -> DataFrame:
@@ -136,11 +156,11 @@ def corner_weights(axes: DataFrame, points: DataFrame, dims: tuple[str, ...] = (
 def interpolate_at(state: DataFrame, weights: DataFrame, values: list[str], keys: list[str], dims: tuple[str, ...] = ("z", "y", "x"), *, partial: bool = False) -> DataFrame:
     """Linear interpolation of ``values`` at the points of a corner-weight table, per ``keys``.
 
-    The weights, a few rows to a sensor, are broadcast; only cells around points pass the join. A
-    point without all its cells is null, unless ``partial``.
+    An equi-join on the cells, whose weights Spark broadcasts where they are small (sensors); only cells around points
+    pass it. A point without all its cells is null, unless ``partial``.
     """
     corners = 2 ** len(dims)
-    joined = state.join(F.broadcast(weights), [f"k{d}" for d in dims])
+    joined = state.join(weights, [f"k{d}" for d in dims])
     total = {v: F.sum(F.col(v) * F.col("weight")) for v in values}
     if not partial:
         total = {v: F.when(F.count(v) == corners, t) for v, t in total.items()}
@@ -157,12 +177,13 @@ def collocate(field: DataFrame, value: str, axis: str, keys: list[str]) -> DataF
 
 def regrid(field: DataFrame, axes: DataFrame, target: DataFrame, value: str, keys: list[str], dims: tuple[str, ...], *, extrapolate: bool = False) -> DataFrame:
     """``value`` at target points ``(id columns, dims)``; outside the source grid null, or extended."""
-    lim = axes.groupBy("axis").agg(F.min("coord").alias("c_min"), F.max("coord").alias("c_max"))
     points = target
     if not extrapolate:
-        for a in dims:
-            one = lim.where(F.col("axis") == a).select(F.col("c_min").alias("__lo"), F.col("c_max").alias("__hi"))
-            points = points.join(F.broadcast(one), F.col(a).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+        # One row with the ends of all axes.
+        at = {a: F.when(F.col("axis") == a, F.col("coord")) for a in dims}
+        ends = axes.agg(*[f(c).alias(f"__{n}_{a}") for a, c in at.items() for n, f in (("lo", F.min), ("hi", F.max))])
+        inside = [F.col(a).between(F.col(f"__lo_{a}"), F.col(f"__hi_{a}")) for a in dims]
+        points = points.join(F.broadcast(ends), reduce(lambda x, y: x & y, inside)).select(*target.columns)
     weights = corner_weights(axes, points, dims, check=False)
     inner = interpolate_at(field, weights, [value], keys + [c for c in target.columns], dims, partial=True)
     return inner if extrapolate else target.join(inner, target.columns, "left")

@@ -25,8 +25,8 @@ def mean_rmse(rows: DataFrame, keys: list[str], over: list[str], x: str = "x", y
 
 
 def crps(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Continuous ranked probability score, all pairs of members counted, from the sorted members."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(x))
+    """Continuous ranked probability score, all pairs of members counted, from the sorted members; missing ones do not count."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last()))
     ranked = rows.withColumn("__r", rank)
     n = F.count(x)
     spread = 2 * F.sum(F.col("__r") * F.col(x)) - (n + 1) * F.sum(x)
@@ -105,6 +105,19 @@ def norm_stats(rows: DataFrame, channels: list[str], where: Column | None = None
     return rows.select(long.alias("p")).select("p.*").groupBy("channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def state_rmse(a: DataFrame, b: DataFrame, keys: list[str], values: tuple[str, ...] = ("u", "v", "w"), *, time: str = "time", level: str = "kz", regrid=None) -> DataFrame:
+    """``(time, rmse)`` of two states on the frames and levels that both have; cells where either is missing do not count.
+
+    Where the cells differ, ``regrid`` puts the second state on the first one's.
+    """
+    other = b if regrid is None else regrid(b)
+    frames, levels = (a.select(c).distinct().join(other.select(c).distinct(), c) for c in (time, level))
+    kept = a.join(F.broadcast(frames), time).join(F.broadcast(levels), level)
+    pairs = kept.join(other.select(time, *keys, *[F.col(v).alias(f"__{v}") for v in values]), [time, *keys])
+    apart = F.explode(F.array(*[F.col(v) - F.col(f"__{v}") for v in values]))
+    return pairs.select(time, apart.alias("__d")).where(finite(F.col("__d"))).groupBy(time).agg(F.sqrt(F.avg(F.pow("__d", 2))).alias("rmse"))
+
+
 def masked_mse(rows: DataFrame, keys: list[str], x: str, y: str, fluid: str = "fluid") -> DataFrame:
     """Mean squared difference over fluid cells."""
     return rows.where(F.col(fluid) == 1).groupBy(*keys).agg(F.avg(F.pow(F.col(x) - F.col(y), 2)).alias("mse"))
@@ -125,6 +138,28 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFram
     )
 
 
+def early_stop(losses: DataFrame, keys: list[str], patience: int, least: float = 0.0) -> DataFrame:
+    """Each run's best epoch so far, and whether it stops there: no gain of over ``least`` for ``patience`` epochs.
+
+    ``losses(keys, epoch, loss)``; rows after the stop are dropped.
+    """
+    order = Window.partitionBy(*keys).orderBy("epoch")
+    before = F.min("loss").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = losses.withColumn("__better", F.col("loss") < F.coalesce(before - least, F.lit(float("inf"))))
+    marked = marked.withColumn("best_epoch", F.last(F.when(F.col("__better"), F.col("epoch")), ignorenulls=True).over(order))
+    marked = marked.withColumn("stop", F.col("epoch") - F.col("best_epoch") >= patience)
+    stopped = F.coalesce(F.max(F.col("stop").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("__past", stopped).where("__past = 0").drop("__past", "__better")
+
+
+def curriculum(epoch: Column, stages: list[tuple[int, int]]) -> Column:
+    """How many steps a training sample spans at an epoch: that of the last of ``stages(first epoch, steps)`` that has begun."""
+    steps = F.lit(stages[0][1])
+    for first, n in stages[1:]:
+        steps = F.when(epoch >= first, F.lit(n)).otherwise(steps)
+    return steps.cast("long")
+
+
 def wall_clock(rows: DataFrame, keys: list[str], seconds: str, window: str) -> DataFrame:
     """Total and mean seconds, and those of each window in order."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(window, seconds))), lambda s: s[seconds])

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 TAG = r"^(.+?)_nx(\d+)_ny(\d+)_nz(\d+)_ens(\d+)_steps(\d+)(?:_int([0-9.]+))?(_loc)?$"
 
 
+def fill_settings(runs: DataFrame, summary: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Settings that a run's name does not spell, from its summary; what the name spells stays. Cells and grid follow."""
+    filled = runs.withColumns({c: F.coalesce(F.col(c), safe(summary, *path).cast(runs.schema[c].dataType)) for c, path in fields.items()})
+    known = F.col("nx").isNotNull() & F.col("ny").isNotNull() & F.col("nz").isNotNull()
+    return filled.withColumns({"grid_cells": F.col("nx") * F.col("ny") * F.col("nz"), "grid": F.when(known, F.concat_ws("x", "nx", "ny", "nz"))})
+
+
 def parse_tags(runs: DataFrame, tag: str = "tag") -> DataFrame:
     """``runs`` with the settings in their names; null where a name does not spell them."""
     fits = F.col(tag).rlike(TAG)
@@ -52,7 +59,7 @@ def hold_axes(rows: DataFrame, swept: str, axes: list[str], first_by: str) -> tu
     return rows, held
 
 
-def pick_domain(rows: DataFrame, grid: str = "grid_cells", size: str = "ensemble_size") -> DataFrame:
+def pick_domain(rows: DataFrame, grid: str = "grid", size: str = "ensemble_size") -> DataFrame:
     """The grid with the most ensemble sizes, then the most runs, then the least."""
     counts = rows.groupBy(grid).agg(F.countDistinct(size).alias("sizes"), F.count(F.lit(1)).alias("runs"))
     return counts.orderBy(F.col("sizes").desc(), F.col("runs").desc(), grid).limit(1)
@@ -65,8 +72,14 @@ def best_combo(rows: DataFrame, keys: list[str], model: str = "model") -> DataFr
     return rows.join(F.broadcast(best.select(*keys)), keys, "left_semi")
 
 
-def sort_runs(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("model", "grid_cells", "ensemble_size", "esmda_steps")
+#: The order of runs: fixed values.
+RUN_ORDER = ("model", "grid_cells", "ensemble_size", "esmda_steps")
+
+
+def sort_runs(rows: DataFrame, position: str | None = None) -> DataFrame:
+    """Runs by model, cells, members and steps; ``position`` also numbers them from 0 (runs are few)."""
+    ordered = rows.orderBy(*RUN_ORDER)
+    return ordered if position is None else rows.withColumn(position, F.rank().over(Window.orderBy(*RUN_ORDER)).cast("long") - 1)
 
 
 def trajectories(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

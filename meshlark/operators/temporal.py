@@ -49,6 +49,16 @@ def as_observations(wide: DataFrame, variables: list[str], sensors: int, *, bloc
     return long.withColumn("obs_id", obs_id(F.col(block), F.col("n"), F.col(sensor), len(variables), sensors)).drop("n")
 
 
+def full_observations(at_sensors: DataFrame, variables: list[str], sensors: int, *, frame: str = "frame_idx") -> DataFrame:
+    """Every frame as a block of observations, frames outermost: ``(others, var, value, obs_id)``.
+
+    Blocks are numbered from 0 through the frames that there are.
+    """
+    order = Window.partitionBy(F.lit(1)).orderBy(frame)
+    frames = at_sensors.select(frame).distinct().withColumn("bin", F.row_number().over(order).cast("long") - 1)  # frames are few
+    return as_observations(at_sensors.join(F.broadcast(frames), frame), variables, sensors)
+
+
 def take_frames(state: DataFrame, start: int, count: int, *, t_offset: float = 0.0, x_offset: float = 0.0, x_cols: tuple[str, ...] = ("x", "xt", "xm", "xu")) -> DataFrame:
     """Frames ``start .. start + count``, times and x coordinates shifted; the filter reaches the scan."""
     got = state.where((F.col("frame_idx") >= start) & (F.col("frame_idx") < start + count))
@@ -112,7 +122,12 @@ def rebase_clock(schedule: DataFrame, keys: list[str], offset: float = 0.0) -> D
 
 
 def step_samples(states: DataFrame, k: int, keys: list[str], value: str, params: list[str], *, order: str = "frame_idx") -> DataFrame:
-    """Training pairs ``k`` frames apart, with the parameters of the ``k`` steps between; none crosses the end."""
+    """Training pairs ``k`` frames apart, with the parameters of the ``k`` steps between; none crosses the end.
+
+    A table in which no series has more than ``k`` frames is an error.
+    """
+    if states.groupBy(*keys).count().where(F.col("count") > k).isEmpty():
+        raise ValueError(f"no series of more than {k} frames")
     w = Window.partitionBy(*keys).orderBy(order)
     steps = w.rowsBetween(Window.currentRow, k - 1)
     got = states.withColumn("target", F.lead(value, k).over(w)).withColumns({f"{p}_steps": F.collect_list(p).over(steps) for p in params})

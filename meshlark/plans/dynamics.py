@@ -64,7 +64,7 @@ def small_state(spark: SparkSession, d: str) -> DataFrame:
     return _uvw(io.small_state(timed_grid(spark, d).withColumn("pres", F.col("u")), 8.0, keys=["frame_idx", "time", *CELL]), "frame_idx", "time", *CELL)
 
 
-@query(f"SELECT frame_idx-2 AS frame_idx, kz, ky, kx, {UVW} FROM ({TIMED}) JOIN (SELECT kz, ky, kx FROM ({TIMED}) GROUP BY ALL HAVING count(*)=7) USING (kz, ky, kx) WHERE frame_idx BETWEEN 2 AND 5 AND false UNION ALL SELECT frame_idx-3, kz, ky, kx, {UVW} FROM ({TIMED}) JOIN (SELECT kz, ky, kx FROM ({TIMED}) GROUP BY ALL HAVING count(*)=7) USING (kz, ky, kx) WHERE frame_idx>=3")
+@query(f"SELECT frame_idx-3 AS frame_idx, kz, ky, kx, {UVW} FROM ({TIMED}) JOIN (SELECT kz, ky, kx FROM ({TIMED}) GROUP BY ALL HAVING count(*)=7) USING (kz, ky, kx) WHERE frame_idx>=3")
 def exact_frames(spark: SparkSession, d: str) -> DataFrame:
     s = timed_grid(spark, d)
     full = s.groupBy(*CELL).count().where("count = 7").select(*CELL)
@@ -139,29 +139,30 @@ sub AS (SELECT n.member, donor FROM ({_DRAWS}) n JOIN alive ON rank=least(CAST(f
 """
 
 
-def _substitutes(spark: SparkSession) -> DataFrame:
-    members = spark.range(8).withColumnRenamed("id", "member")
+def _substitutes(spark: SparkSession, members: int = 8) -> DataFrame:
+    members = spark.range(members).withColumnRenamed("id", "member")
     return ensemble.donors(members.withColumn("ok", ~F.col("member").isin(3, 7)), with_noise(members, "member", uniform="u"))
 
 
-@query(f"{_DONORS} SELECT kz, ky, kx, coalesce(s.member, g.m) AS m, {UVW} FROM ({GRID}) g LEFT JOIN (SELECT NULL::BIGINT AS member, NULL::BIGINT AS donor WHERE false) s ON true WHERE g.m NOT IN (3, 7) UNION ALL SELECT kz, ky, kx, sub.member, {UVW} FROM ({GRID}) g JOIN sub ON g.m=sub.donor")
+@query(f"{_DONORS} SELECT kz, ky, kx, g.m AS m, {UVW} FROM ({GRID}) g WHERE g.m NOT IN (3, 7) UNION ALL SELECT kz, ky, kx, sub.member, {UVW} FROM ({GRID}) g JOIN sub ON g.m=sub.donor")
 def donor_states(spark: SparkSession, d: str) -> DataFrame:
     return _uvw(ensemble.replace_states(grid(spark, d), _substitutes(spark)), *CELL, "m")
 
 
-_PARAMS = f"SELECT param, k, m AS member, x AS value FROM ({SERIES}) WHERE m<8"
+_PARAMS = f"SELECT param, k, m AS member, x AS value FROM ({SERIES})"
 _JITTER = noise_sql(f"({_PARAMS})", "(k*16+member)", "param, k, member")
+_DONORS16 = _DONORS.replace("range(8)", "range(16)").replace("u*6", "u*14").replace(", 5)", ", 13)")
 
 
 @query(f"""
-{_DONORS}, p AS ({_PARAMS}), s AS (SELECT param, k, stddev_pop(value) AS std FROM p GROUP BY ALL), z AS ({_JITTER})
+{_DONORS16}, p AS ({_PARAMS}), s AS (SELECT param, k, stddev_pop(value) AS std FROM p GROUP BY ALL), z AS ({_JITTER})
 SELECT p.param, p.k, p.member, round(CASE WHEN sub.donor IS NULL THEN p.value ELSE q.value+0.05*s.std*z.z END,6) AS value
 FROM p JOIN s USING (param, k) JOIN z USING (param, k, member) LEFT JOIN sub ON sub.member=p.member LEFT JOIN p q ON q.param=p.param AND q.k=p.k AND q.member=sub.donor
 """)
 def donor_params(spark: SparkSession, d: str) -> DataFrame:
-    p = series(spark, d).where("m < 8").select("param", "k", F.col("m").alias("member"), F.col("x").alias("value"))
+    p = series(spark, d).select("param", "k", F.col("m").alias("member"), F.col("x").alias("value"))
     noise = with_noise(p.withColumn("id", F.col("k") * 16 + F.col("member")), "id", normal="z")
-    got = ensemble.replace_params(p, _substitutes(spark), noise, ["param", "k"])
+    got = ensemble.replace_params(p, _substitutes(spark, 16), noise, ["param", "k"])
     return got.select("param", "k", "member", r6("value").alias("value"))
 
 
@@ -184,7 +185,12 @@ def plugin_model(spark: SparkSession, d: str) -> DataFrame:
 
 # Assimilation
 
-_A, _O = VECTORS(1, 8), VECTORS(9, 11)
+# Components 9 to 11 of the vectors are observed, all others are the rows to update.
+_A, _O = f"SELECT * FROM ({VECTORS(0, 63)}) WHERE row_id NOT BETWEEN 9 AND 11", VECTORS(9, 11)
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d, 0, 63).where(~F.col("row_id").between(9, 11))
 
 
 def _obs(spark: SparkSession, d: str) -> DataFrame:
@@ -193,15 +199,20 @@ def _obs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT a.row_id, o.row_id AS obs_id, round(covar_samp(a.value, o.value),8) AS cov FROM ({_A}) a JOIN ({_O}) o USING (member) GROUP BY ALL")
 def covariance(spark: SparkSession, d: str) -> DataFrame:
-    return assim.covariance(vectors(spark, d, 1, 8), _obs(spark, d)).select("row_id", "obs_id", F.round("cov", 8).alias("cov"))
+    return assim.covariance(_rows(spark, d), _obs(spark, d)).select("row_id", "obs_id", F.round("cov", 8).alias("cov"))
+
 
+def corr_sql(a: str, o: str) -> str:
+    both = "covar_samp(a.value, o.value)/nullif(stddev_samp(a.value)*stddev_samp(o.value),0)"
+    return f"SELECT a.row_id, o.row_id AS obs_id, CASE WHEN count(*)>1 THEN coalesce(greatest(-1.0, least(1.0, {both})), 0) END AS corr FROM ({a}) a JOIN ({o}) o USING (member) GROUP BY ALL"
 
-CORR = f"SELECT a.row_id, o.row_id AS obs_id, greatest(-1.0, least(1.0, covar_samp(a.value, o.value)/(stddev_samp(a.value)*stddev_samp(o.value)))) AS corr FROM ({_A}) a JOIN ({_O}) o USING (member) GROUP BY ALL"
+
+CORR = corr_sql(_A, _O)
 
 
 @query(f"SELECT row_id, obs_id, round(corr,6) AS corr FROM ({CORR})")
 def correlation(spark: SparkSession, d: str) -> DataFrame:
-    return assim.correlation(vectors(spark, d, 1, 8), _obs(spark, d)).select("row_id", "obs_id", r6("corr").alias("corr"))
+    return assim.correlation(_rows(spark, d), _obs(spark, d)).select("row_id", "obs_id", r6("corr").alias("corr"))
 
 
 def _taper_sql(distance: str, radius: float, beta: float, most: float) -> str:
@@ -209,11 +220,15 @@ def _taper_sql(distance: str, radius: float, beta: float, most: float) -> str:
     return f"CASE WHEN {distance}<={flat} THEN 1.0 WHEN {distance}<={radius} THEN exp(pow(({distance}-{flat})/{width},2)) END"
 
 
-LOCAL = f"SELECT row_id, obs_id, {_taper_sql('(1-abs(corr))', 0.98, 0.5, 8.0)} AS inflation FROM ({CORR})"
+def local_sql(corr: str, truncation: float = 0.02) -> str:
+    return f"SELECT row_id, obs_id, {_taper_sql('(1-abs(corr))', 1 - truncation, 0.5, 8.0)} AS inflation FROM ({corr})"
+
+
+LOCAL = local_sql(CORR)
 
 
 def _local(spark: SparkSession, d: str) -> DataFrame:
-    return assim.correlation_inflation(assim.correlation(vectors(spark, d, 1, 8), _obs(spark, d)), 0.02, 0.5, 8.0)
+    return assim.correlation_inflation(assim.correlation(_rows(spark, d), _obs(spark, d)), 0.02, 0.5, 8.0)
 
 
 @query(f"SELECT row_id, obs_id, round(inflation,6) AS inflation FROM ({LOCAL})")
@@ -248,20 +263,20 @@ _ALPHA = 3.0
 _NOISE = noise_sql(f"({_O})", "(row_id*100003+member)", "row_id, member")
 
 
-def _update_sql(inflation: str | None) -> str:
+def update_sql(inflation: str | None, a: str = _A, o: str = _O, observed: list = _OBSERVED, noise: str = _NOISE) -> str:
     """The update by elimination, unrolled for three observations; one system for each row."""
-    e = inflation or f"SELECT DISTINCT a.row_id, o.row_id AS obs_id, 1.0::DOUBLE AS inflation FROM ({_A}) a, (SELECT DISTINCT row_id FROM ({_O})) o"
-    obs = ", ".join(f"({k}::BIGINT,{v}::DOUBLE,{s}::DOUBLE)" for k, v, s in _OBSERVED)
-    ids = [k for k, _, _ in _OBSERVED]
+    e = inflation or f"SELECT DISTINCT a.row_id, o.row_id AS obs_id, 1.0::DOUBLE AS inflation FROM ({a}) a, (SELECT DISTINCT row_id FROM ({o})) o"
+    obs = ", ".join(f"({k}::BIGINT,{v}::DOUBLE,{s}::DOUBLE)" for k, v, s in observed)
+    ids = [k for k, _, _ in observed]
     ent = []
-    for i, a in enumerate(ids):
-        for j, b in enumerate(ids):
+    for i, first in enumerate(ids):
+        for j, second in enumerate(ids):
             on = f"(e{i} IS NOT NULL AND e{j} IS NOT NULL)"
-            diag = f"{_ALPHA}*0.0625*e{i}*e{i}" if a == b else "0"
+            diag = f"{_ALPHA}*0.0625*e{i}*e{i}" if first == second else "0"
             ent.append(f"CASE WHEN {on} THEN c{min(i, j)}{max(i, j)}+{diag} ELSE {1.0 if i == j else 0.0} END AS a{i}{j}")
     right = ", ".join(f"CASE WHEN e{i} IS NULL THEN 0 ELSE y{i}+e{i}*sqrt({_ALPHA})*0.25*z{i}-d{i} END AS r{i}" for i in range(3))
     return f"""
-    WITH o AS ({_O}), a AS ({_A}), n AS ({_NOISE}), y AS (SELECT * FROM (VALUES {obs}) AS y(row_id, value, sigma)),
+    WITH o AS ({o}), a AS ({a}), n AS ({noise}), y AS (SELECT * FROM (VALUES {obs}) AS y(row_id, value, sigma)),
     e AS (SELECT row_id, {', '.join(f'max(inflation) FILTER (obs_id={k}) AS e{i}' for i, k in enumerate(ids))} FROM ({e}) GROUP BY row_id),
     w AS (SELECT member, {', '.join(f'max(value) FILTER (row_id={k}) AS d{i}' for i, k in enumerate(ids))} FROM o GROUP BY member),
     z AS (SELECT member, {', '.join(f'max(z) FILTER (row_id={k}) AS z{i}' for i, k in enumerate(ids))} FROM n GROUP BY member),
@@ -269,7 +284,7 @@ def _update_sql(inflation: str | None) -> str:
     yy AS (SELECT {', '.join(f'max(value) FILTER (row_id={k}) AS y{i}' for i, k in enumerate(ids))} FROM y),
     md AS (SELECT a.row_id, {', '.join(f'covar_samp(a.value, w.d{i}) AS m{i}' for i in range(3))} FROM a JOIN w USING (member) GROUP BY a.row_id),
     s AS (SELECT a.row_id, a.member, a.value, {', '.join(f'CASE WHEN e{i} IS NULL THEN 0 ELSE m{i} END AS m{i}' for i in range(3))}, {', '.join(ent)}, {right}
-          FROM a JOIN w USING (member) JOIN z USING (member) JOIN md USING (row_id) JOIN e USING (row_id), c, yy),
+          FROM a JOIN w USING (member) JOIN z USING (member) JOIN md USING (row_id) LEFT JOIN e USING (row_id), c, yy),
     f AS (SELECT *, a11-a10*a01/a00 AS b11, a12-a10*a02/a00 AS b12, r1-a10*r0/a00 AS s1, a21-a20*a01/a00 AS b21, a22-a20*a02/a00 AS b22, r2-a20*r0/a00 AS s2 FROM s),
     g AS (SELECT *, (s2-b21*s1/b11)/(b22-b21*b12/b11) AS x2 FROM f), h AS (SELECT *, (s1-b12*x2)/b11 AS x1 FROM g), k AS (SELECT *, (r0-a01*x1-a02*x2)/a00 AS x0 FROM h)
     SELECT row_id, member, round(value+m0*x0+m1*x1+m2*x2,6) AS value FROM k
@@ -280,16 +295,16 @@ def _updated(spark: SparkSession, d: str, inflation: DataFrame | None) -> DataFr
     obs = _obs(spark, d)
     noise = with_noise(obs.withColumn("id", F.col("obs_id") * 100003 + F.col("member")), "id", normal="z")
     observed = spark.createDataFrame(_OBSERVED, "obs_id long, value double, sigma double")
-    got = assim.esmda_update(vectors(spark, d, 1, 8), obs, observed, noise, _ALPHA, inflation=inflation)
+    got = assim.esmda_update(_rows(spark, d), obs, observed, noise, _ALPHA, inflation=inflation)
     return got.select("row_id", "member", r6("value").alias("value"))
 
 
-@query(_update_sql(None))
+@query(update_sql(None))
 def esmda_global(spark: SparkSession, d: str) -> DataFrame:
     return _updated(spark, d, None)
 
 
-@query(_update_sql(LOCAL))
+@query(update_sql(LOCAL))
 def esmda_local(spark: SparkSession, d: str) -> DataFrame:
     return _updated(spark, d, _local(spark, d))
 
@@ -297,7 +312,7 @@ def esmda_local(spark: SparkSession, d: str) -> DataFrame:
 _MASKED = f"SELECT row_id, obs_id, CASE WHEN row_id>=6 THEN 1.0 ELSE inflation END AS inflation FROM ({LOCAL})"
 
 
-@query(_update_sql(f"SELECT row_id, obs_id, min(inflation) OVER (PARTITION BY CASE WHEN row_id>=6 THEN row_id ELSE row_id//3 END, obs_id) AS inflation FROM ({_MASKED})"))
+@query(update_sql(f"SELECT row_id, obs_id, min(inflation) OVER (PARTITION BY CASE WHEN row_id>=6 THEN row_id ELSE row_id//3 END, obs_id) AS inflation FROM ({_MASKED})"))
 def esmda_masked(spark: SparkSession, d: str) -> DataFrame:
     """State rows localised in blocks, parameter rows not: the joint update."""
     masked = assim.unmasked(_local(spark, d).withColumn("localize", F.col("row_id") < 6))
@@ -327,13 +342,13 @@ def flatten_state(spark: SparkSession, d: str) -> DataFrame:
 
 # Priors
 
-_ID = noise_sql("(SELECT unnest(range(3)) AS grp), (SELECT unnest(range(64)) AS member)", "(grp*1000+member)", "grp, member")
-_NAMES = {"angle": priors.Normal(25, 6), "speed": priors.Normal(6, 0.5, low=5.5, high=7.0), "height": priors.Uniform(2, 4)}
+_ID = noise_sql("(SELECT unnest(range(4)) AS grp), (SELECT unnest(range(64)) AS member)", "(grp*1000+member)", "grp, member")
+_NAMES = {"angle": priors.Normal(25, 6), "speed": priors.Normal(6, 0.5, low=5.5, high=7.0), "height": priors.Uniform(2, 4), "roughness": priors.Constant(0.1)}
 
 
 @query(f"""
-SELECT CASE grp WHEN 0 THEN 'angle' WHEN 1 THEN 'speed' ELSE 'height' END AS name, member,
-  round(CASE grp WHEN 0 THEN 25+6*z WHEN 1 THEN least(greatest(6+0.5*z,5.5),7.0) ELSE 2+2*u END,6) AS value FROM ({_ID})
+SELECT CASE grp WHEN 0 THEN 'angle' WHEN 1 THEN 'speed' WHEN 2 THEN 'height' ELSE 'roughness' END AS name, member,
+  round(CASE grp WHEN 0 THEN 25+6*z WHEN 1 THEN least(greatest(6+0.5*z,5.5),7.0) WHEN 2 THEN 2+2*u ELSE 0.1 END,6) AS value FROM ({_ID})
 """)
 def static_priors(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.struct(F.lit(i).cast("long").alias("p"), F.lit(n).alias("name")) for i, n in enumerate(_NAMES)])
@@ -358,20 +373,19 @@ def _ar2_noise(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return members.drop("id"), steps.drop("id")
 
 
-def _ar2_sql(start: str) -> str:
+def ar2_sql(start: str, length: float = _LENGTH) -> str:
     """The recursion step by step; ``start`` gives (member, z, w)."""
-    lam = math.sqrt(3.0) / _LENGTH
+    lam = math.sqrt(3.0) / length
     return f"""
-    s AS (SELECT a.member, a.knot, 20.0+a.knot AS dt, a.z AS e1, b.z AS e2 FROM ({_E1}) a JOIN ({_E2}) b USING (member, knot)),
-    c AS (SELECT *, exp(-{lam}*dt) AS e FROM s), f AS (SELECT *, e*(1+{lam}*dt) AS a11, e*dt AS a12, -e*{lam * lam}*dt AS a21, e*(1-{lam}*dt) AS a22 FROM c),
-    q AS (SELECT *, greatest(1-(a11*a11+a12*a12*{lam * lam}),0) AS q11, -(a11*a21+a12*a22*{lam * lam}) AS q12, greatest({lam * lam}-(a21*a21+a22*a22*{lam * lam}),0) AS q22 FROM f),
-    l AS (SELECT *, sqrt(q11) AS l11, CASE WHEN q11>0 THEN q12/sqrt(q11) ELSE 0 END AS l21 FROM q), k AS (SELECT *, sqrt(greatest(q22-l21*l21,0)) AS l22 FROM l),
-    r AS ({start} UNION ALL SELECT r.member, k.knot, a11*r.z+a12*r.w+l11*e1, a21*r.z+a22*r.w+l21*e1+l22*e2 FROM r JOIN k ON k.member=r.member AND k.knot=r.knot+1)
+    s AS (SELECT a.member, a.knot, ({lam}*(20.0+a.knot))::DOUBLE AS h, a.z AS e1, b.z AS e2 FROM ({_E1}) a JOIN ({_E2}) b USING (member, knot)),
+    f AS (SELECT *, exp(-h) AS g, 1-exp(-2*h)*(1+2*h+2*h*h) AS p, 1-exp(-2*h)*(1-2*h+2*h*h) AS q, 2*h*h*exp(-2*h) AS c FROM s),
+    k AS (SELECT *, sqrt(p) AS a, c/sqrt(p) AS b, sqrt(greatest(q-c*c/p,0)) AS d FROM f),
+    r AS ({start} UNION ALL SELECT r.member, k.knot, g*(r.z+h*(r.z+r.w/{lam}))+a*e1, {lam}*(g*(r.w/{lam}-h*(r.z+r.w/{lam}))+b*e1+d*e2) FROM r JOIN k ON k.member=r.member AND k.knot=r.knot+1)
     """
 
 
 @query(f"""
-WITH RECURSIVE {_ar2_sql(f"SELECT a.member, 0::BIGINT AS knot, a.z AS z, b.z*{math.sqrt(3.0) / _LENGTH} AS w FROM ({_N1}) a JOIN ({_N2}) b USING (member)")}
+WITH RECURSIVE {ar2_sql(f"SELECT a.member, 0::BIGINT AS knot, a.z AS z, b.z*{math.sqrt(3.0) / _LENGTH} AS w FROM ({_N1}) a JOIN ({_N2}) b USING (member)")}
 SELECT member, knot, round(z,6) AS z, round(greatest(6+0.5*z,0.1),6) AS value FROM r
 """)
 def ar2_prior(spark: SparkSession, d: str) -> DataFrame:
@@ -386,7 +400,7 @@ _POST = f"SELECT param AS name, m AS member, k::DOUBLE*10 AS time, x AS value FR
 @query(f"""
 WITH RECURSIVE p AS ({_POST}), u AS (SELECT *, avg(value) OVER (PARTITION BY time) AS mean FROM p),
 e AS (SELECT member, max(mean) FILTER (time=290) AS mu, max((value-mean)/0.5) FILTER (time=290) AS z0, (max((value-mean)/0.5) FILTER (time=290)-max((value-mean)/0.5) FILTER (time=280))/10.0 AS w0 FROM u GROUP BY member),
-{_ar2_sql("SELECT member, 0::BIGINT AS knot, z0 AS z, w0 AS w FROM e")}
+{ar2_sql("SELECT member, 0::BIGINT AS knot, z0 AS z, w0 AS w FROM e")}
 SELECT member, knot, round(exp(-knot*25.0/{_LENGTH})*mu+(1-exp(-knot*25.0/{_LENGTH}))*6+0.5*z,6) AS value FROM r JOIN e USING (member)
 """)
 def ar2_extrapolate(spark: SparkSession, d: str) -> DataFrame:
@@ -442,7 +456,7 @@ def held_axes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("run_id", "ensemble_size", "metric")
 
 
-@query(f"SELECT nx*ny*nz AS grid_cells, count(DISTINCT ensemble_size) AS sizes, count(*) AS runs FROM ({_TAGGED}) GROUP BY 1 ORDER BY sizes DESC, runs DESC, grid_cells LIMIT 1")
+@query(f"SELECT nx || 'x' || ny || 'x' || nz AS grid, count(DISTINCT ensemble_size) AS sizes, count(*) AS runs FROM ({_TAGGED}) GROUP BY 1 ORDER BY sizes DESC, runs DESC, grid LIMIT 1")
 def pick_domain(spark: SparkSession, d: str) -> DataFrame:
     return sweep.pick_domain(_tagged(spark, d))
 
@@ -502,20 +516,46 @@ def height_raster(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH n AS (SELECT kz, ky, kx, u FROM ({GRID}) WHERE m=0), x AS (SELECT kz, ky, kx+s AS kx, u FROM n, (VALUES (-5),(0),(5)) p(s) WHERE kx+s BETWEEN -1 AND 5),
-y AS (SELECT kz, ky AS ky, kx, u FROM x UNION ALL SELECT kz, -1, kx, u FROM x WHERE ky=0 UNION ALL SELECT kz, 4, kx, u FROM x WHERE ky=3) SELECT kz, CAST(ky AS BIGINT) AS ky, kx, round(u,6) AS u FROM y
+WITH n AS (SELECT kz, ky, kx, m, u FROM ({GRID})), x AS (SELECT kz, ky, kx+s AS kx, m, u FROM n, (VALUES (-5),(0),(5)) p(s) WHERE kx+s BETWEEN -1 AND 5),
+y AS (SELECT kz, ky AS ky, kx, m, u FROM x UNION ALL SELECT kz, -1, kx, m, u FROM x WHERE ky=0 UNION ALL SELECT kz, 4, kx, m, u FROM x WHERE ky=3) SELECT kz, CAST(ky AS BIGINT) AS ky, kx, m, round(u,6) AS u FROM y
 """)
 def halo_cells(spark: SparkSession, d: str) -> DataFrame:
-    state = grid(spark, d).where("m = 0").select(*CELL, "u")
-    return geometry.halo(state, {"x": 5, "y": 4}, 1, periodic=("x",)).select(*CELL, r6("u").alias("u"))
+    state = grid(spark, d).select(*CELL, "m", "u")
+    return geometry.halo(state, {"x": 5, "y": 4}, 1, periodic=("x",)).select(*CELL, "m", r6("u").alias("u"))
+
+
+# Velocities over a prime number, so that no rounded value is near a half.
+_FLOW = f"SELECT kz, ky, kx, m, 1+w/1021 AS rho, u/1021 AS u, v/1021 AS v, w/1021 AS w FROM ({GRID})"
+_POPULATIONS = """
+SELECT *, CASE abs(cx)+abs(cy)+abs(cz) WHEN 0 THEN 8.0/27 WHEN 1 THEN 2.0/27 WHEN 2 THEN 1.0/54 ELSE 1.0/216 END*rho*(1+3*cu+4.5*cu*cu-1.5*uu{more}) AS f
+FROM (SELECT *, cx*u+cy*v+cz*w AS cu, u*u+v*v+w*w AS uu FROM ({flow}), (VALUES (0),(1),(-1)) a(cx), (VALUES (0),(1),(-1)) b(cy), (VALUES (0),(1),(-1)) c(cz))
+"""
 
 
-@query(f"SELECT kz, ky, kx, 1.0::DOUBLE AS rho, round(u/1000,6) AS u, round(v/1000,6) AS v, round(w/1000,6) AS w FROM ({GRID}) WHERE m=0")
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    return grid(spark, d).select(*CELL, "m", (1 + F.col("w") / 1021).alias("rho"), *[(F.col(c) / 1021).alias(c) for c in "uvw"])
+
+
+def _populations(spark: SparkSession, d: str, third: bool) -> DataFrame:
+    got = geometry.equilibrium(_flow(spark, d), third_order=third)
+    return got.select(*CELL, "m", *[F.col(c).cast("int").alias(c) for c in ("cx", "cy", "cz")], F.round("f", 9).alias("f"))
+
+
+@query(f"SELECT kz, ky, kx, m, cx, cy, cz, round(f,9) AS f FROM ({_POPULATIONS.format(more='', flow=_FLOW)})")
+def lattice_populations(spark: SparkSession, d: str) -> DataFrame:
+    return _populations(spark, d, False)
+
+
+@query(f"SELECT kz, ky, kx, m, cx, cy, cz, round(f,9) AS f FROM ({_POPULATIONS.format(more='+4.5*cu*cu*cu-4.5*cu*uu', flow=_FLOW)})")
+def lattice_third_order(spark: SparkSession, d: str) -> DataFrame:
+    return _populations(spark, d, True)
+
+
+@query(f"SELECT kz, ky, kx, m, round(rho,8) AS rho, round(a/rho,8) AS u, round(b/rho,8) AS v, round(c/rho,8) AS w FROM (SELECT kz, ky, kx, m, sum(f) AS rho, sum(f*cx) AS a, sum(f*cy) AS b, sum(f*cz) AS c FROM ({_POPULATIONS.format(more='+4.5*cu*cu*cu-4.5*cu*uu', flow=_FLOW)}) GROUP BY ALL)")
 def lattice_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Populations at equilibrium carry the density and velocity that they are made from."""
-    state = grid(spark, d).where("m = 0").select(*CELL, F.lit(1.0).alias("rho"), *[(F.col(c) / 1000).alias(c) for c in "uvw"])
-    got = geometry.moments(geometry.equilibrium(state), CELL)
-    return got.select(*CELL, r6("rho").alias("rho"), r6("u").alias("u"), r6("v").alias("v"), r6("w").alias("w"))
+    """Density and velocity of populations, which are those of the third order."""
+    got = geometry.moments(geometry.equilibrium(_flow(spark, d), third_order=True), [*CELL, "m"])
+    return got.select(*CELL, "m", *[F.round(c, 8).alias(c) for c in ("rho", "u", "v", "w")])
 
 
 @query(f"""
@@ -577,9 +617,9 @@ def facet_lookup(spark: SparkSession, d: str) -> DataFrame:
     return got.select("l_orderkey", "l_linenumber", r6("albedo").alias("albedo"))
 
 
-@query(f"SELECT m, step, kz, ky, kx, round(u*pow(0.5, step),6) AS u FROM ({GRID}), (SELECT unnest(range(1,4)) AS step) WHERE kz=0")
+@query(f"SELECT m, step, kz, ky, kx, round(u*pow(0.5, step),6) AS u FROM ({GRID}), (SELECT unnest(range(1,4)) AS step)")
 def batched_rollout(spark: SparkSession, d: str) -> DataFrame:
-    state = grid(spark, d).where("kz = 0").select(*CELL, "m", "u")
+    state = grid(spark, d).select(*CELL, "m", "u")
     params = spark.range(8).select(F.col("id").alias("m"), F.lit(0.5).alias("decay"))
 
     def step(s, p):

@@ -141,21 +141,19 @@ def _regrid_sql(extrapolate: bool) -> str:
     return f"""
     WITH p AS (SELECT * FROM (VALUES {points}) AS p(point,x,y)), q AS (SELECT point, {_weights_sql('x')}, {_weights_sql('y')} FROM p WHERE {inside}),
     c AS (SELECT point, lo_x+i AS kx, lo_y+j AS ky, (CASE WHEN i=0 THEN 1-w_x ELSE w_x END)*(CASE WHEN j=0 THEN 1-w_y ELSE w_y END) AS weight FROM q, (VALUES (0),(1)) a(i), (VALUES (0),(1)) b(j)),
-    r AS (SELECT point, sum(u*weight) AS u FROM ({GRID}) JOIN c USING (ky,kx) WHERE kz=0 AND m=0 GROUP BY ALL)
-    SELECT point, x, y, round(u,6) AS u FROM p LEFT JOIN r USING (point)
+    r AS (SELECT point, kz, m, sum(u*weight) AS u FROM ({GRID}) JOIN c USING (ky,kx) GROUP BY ALL)
+    SELECT point, x, y, kz, m, round(u,6) AS u FROM p LEFT JOIN r USING (point)
     """
 
 
 @query(_regrid_sql(False))
 def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    plane = grid(spark, d).where("kz = 0 and m = 0")
-    return g.regrid(plane, axes(spark), _targets(spark), "u", [], ("x", "y")).select("point", "x", "y", r6("u").alias("u"))
+    return g.regrid(grid(spark, d), axes(spark), _targets(spark), "u", ["kz", "m"], ("x", "y")).select("point", "x", "y", "kz", "m", r6("u").alias("u"))
 
 
 @query(_regrid_sql(True))
 def regrid_extrapolated(spark: SparkSession, d: str) -> DataFrame:
-    plane = grid(spark, d).where("kz = 0 and m = 0")
-    return g.regrid(plane, axes(spark), _targets(spark), "u", [], ("x", "y"), extrapolate=True).select("point", "x", "y", r6("u").alias("u"))
+    return g.regrid(grid(spark, d), axes(spark), _targets(spark), "u", ["kz", "m"], ("x", "y"), extrapolate=True).select("point", "x", "y", "kz", "m", r6("u").alias("u"))
 
 
 @query(f"SELECT axis, arg_min(k, (abs(coord-2.6), k)) AS k FROM ({AXES}) GROUP BY axis")
@@ -296,11 +294,11 @@ WITH p AS (SELECT i AS i, j AS j, k AS k, i*1.5-0.25 AS x, j*1.2 AS y, k*2.0+0.5
 q AS (SELECT i, j, k, {', '.join(_weights_sql(a) for a in 'xyz')} FROM p),
 c AS (SELECT i, j, k, lo_x+a AS kx, lo_y+b AS ky, lo_z+e AS kz, (CASE WHEN a=0 THEN 1-w_x ELSE w_x END)*(CASE WHEN b=0 THEN 1-w_y ELSE w_y END)*(CASE WHEN e=0 THEN 1-w_z ELSE w_z END) AS weight
       FROM q, (VALUES (0),(1)) x(a), (VALUES (0),(1)) y(b), (VALUES (0),(1)) z(e))
-SELECT i, j, k, round(sum(u*weight),6) AS u FROM (SELECT * FROM ({GRID}) WHERE m=0) JOIN c USING (kz,ky,kx) GROUP BY ALL
+SELECT i, j, k, m, round(sum(u*weight),6) AS u FROM ({GRID}) JOIN c USING (kz,ky,kx) GROUP BY ALL
 """)
 def initial_fields(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("id")
     target = spark.range(27).select((n % 3).alias("i"), (F.floor(n / 3) % 3).alias("j"), F.floor(n / 9).alias("k"))
     target = target.withColumns({"x": F.col("i") * 1.5 - 0.25, "y": F.col("j") * 1.2, "z": F.col("k") * 2.0 + 0.5})
-    got = g.initial_fields(grid(spark, d).where("m = 0"), axes(spark), target, ["u"], [])
-    return got.select("i", "j", "k", r6("u").alias("u"))
+    got = g.initial_fields(grid(spark, d), axes(spark), target, ["u"], ["m"])
+    return got.select("i", "j", "k", "m", r6("u").alias("u"))

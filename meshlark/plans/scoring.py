@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.operators import align, scores
@@ -160,10 +160,12 @@ def compare_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    return truth(spark, d).where("k % 2 = 0 and k > 2 and k < 28").select("param", F.col("k").cast("double").alias("time"), "y")
+    # Gaps where the series is at or below its own middle.
+    known = truth(spark, d).withColumn("mid", F.median("y").over(Window.partitionBy("param"))).where("y > mid and k > 2 and k < 28")
+    return known.select("param", F.col("k").cast("double").alias("time"), "y")
 
 
-_KNOWN = f"SELECT param, k::DOUBLE AS time, y FROM ({TRUTH}) WHERE k%2=0 AND k>2 AND k<28"
+_KNOWN = f"SELECT param, k::DOUBLE AS time, y FROM (SELECT *, median(y) OVER (PARTITION BY param) AS mid FROM ({TRUTH})) WHERE y>mid AND k>2 AND k<28"
 _ASKED = f"SELECT DISTINCT param, k, k::DOUBLE AS time FROM ({SERIES})"
 
 

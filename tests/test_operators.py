@@ -59,7 +59,8 @@ def test_step_samples_stay_inside(spark):
     s = frames(spark, range(5)).withColumn("p", F.col("u") * 10)
     got = temporal.step_samples(s, 2, ["kz"], "u", ["p"]).orderBy("frame_idx").collect()
     assert [(r.u, r.target, r.p_steps) for r in got] == [(0, 2, [0, 10]), (1, 3, [10, 20]), (2, 4, [20, 30])]
-    assert temporal.step_samples(s, 5, ["kz"], "u", ["p"]).count() == 0
+    with pytest.raises(ValueError, match="no series"):
+        temporal.step_samples(s, 5, ["kz"], "u", ["p"])
 
 
 def test_output_steps():
@@ -271,8 +272,63 @@ def test_analysis_loop_and_windows(spark):
     noise = lambda k, p: with_noise(p.withColumn("id", F.col("member") + 1000 * k), "id", normal="z").select("obs_id", "member", "z")
     last, history = assim.analysis(prior, forecast, observed, noise, 3)
     assert len(history) == 4 and abs(np.mean(values(last, "value", "member")) - 3) < 0.1
-    wins = assim.run_windows(prior, [0, 1], lambda p, w: assim.analysis(p, forecast, observed, noise, 1)[0], lambda p, n: p.withColumn("value", F.col("value") + 1))
-    assert [w.select("window").first()[0] for w in wins] == [0, 1]
+    wins, state = assim.run_windows(
+        prior,
+        spark.createDataFrame([(0, 0.0)], "row_id long, shift double"),
+        spark.createDataFrame([(w, 0, 3.0 + w) for w in range(2)], "window long, obs_id long, value double"),
+        2,
+        lambda a, s: a.join(s, "row_id").select(F.col("row_id").alias("obs_id"), "member", (F.col("value") + F.col("shift")).alias("value")),
+        lambda w: spark.createDataFrame([(0, 0.0)], "obs_id long, z double"),
+        lambda w, k, p: noise(k + 10 * w, p),
+        0.1,
+        2,
+        warm_start=lambda post, s: s.withColumn("shift", F.col("shift") + 1),
+        next_prior=lambda post, w: prior,
+    )
+    means = {r["window"]: r["a"] for r in wins.groupBy("window").agg(F.avg("value").alias("a")).collect()}
+    # The second window's state is one higher, and so is what is seen.
+    assert abs(means[0] - 3) < 0.1 and abs(means[1] - 3) < 0.1 and state.first()["shift"] == 2
+
+
+def test_update_of_rows_that_lack_members(spark):
+    rng = np.random.default_rng(1)
+    full, seen = rng.normal(size=(3, 8)), rng.normal(size=(2, 8))
+    lost = {(0, 3), (1, 0), (1, 7)} | {(2, m) for m in range(1, 8)}
+    aug = spark.createDataFrame([(r, m, float(full[r, m])) for r in range(3) for m in range(8) if (r, m) not in lost], "row_id long, member long, value double")
+    pred = spark.createDataFrame([(o, m, float(seen[o, m])) for o in range(2) for m in range(8)], "obs_id long, member long, value double")
+    obs = spark.createDataFrame([(0, 0.4, 0.5), (1, -0.2, 0.5)], "obs_id long, value double, sigma double")
+    z = rng.normal(size=(2, 8))
+    noise = spark.createDataFrame([(o, m, float(z[o, m])) for o in range(2) for m in range(8)], "obs_id long, member long, z double")
+    got = {(r.row_id, r.member): r.value for r in assim.esmda_update(aug, pred, obs, noise, 2.0).collect()}
+    assert set(got) == {(r, m) for r in range(3) for m in range(8)} - lost
+    x = np.linalg.solve(np.cov(seen) + 2 * 0.25 * np.eye(2), np.array([[0.4], [-0.2]]) + np.sqrt(2) * 0.5 * z - seen)
+    for r in range(3):
+        has = [m for m in range(8) if (r, m) not in lost]
+        c = np.array([np.cov(full[r, has], seen[o, has])[0, 1] if len(has) > 1 else 0.0 for o in range(2)])
+        assert np.allclose([got[r, m] for m in has], full[r, has] + (c @ x)[has])
+    with pytest.raises(Exception, match="no prediction for member"):
+        assim.esmda_update(aug.withColumn("member", F.col("member") + 1), pred, obs, noise, 2.0).collect()
+
+
+def test_covariances_of_common_members(spark):
+    rows = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, 4.0), (1, 0, 5.0), (1, 9, 1.0), (2, 9, 1.0)], "row_id long, member long, value double")
+    obs = spark.createDataFrame([(7, 0, 1.0), (7, 1, 0.0), (7, 2, 5.0), (8, 1, 3.0), (8, 2, 3.0)], "obs_id long, member long, value double")
+    got = {(r.row_id, r.obs_id): r.cov for r in assim.covariance(rows, obs).collect()}
+    assert got[0, 7] == pytest.approx(np.cov([1, 2, 4], [1, 0, 5])[0, 1]) and got[0, 8] == 0 and got[1, 7] is None and set(got) == {(0, 7), (0, 8), (1, 7)}
+    corr = {(r.row_id, r.obs_id): r.corr for r in assim.correlation(rows, obs).collect()}
+    assert corr[0, 7] == pytest.approx(np.corrcoef([1, 2, 4], [1, 0, 5])[0, 1]) and corr[0, 8] == 0
+
+
+def test_crps_without_missing_members(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 2.0)]
+    want = scores.crps(spark.createDataFrame(rows, "k string, x double, y double"), ["k"]).first()["crps"]
+    got = scores.crps(spark.createDataFrame([*rows, ("a", None, 2.0)], "k string, x double, y double"), ["k"]).first()["crps"]
+    assert want == got == pytest.approx(0.5)
+
+
+def test_grids_of_one_size_are_apart(spark):
+    runs = spark.createDataFrame([("20x40x16", 32), ("20x40x16", 64), ("40x20x16", 32), ("40x20x16", 96), ("40x20x16", 96)], "grid string, ensemble_size long")
+    assert tuple(sweep.pick_domain(runs).first()) == ("40x20x16", 2, 3)
 
 
 def test_groups_by_base_name(spark):
