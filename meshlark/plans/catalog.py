@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshlark.plans import dynamics, fields, scoring  # noqa: F401  (they register themselves)
+from meshlark.plans import cycles, dynamics, fields, files, meshes, scoring  # noqa: F401  (they register themselves)
 from meshlark.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "sensor_interval_obs"

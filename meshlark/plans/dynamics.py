@@ -282,7 +282,7 @@ def update_sql(inflation: str | None, a: str = _A, o: str = _O, observed: list =
     z AS (SELECT member, {', '.join(f'max(z) FILTER (row_id={k}) AS z{i}' for i, k in enumerate(ids))} FROM n GROUP BY member),
     c AS (SELECT {', '.join(f'covar_samp(d{i},d{j}) AS c{i}{j}' for i in range(3) for j in range(i, 3))} FROM w),
     yy AS (SELECT {', '.join(f'max(value) FILTER (row_id={k}) AS y{i}' for i, k in enumerate(ids))} FROM y),
-    md AS (SELECT a.row_id, {', '.join(f'covar_samp(a.value, w.d{i}) AS m{i}' for i in range(3))} FROM a JOIN w USING (member) GROUP BY a.row_id),
+    md AS (SELECT a.row_id, {', '.join(f'coalesce(covar_samp(a.value, w.d{i}), 0) AS m{i}' for i in range(3))} FROM a JOIN w USING (member) GROUP BY a.row_id),
     s AS (SELECT a.row_id, a.member, a.value, {', '.join(f'CASE WHEN e{i} IS NULL THEN 0 ELSE m{i} END AS m{i}' for i in range(3))}, {', '.join(ent)}, {right}
           FROM a JOIN w USING (member) JOIN z USING (member) JOIN md USING (row_id) LEFT JOIN e USING (row_id), c, yy),
     f AS (SELECT *, a11-a10*a01/a00 AS b11, a12-a10*a02/a00 AS b12, r1-a10*r0/a00 AS s1, a21-a20*a01/a00 AS b21, a22-a20*a02/a00 AS b22, r2-a20*r0/a00 AS s2 FROM s),
@@ -489,14 +489,14 @@ def trajectories(spark: SparkSession, d: str) -> DataFrame:
 # Geometry
 
 _BOXES = [(0, 0.0, 2.0, 1.0, 3.0, 0.0, 4.0), (1, 2.5, 5.0, 0.0, 2.0, 0.0, 2.0)]
-_BOX_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ",".join([f"{b[0]}::BIGINT", *[f"{x}::DOUBLE" for x in b[1:]]]) + ")" for b in _BOXES) + ") AS b(box,x0,x1,y0,y1,z0,z1)"
+BOX_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ",".join([f"{b[0]}::BIGINT", *[f"{x}::DOUBLE" for x in b[1:]]]) + ")" for b in _BOXES) + ") AS b(box,x0,x1,y0,y1,z0,z1)"
 
 
 def _boxes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_BOXES, "box long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
 
 
-@query(f"SELECT kz, ky, kx FROM (SELECT DISTINCT kz, ky, kx FROM ({GRID})) c WHERE EXISTS (FROM ({_BOX_SQL}) b WHERE kx>=x0-1e-9 AND kx+1<=x1+1e-9 AND ky>=y0-1e-9 AND ky+1<=y1+1e-9 AND kz>=z0-1e-9 AND kz+1<=z1+1e-9)")
+@query(f"SELECT kz, ky, kx FROM (SELECT DISTINCT kz, ky, kx FROM ({GRID})) c WHERE EXISTS (FROM ({BOX_SQL}) b WHERE kx>=x0-1e-9 AND kx+1<=x1+1e-9 AND ky>=y0-1e-9 AND ky+1<=y1+1e-9 AND kz>=z0-1e-9 AND kz+1<=z1+1e-9)")
 def cells_in_boxes(spark: SparkSession, d: str) -> DataFrame:
     cells = grid(spark, d).select(*CELL).distinct()
     for a in "xyz":
@@ -506,7 +506,7 @@ def cells_in_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH c AS (SELECT i, j, i+0.5 AS x, j+0.5 AS y FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(4)) AS j))
-SELECT i, j, CAST(coalesce(max(z1),0) AS DOUBLE) AS height FROM c LEFT JOIN ({_BOX_SQL}) b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL
+SELECT i, j, CAST(coalesce(max(z1),0) AS DOUBLE) AS height FROM c LEFT JOIN ({BOX_SQL}) b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL
 """)
 def height_raster(spark: SparkSession, d: str) -> DataFrame:
     mesh = geometry.box_triangles(_boxes(spark)).drop("box", "face").withColumn("id", F.monotonically_increasing_id())
@@ -631,7 +631,7 @@ def batched_rollout(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH c AS (SELECT i, j, k, i+0.5 AS x, j+0.5 AS y, k+0.5 AS z FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(4)) AS j), (SELECT unnest(range(5)) AS k))
-SELECT i, j, k, CAST(NOT EXISTS (FROM ({_BOX_SQL}) b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1) AS BIGINT) AS fluid FROM c
+SELECT i, j, k, CAST(NOT EXISTS (FROM ({BOX_SQL}) b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1) AS BIGINT) AS fluid FROM c
 """)
 def mesh_fluid_cells(spark: SparkSession, d: str) -> DataFrame:
     mesh = geometry.box_triangles(_boxes(spark)).drop("box", "face").withColumn("id", F.monotonically_increasing_id())

@@ -76,7 +76,7 @@ SUMMARY_FILES = ("metrics.json", "metrics.yaml", "run_summary.json", "run_summar
 def summary_files(spark: SparkSession, pattern: str) -> DataFrame:
     """``(run, file, text)`` of files ``<run>/<file>``."""
     path = F.split(F.col("_metadata.file_path"), "/")
-    return spark.read.option("wholetext", True).text(pattern).select(F.element_at(path, -2).alias("run"), F.element_at(path, -1).alias("file"), F.col("value").alias("text"))
+    return spark.read.text(pattern, wholetext=True).select(F.element_at(path, -2).alias("run"), F.element_at(path, -1).alias("file"), F.col("value").alias("text"))
 
 
 def as_json(file: Column, text: Column) -> Column:
@@ -188,7 +188,7 @@ def summary_json(row: DataFrame) -> DataFrame:
 
 def read_obstacles(spark: SparkSession, path: str) -> DataFrame:
     """``(kz, ky, kx)`` of a text list of solid cells ``i j k`` from 1, after one header line; another line is an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     lines = lines.where((F.col("n") > 0) & (F.trim("line") != ""))
     parts = F.split(F.trim("line"), r"\s+")
     bad = F.raise_error(F.concat(F.lit("not three cell numbers: "), F.col("line"))).cast("long")
