@@ -17,7 +17,9 @@ named by the least hashes of their shingles, ``BAND`` of them in each of ``BANDS
 share a shard with a probability of 0.9999), where BK-trees search with the radius that the similarity implies
 and ``NOISE`` standard deviations of the differing bits more. What is linked so is only a candidate: within each
 component of candidates, texts link if the true Jaccard similarity of their sets of shingles is as high as wished.
-Components of many shingles are split into blocks, and each pair of blocks is one group of a task.
+In a component of many texts or shingles, those that are similar to its first text are its core, and are linked by that
+alone; the rest is compared with the core and with itself in blocks, and each pair of blocks is one group of a task. So a
+group of copies, however large, costs no more than its number.
 
 A task returns a spanning forest of the links that it found instead of the links; the forests
 are joined by :func:`meshlark.llm.components.connected_components`.
@@ -25,7 +27,8 @@ are joined by :func:`meshlark.llm.components.connected_components`.
 Defined cases: null or empty text has no words and fingerprint 0, which links like any other;
 equal texts have equal fingerprints and meet before any search; a repeated row is one more
 row of its component; a null id never names a component (one of null ids only has null);
-an empty table gives an empty table.
+a very long text is hashed in parts and has one fingerprint like any other; which of equal texts a node stands for
+plays no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,8 +53,8 @@ SHARD = 2048
 WORDS, NOISE = 8, 6
 #: Bands of least hashes that name a wide fingerprint's shards, and hashes in a band.
 BANDS, BAND = 20, 4
-#: Shingles in a block of texts that are compared exactly.
-BLOCK = 1 << 20
+#: Shingles in a block of texts that are compared exactly, and texts of the core in one.
+BLOCK, CORE = 1 << 20, 512
 #: Shingles whose bits are counted at once, so that a very long text needs no more memory.
 VOTES = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -235,12 +238,40 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def similar_to(sets: list[np.ndarray], others: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays ``(i, j)``: for each of ``sets`` that is similar to any of ``others``, the first such one."""
+    size = np.array([len(s) for s in others], np.int64)
+    value = np.concatenate([*others, np.zeros(0, np.uint64)])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], np.repeat(np.arange(len(others)), size)[order]
+    a, b = [], []
+    for i, s in enumerate(sets):
+        begin = np.searchsorted(value, s, "left")
+        count = np.searchsorted(value, s, "right") - begin
+        at = np.arange(count.sum()) + np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count)
+        shared = np.bincount(owner[at], minlength=len(others))
+        near = np.flatnonzero((shared > 0) & (shared >= similarity * (size + len(s) - shared) - 1e-9))
+        if len(near):
+            a.append(i)
+            b.append(int(near[0]))
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _similar_edges(similarity: float):
-    """A function for ``mapInArrow`` over rows sorted by group, of three key columns, node and set of shingles."""
+    """A function for ``mapInArrow`` over rows sorted by group, of three key columns, node, set of shingles, and whether it is known to be in the core.
 
-    def edges(node: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+    A group that has nodes of the core links each of its other nodes to one of them; any other group links all that it has.
+    """
+
+    def edges(node: np.ndarray, sets: np.ndarray, core: np.ndarray) -> pa.RecordBatch:
         node, at = np.unique(node, return_index=True)  # a repeated row is there again
-        i, j = similar_forest([np.frombuffer(sets[k], np.uint64) for k in at], similarity)
+        core, held = core[at].astype(bool), [np.frombuffer(sets[k], np.uint64) for k in at]
+        if core.any():
+            mine, others = np.flatnonzero(~core), np.flatnonzero(core)
+            i, j = similar_to([held[k] for k in mine], [held[k] for k in others], similarity)
+            i, j = mine[i], others[j]
+        else:
+            i, j = similar_forest(held, similarity)
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +283,26 @@ def _similar_edges(similarity: float):
             cols = [np.concatenate(pair) for pair in zip(cols, new, strict=True)] if cols else new
             cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             for begin, end in zip(np.r_[0, cut[:-1]], cut):  # the last group may go on in the next batch
-                yield edges(cols[3][begin:end], cols[4][begin:end])
+                yield edges(*[c[begin:end] for c in cols[3:]])
             if len(cut):
                 cols = [c[cut[-1] :] for c in cols]
         if cols:
-            yield edges(cols[3], cols[4])
+            yield edges(*cols[3:])
+
+    return run
+
+
+def _near_first(similarity: float):
+    """A function for ``mapInArrow``: whether each row's set of shingles is similar to that of its group's first node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = []
+            for own, first in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(own, np.uint64), np.frombuffer(first, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                core.append(own == first or bool(shared) and shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(core, pa.bool_())], ["root", "first", "node", "size", "shingles", "core"])
 
     return run
 
@@ -277,13 +323,27 @@ def verified_edges(docs: DataFrame, members: DataFrame, *, id_col: str, text_col
     wanted = members.select("node", "root", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["rep_id"]) & (texts["text_hash"] == wanted["rep_hash"])).select("node", "root", "text")
     sets = materialise(found.mapInArrow(run, "node long, root long, size long, shingles binary"), "shingles")
-    full = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / shard, F.sum("size") / BLOCK)).cast("long").alias("blocks")).where("blocks > 1")
-    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0).cast("long"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1))
-    placed = sets.join(full, "root", "left").select("root", "node", "shingles", own.alias("own"), other.alias("other"))
-    placed = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    facts = sets.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("size"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("first"))
+    full = materialise(facts.where((F.col("many") > shard) | (F.col("size") > BLOCK)).select("root", "first"), "full")
+    plain = sets.join(full, "root", "left_anti").select("root", *[F.lit(0).cast("long").alias(c) for c in "ij"], "node", "shingles", F.lit(False).alias("core"))
+
+    # Of a large group, those that are similar to its first node are its core, which needs no comparison within itself.
+    first = full.join(sets.select(F.col("node").alias("first"), F.col("shingles").alias("first_shingles")).dropDuplicates(["first"]), "first")
+    against = sets.join(first, "root").select("root", "first", "node", "size", "shingles", "first_shingles")
+    large = materialise(against.mapInArrow(_near_first(similarity), "root long, first long, node long, size long, shingles binary, core boolean"), "large")
+    star = large.where("core and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    blocks = [F.ceil(F.greatest(F.count_if(c) / n, F.sum(F.when(c, F.col("size"))) / BLOCK)).cast("long").alias(name) for name, c, n in (("rests", ~F.col("core"), shard), ("cores", F.col("core"), CORE))]
+    counted = large.join(large.groupBy("root").agg(*blocks).where("rests > 0"), "root")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests")))
+    upto = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    beside = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cores") - 1), lambda c: F.struct(F.col("own").alias("i"), (F.col("rests") + c).alias("j")))
+    before = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda o: F.struct(o.alias("i"), (F.col("rests") + F.col("own")).alias("j")))
+    pairs = F.explode(F.when(F.col("core"), before).otherwise(F.concat(upto, beside)))
+    placed = counted.withColumn("own", own).withColumn("p", pairs).select("root", "p.i", "p.j", "node", "shingles", "core")
+
     keys = ["root", "i", "j"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_similar_edges(similarity), "a long, b long")
+    compared = plain.unionByName(placed).repartition(*keys).sortWithinPartitions(*keys)
+    return compared.mapInArrow(_similar_edges(similarity), "a long, b long").unionByName(star)
 
 
 def near_edges(distinct: DataFrame, shards: Column, radius: int, shard: int = SHARD) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meshlark.llm import simhash
 from meshlark.llm.bktree import BKForest, roots
@@ -155,3 +156,44 @@ def test_similar_forest_is_that_of_all_pairs(sets):
     pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6]
     want = roots(len(sets), [(np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int))])
     assert got.tolist() == want.tolist()
+
+
+def test_large_groups_are_compared_through_their_core(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CORE", 7)
+    rows = [(5000 + r[0], *r[1:]) for r in threshold_pairs(6)] + near_copies(groups=3, copies=5)
+    # One large group: copies of one text with a word changed, a text near only to some of them, and a chain beyond.
+    base = [f"h{k}" for k in range(120)]
+    for c in range(40):
+        words = list(base)
+        words[3 * c % 120] = f"x{c}"
+        rows.append((9000 + c, " ".join(words), None, None, None))
+    for c in range(1, 6):
+        rows.append((9100 + c, " ".join([f"y{k}" for k in range(11 * c)] + base[11 * c :]), None, None, None))
+    docs = frame(spark, rows)
+    sets = {r[0]: {tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)} for r in rows}
+    label = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for a in sets:
+            label[a] = min(label[b] for b in sets if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    for shard in (2048, 20, 3):
+        members = spark.createDataFrame([(k, 1, r[0]) for k, r in enumerate(rows)], "node long, root long, id long")
+        texts = docs.select("doc_id", simhash._text_hash("text").alias("h"))
+        members = members.join(texts, F.col("id") == F.col("doc_id")).select("node", "root", F.struct("id", F.col("h").alias("text_hash")).alias("rep"))
+        edges = simhash.verified_edges(docs, members, id_col="doc_id", text_col="text", shingle=5, similarity=0.8, shard=shard).collect()
+        found = roots(len(rows), [(np.array([e.a for e in edges], int), np.array([e.b for e in edges], int))])
+        groups = {}
+        for k, r in enumerate(rows):
+            groups.setdefault(found[k], set()).add(r[0])
+        want = {}
+        for i, g in label.items():
+            want.setdefault(g, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), max_size=12), st.lists(st.sets(st.integers(0, 12), min_size=1), max_size=12))
+def test_first_similar_ones(sets, others):
+    arrays = [[np.array(sorted(s), np.uint64) for s in side] for side in (sets, others)]
+    got = dict(zip(*map(np.ndarray.tolist, simhash.similar_to(*arrays, 0.6)), strict=True))
+    near = {i: [j for j, y in enumerate(others) if len(x & y) / len(x | y) >= 0.6] for i, x in enumerate(sets)}
+    assert got == {i: js[0] for i, js in near.items() if js}
