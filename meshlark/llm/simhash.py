@@ -396,7 +396,7 @@ def simhash_groups(
         distinct = materialise(fps.groupBy("node").agg(F.min("id").alias("least"), rep, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
         candidates = connected_components(near_edges(distinct.select("node", "fp", "bands"), band_shards(), wide_radius(similarity, words), shard))
         members = candidates.join(distinct.select("node", "rep"), "node")
-        names = connected_components(verified_edges(docs, members, similarity=similarity, shard=shard, **columns))
+        names = connected_components(verified_edges(docs, members, similarity=similarity, shard=max(1, shard // 2), **columns))
     named = distinct.join(names, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written first: a plain join of two tables is one whose hot groups adaptive execution can split.
     least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
