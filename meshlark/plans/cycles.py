@@ -308,15 +308,16 @@ def regular_axes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH k AS (SELECT param, k::DOUBLE AS time, y FROM (SELECT param, k, avg(x) AS y FROM ({SERIES}) GROUP BY ALL) WHERE k IN (5, 15, 25) AND param<>'click'), a AS (SELECT param, (s+1)*3.5 AS time FROM (SELECT DISTINCT param FROM ({SERIES})), (SELECT unnest(range(8)) AS s)),
+WITH k AS (SELECT param, k*2.0::DOUBLE+5 AS time, avg(x) AS y FROM ({SERIES}) GROUP BY ALL), a AS (SELECT param, (s+1)*3.5 AS time FROM (SELECT DISTINCT param FROM ({SERIES}) UNION ALL SELECT 'unknown'), (SELECT unnest(range(20)) AS s)),
 j AS (SELECT a.*, (SELECT max(time) FROM k WHERE k.param=a.param AND k.time<=a.time) AS lo, (SELECT min(time) FROM k WHERE k.param=a.param AND k.time>=a.time) AS hi FROM a)
 SELECT j.param, CAST(j.time AS DOUBLE) AS time, round(coalesce(CASE WHEN lo IS NULL THEN h.y WHEN hi IS NULL OR hi=lo THEN l.y ELSE l.y+(h.y-l.y)*(j.time-lo)/(hi-lo) END, 7.5),6) AS y FROM j LEFT JOIN k l ON l.param=j.param AND l.time=lo LEFT JOIN k h ON h.param=j.param AND h.time=hi
 """)
 def schedule_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A schedule at the ends of a model's steps, a default where there is none."""
     s = series(spark, d)
-    known = s.groupBy("param", "k").agg(F.avg("x").alias("y")).where("k in (5, 15, 25) and param <> 'click'").select("param", F.col("k").cast("double").alias("time"), "y")
-    asked = s.select("param").distinct().select("param", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i + 1) * 3.5)).alias("time"))
+    known = s.groupBy("param", "k").agg(F.avg("x").alias("y")).select("param", (F.col("k") * 2.0 + 5).alias("time"), "y")
+    names = s.select("param").distinct().unionAll(spark.createDataFrame([("unknown",)], "param string"))
+    asked = names.select("param", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (i + 1) * 3.5)).alias("time"))
     return align.schedule_at(asked, known, ["param"], "time", "y", default=7.5).select("param", F.col("time").cast("double").alias("time"), r6("y").alias("y"))
 
 
