@@ -394,25 +394,23 @@ def ar2_prior(spark: SparkSession, d: str) -> DataFrame:
     return got.select("member", "knot", r6("z").alias("z"), r6("value").alias("value"))
 
 
-_POST = f"SELECT param AS name, m AS member, k::DOUBLE*10 AS time, x AS value FROM ({SERIES}) WHERE param='click' AND k IN (28, 29) QUALIFY count(*) OVER (PARTITION BY m)=2"
+_POST = f"SELECT param AS name, m AS member, k::DOUBLE*10 AS time, x AS value FROM ({SERIES})"
 
 
 @query(f"""
-WITH RECURSIVE p AS ({_POST}), u AS (SELECT *, avg(value) OVER (PARTITION BY time) AS mean FROM p),
-e AS (SELECT member, max(mean) FILTER (time=290) AS mu, max((value-mean)/0.5) FILTER (time=290) AS z0, (max((value-mean)/0.5) FILTER (time=290)-max((value-mean)/0.5) FILTER (time=280))/10.0 AS w0 FROM u GROUP BY member),
-{ar2_sql("SELECT member, 0::BIGINT AS knot, z0 AS z, w0 AS w FROM e")}
-SELECT member, knot, round(exp(-knot*25.0/{_LENGTH})*mu+(1-exp(-knot*25.0/{_LENGTH}))*6+0.5*z,6) AS value FROM r JOIN e USING (member)
+WITH RECURSIVE p AS (SELECT *, (value-avg(value) OVER (PARTITION BY name, time))/0.5 AS z, avg(value) OVER (PARTITION BY name, time) AS mean, row_number() OVER (PARTITION BY name, member ORDER BY time DESC) AS n FROM ({_POST})),
+e AS (SELECT a.name, a.member, a.mean AS mu, a.z AS z0, coalesce((a.z-b.z)/(a.time-b.time),0) AS w0 FROM (FROM p WHERE n=1) a LEFT JOIN (FROM p WHERE n=2) b USING (name, member)),
+{ar2_sql("SELECT name, member, 0::BIGINT AS knot, z0 AS z, w0 AS w FROM e").replace("SELECT r.member, k.knot", "SELECT r.name, r.member, k.knot")}
+SELECT name, member, knot, round(exp(-knot*25.0/{_LENGTH})*mu+(1-exp(-knot*25.0/{_LENGTH}))*6+0.5*z,6) AS value FROM r JOIN e USING (name, member)
 """)
 def ar2_extrapolate(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    post = series(spark, d).where("param = 'click' and k in (28, 29)").select(F.col("param").alias("name"), F.col("m").alias("member"), (F.col("k") * 10.0).alias("time"), F.col("x").alias("value"))
-    post = post.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("member"))).where("n = 2").drop("n")
-    ends = priors.window_ends(post, std=F.lit(0.5)).drop("name")
-    _, steps = _ar2_noise(spark)
+    """The next window of every parameter, from where each member's series ends."""
+    post = series(spark, d).select(F.col("param").alias("name"), F.col("m").alias("member"), (F.col("k") * 10.0).alias("time"), F.col("x").alias("value"))
+    ends = priors.window_ends(post, std=F.lit(0.5))
+    steps = ends.select("name", "member").join(_ar2_noise(spark)[1], "member")
     times = spark.range(_KNOTS).select(F.col("id").alias("knot"), (F.col("id") * 25.0).alias("time"))
-    got = priors.ar2_extrapolate(ends, steps, ["member"], _LENGTH, times, F.lit(6.0), F.lit(0.5))
-    return got.select("member", "knot", r6("value").alias("value"))
+    got = priors.ar2_extrapolate(ends, steps, ["name", "member"], _LENGTH, times, F.lit(6.0), F.lit(0.5))
+    return got.select("name", "member", "knot", r6("value").alias("value"))
 
 
 @query(f"SELECT member, knot, round(0.1+(3.0-0.1)*u,6) AS value FROM ({_E1})")
@@ -480,10 +478,10 @@ def nested_fields(spark: SparkSession, d: str) -> DataFrame:
     return got.select("event_id", "k", "gap")
 
 
-@query(f"SELECT param, k, round(avg(x),6) AS mean, round(stddev_pop(x),6) AS std FROM ({SERIES}) GROUP BY ALL")
+@query(f"SELECT param, k, round(avg(x),9) AS mean, round(stddev_pop(x),9) AS std FROM ({SERIES}) GROUP BY ALL")
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
     got = sweep.trajectories(series(spark, d), ["param", "k"], "x")
-    return got.select("param", "k", r6("mean").alias("mean"), r6("std").alias("std"))
+    return got.select("param", "k", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 # Geometry
@@ -576,19 +574,23 @@ def schedule_lines(spark: SparkSession, d: str) -> DataFrame:
     return io.schedule_lines(rows).select("event_type", "line")
 
 
-@query(f"SELECT param || '_' || k AS row_id, m AS member, round(2*x,6) AS value FROM ({SERIES}) WHERE k>1 AND k<=5 UNION ALL SELECT param || '_' || 1, m, round(x,6) FROM ({SERIES}) WHERE k=1")
+@query(f"SELECT param || '_' || k AS row_id, m AS member, round(2*x,6) AS value FROM ({SERIES}) WHERE k>1 UNION ALL SELECT param || '_' || 1, m, round(x,6) FROM ({SERIES}) WHERE k=1")
 def pinned_knots(spark: SparkSession, d: str) -> DataFrame:
     """Knots as augmented rows, changed, and put back together with those that were pinned."""
-    p = series(spark, d).where("k <= 5").select(F.col("param").alias("name"), (F.col("k") - 1).alias("knot"), F.col("m").alias("member"), F.col("x").alias("value"))
+    p = series(spark, d).select(F.col("param").alias("name"), (F.col("k") - 1).alias("knot"), F.col("m").alias("member"), F.col("x").alias("value"))
     rows, kept = assim.pin_knots(p, True)
     back = assim.unpin_knots(rows.select("row_id", "member", (2 * F.col("value")).alias("value")), kept)
     return back.select(F.concat_ws("_", "name", F.col("knot") + 1).alias("row_id"), "member", r6("value").alias("value"))
 
 
-@query(f"SELECT m AS member, param AS name, round(CASE WHEN param IN ('click','view') AND k2 IS NOT NULL THEN x2 ELSE x END,6) AS value FROM (SELECT * FROM ({SERIES}) WHERE k=3) a LEFT JOIN (SELECT param, m, x AS x2, k AS k2 FROM ({SERIES}) WHERE k=7) b USING (param, m) WHERE k2 IS NULL OR true UNION ALL SELECT m, param, round(x,6) FROM ({SERIES}) c WHERE k=7 AND param IN ('click','view') AND NOT EXISTS (FROM ({SERIES}) e WHERE e.k=3 AND e.param=c.param AND e.m=c.m)")
+_HALVES = f"SELECT param, m, k>15 AS late, avg(x) AS x FROM ({SERIES}) GROUP BY ALL"
+
+
+@query(f"SELECT coalesce(a.m, b.m) AS member, coalesce(a.param, b.param) AS name, round(coalesce(b.x, a.x),6) AS value FROM (FROM ({_HALVES}) WHERE NOT late) a FULL JOIN (FROM ({_HALVES}) WHERE late AND param IN ('click','view')) b USING (param, m)")
 def merge_params(spark: SparkSession, d: str) -> DataFrame:
-    p = series(spark, d).select(F.col("m").alias("member"), F.col("param").alias("name"), F.col("x").alias("value"), "k")
-    got = ensemble.merge_params(p.where("k = 3").drop("k"), p.where("k = 7").drop("k"), ["click", "view"], ["member"])
+    """Means of the first half of the days, two parameters replaced by those of the second."""
+    p = series(spark, d).groupBy(F.col("m").alias("member"), F.col("param").alias("name"), (F.col("k") > 15).alias("late")).agg(F.avg("x").alias("value"))
+    got = ensemble.merge_params(p.where("not late").drop("late"), p.where("late").drop("late"), ["click", "view"], ["member"])
     return got.select("member", "name", r6("value").alias("value"))
 
 
@@ -603,9 +605,9 @@ def external_series(spark: SparkSession, d: str) -> DataFrame:
     return got.select("name", "member", "knot", r6("value").alias("value"))
 
 
-@query(f"SELECT m AS member, param AS name, round(x,6) AS value FROM ({SERIES}) WHERE k=3 UNION ALL SELECT DISTINCT m, 'roughness', 0.1::DOUBLE FROM ({SERIES}) WHERE k=3")
+@query(f"SELECT m AS member, param AS name, round(avg(x),6) AS value FROM ({SERIES}) GROUP BY ALL UNION ALL SELECT DISTINCT m, 'roughness', 0.1::DOUBLE FROM ({SERIES})")
 def constant_params(spark: SparkSession, d: str) -> DataFrame:
-    p = series(spark, d).where("k = 3").select(F.col("m").alias("member"), F.col("param").alias("name"), F.col("x").alias("value"))
+    p = series(spark, d).groupBy(F.col("m").alias("member"), F.col("param").alias("name")).agg(F.avg("x").alias("value"))
     got = ensemble.constant_params(p, {"roughness": 0.1})
     return got.select("member", "name", r6("value").alias("value"))
 

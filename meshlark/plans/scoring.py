@@ -202,14 +202,14 @@ def align_inside(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT param, m, k::DOUBLE AS time, x FROM ({SERIES}) WHERE k IN (1, 11, 21, 30)), q AS (SELECT DISTINCT param, m FROM p), t AS (SELECT unnest(range(31))::DOUBLE AS time),
+WITH p AS (SELECT param, m, k::DOUBLE AS time, x FROM ({SERIES})), q AS (SELECT DISTINCT param, m FROM p), t AS (SELECT unnest(range(62))*0.5::DOUBLE+0.1234567 AS time),
 a AS (SELECT param, m, t.time, (SELECT max(time) FROM p WHERE p.param=q.param AND p.m=q.m AND p.time<=t.time) AS lo, (SELECT min(time) FROM p WHERE p.param=q.param AND p.m=q.m AND p.time>=t.time) AS hi FROM q, t)
 SELECT a.param, a.m, a.time, round(CASE WHEN lo IS NULL THEN h.x WHEN hi IS NULL OR hi=lo THEN l.x ELSE l.x+(h.x-l.x)*(a.time-lo)/(hi-lo) END,6) AS x
 FROM a LEFT JOIN p l ON l.param=a.param AND l.m=a.m AND l.time=lo LEFT JOIN p h ON h.param=a.param AND h.m=a.m AND h.time=hi
 """)
 def param_to_state_time(spark: SparkSession, d: str) -> DataFrame:
-    knots = series(spark, d).where("k in (1, 11, 21, 30)").select("param", "m", F.col("k").cast("double").alias("time"), "x")
-    times = F.explode(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: i.cast("double"))).alias("time")
+    knots = series(spark, d).select("param", "m", F.col("k").cast("double").alias("time"), "x")
+    times = F.explode(F.transform(F.sequence(F.lit(0), F.lit(61)), lambda i: i * 0.5 + 0.1234567)).alias("time")
     asked = knots.select("param", "m").distinct().select("param", "m", times)
     return align.lerp_join(asked, knots, ["param", "m"], "time", "x").select("param", "m", "time", r6("x").alias("x"))
 

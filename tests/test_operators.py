@@ -354,6 +354,14 @@ def test_one_knot_ends_do_not_move(spark):
     assert [r.w0 for r in got] == [0] * 4 and [r.z0 for r in got] == [-1.5, -0.5, 0.5, 1.5]
 
 
+def test_series_that_end_early_are_about_the_mean_of_all_members(spark):
+    rows = [("p", 0, 0.0, 1.0), ("p", 0, 1.0, 5.0), ("p", 1, 0.0, 2.0), ("p", 1, 1.0, 3.0), ("p", 1, 2.0, 9.0), ("p", 1, 3.0, 4.0)]
+    post = spark.createDataFrame(rows, "name string, member long, time double, value double")
+    first, second = priors.window_ends(post).orderBy("member").collect()
+    assert (first.mu_end, first.z0, first.w0) == (4.0, 1.0, 1.5)
+    assert (second.mu_end, second.z0, second.w0) == (4.0, 0.0, 0.0)
+
+
 def test_hyper_parameters(spark):
     df = spark.createDataFrame([(0.25,)], "u double")
     r = df.select(priors.hyper_parameter(3, F.col("u")).alias("a"), priors.hyper_parameter({"min": 2, "max": 6}, F.col("u")).alias("b")).first()
