@@ -79,6 +79,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete these tables of :func:`materialise`, and the shuffles of finished queries; what reads the tables has to be written before.
+
+    Spark keeps the files of a shuffle until the driver's garbage collector finds that its plan is dead, by itself often later than the disk lasts.
+    """
+    for df in tables:
+        for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            delete(spark, path)
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this application has written to the shared folder; results that read them are lost."""
     delete(spark, _tables(spark))

@@ -44,11 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import materialise
+from meshlark.llm.common import materialise, sweep
 
 WINDOW, ROUNDS = 35, "RPPRPPPPP"
-#: Words whose symbols are held at once, about (at least one whole text).
-BATCH_WORDS = 1 << 20
+#: Words whose symbols are held at once, about (at least one whole text). A word takes some 400 bytes of a Python worker
+#: on the way: its bytes, its digests, five symbols of all rounds, and what the selection of symbols makes.
+BATCH_WORDS = 1 << 17
 
 
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -279,6 +280,7 @@ def repeated_starts(windows: DataFrame) -> DataFrame:
     """
     counts = windows.groupBy("w1").agg(F.count(F.lit(1)).alias("n"), (F.min("w2") != F.max("w2")).alias("clash"))
     counts = materialise(counts.where("n > 1").select("w1", "clash"), "repeats")
+    sweep(windows.sparkSession)
     found = windows.select("row", "start", "w1").join(counts.where("not clash").select("w1"), "w1").select("row", "start")
     clash = counts.where("clash").select("w1")
     if clash.isEmpty():
@@ -299,30 +301,39 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     # Ids name a row of each text by their hash, which is never null.
     named = rows.withColumn("rep", F.xxhash64("id"))
-    keyed = materialise(rows.mapInArrow(_keys(window, rounds), f"id {kind}, th long, tg long, n_words long, whole_sha string, keys array<long>"), "keyed")
+    spark = docs.sparkSession
+    found = materialise(rows.mapInArrow(_keys(window, rounds), f"id {kind}, th long, tg long, n_words long, whole_sha string, keys array<long>"), "found")
+    keyed = materialise(found.drop("keys"), "keyed")
 
-    texts = keyed.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("id")).alias("rep"), F.first("keys").alias("keys"))
+    # Keys and windows are many times as many as rows: each table of them goes, with its shuffles, when the next one is written.
+    texts = found.groupBy("th", "tg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("id")).alias("rep"), F.first("keys").alias("keys"))
     texts = materialise(texts.where(F.size("keys") > 0), "texts")
+    copied = materialise(texts.where("copies > 1").select("th", "tg", "copies"), "copied")
+    sweep(spark, found)
     each = texts.select("th", "tg", "copies", F.explode("keys").alias("key"))
     # How often a key is there, and in how many texts it may be (1: in one text only).
     count = each.groupBy("key").agg(F.sum("copies").alias("total"), F.min("th").alias("low"), F.max("th").alias("high"))
     shared = materialise(count.where("total > 1").select("key", (F.col("low") != F.col("high")).alias("several")), "shared-keys")
+    sweep(spark)
     known = each.join(shared, "key").where("several or copies = 1").groupBy("th", "tg").agg(F.collect_set("key").alias("shared"))
     known = materialise(known.join(texts.select("th", "tg", "rep", "copies"), ["th", "tg"]), "shared")
+    sweep(spark, shared, texts)
 
     revealed = _one_of_each(named, known.select("th", "tg", "rep", "shared")).select("th", "tg", "text", "shared")
     candidate = revealed.mapInArrow(_candidates(window, rounds), "th long, tg long, start array<int>, w1 array<long>, w2 array<long>")
     candidate = materialise(candidate.withColumn("row", F.monotonically_increasing_id()), "candidates")
+    sweep(spark)
     asked = candidate.join(known.where("copies = 1").select("th", "tg", "rep"), ["th", "tg"]).select("row", "th", "tg", "rep")
     starts = repeated_starts(candidate.select("row", F.explode(F.arrays_zip("start", "w1", "w2")).alias("w")).select("row", "w.*"))
     places = materialise(starts.groupBy("row").agg(F.collect_set("start").alias("start")).join(asked, "row").select("th", "tg", "rep", "start"), "places")
+    sweep(spark, known, candidate)
     partly = _one_of_each(named, places).select("th", "tg", "text", "start").mapInArrow(_kept(window), "th long, tg long, n_removed long, kept binary")
     partly = partly.select("th", "tg", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
     # One row for each text that loses words; rows of one text may be many, so they meet it in a single plain join.
-    copied = texts.where("copies > 1").select("th", "tg", "copies")
     fates = materialise(copied.join(partly, ["th", "tg"], "full"), "fates")
-    out = keyed.select("id", "th", "tg", "n_words", "whole_sha").join(fates, ["th", "tg"], "left")
+    sweep(spark, copied, places)
+    out = keyed.join(fates, ["th", "tg"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return out.select(
         "id",

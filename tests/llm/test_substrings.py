@@ -1,10 +1,14 @@
 import hashlib
+import pathlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from meshlark.llm import common
 from meshlark.llm import substrings as s
 from tests.llm.cases import DOCS, awkward, frame
 
@@ -139,3 +143,25 @@ def test_names_that_share_a_half(spark):
 
 def test_empty(spark):
     assert s.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_batches_hold_a_bounded_number_of_words():
+    """What a Python worker holds while it names words and symbols, however many texts a batch has."""
+    texts = [" ".join(f"w{(k * 7919 + j) % 9973}" for j in range(400)).encode() for k in range(2500)]
+    keys = [[1]] * len(texts)
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["th", "tg", "text", "shared"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in s._candidates(35, s.ROUNDS)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 120e6
+
+
+def test_tables_on_the_way_are_deleted_but_what_the_result_reads(spark):
+    where = pathlib.Path(common._tables(spark))
+    before = set(where.iterdir()) if where.exists() else set()
+    out = s.remove_repeats(frame(spark, rows_with_passages(3)))
+    left = {p.name.rpartition("-")[0] for p in set(where.iterdir()) - before}
+    assert left <= {"keyed", "fates", "repeats", "clashes"} and {"keyed", "fates"} <= left
+    assert out.count() == len(rows_with_passages(3))
