@@ -51,7 +51,7 @@ class CharCNN:
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability that each window holds a secret."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -50, 50)))
+        return self.calibrated(self.logits(x))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
         """Adam on the class-balanced logistic loss."""
@@ -79,12 +79,32 @@ class CharCNN:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 400) -> None:
         """Platt scaling on rows that the network was not fitted on."""
-        z = self.logits(x)
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        self.calibrate_counts(self.logits(x), y, np.ones(len(y)), rounds)
+
+    def calibrate_counts(self, z: np.ndarray, y: np.ndarray, many: np.ndarray, rounds: int = 400) -> None:
+        """Platt scaling on logits with their labels, each as often as ``many`` says."""
+        hits, rows = (many * y).sum(), many.sum()
+        target = np.where(y == 1, (hits + 1) / (hits + 2), 1 / (rows - hits + 2))
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -50, 50)))
-            self.scale -= 0.1 * float(((p - target) * z).mean())
-            self.shift -= 0.1 * float((p - target).mean())
+            self.scale -= 0.1 * float(((p - target) * z * many).sum() / rows)
+            self.shift -= 0.1 * float(((p - target) * many).sum() / rows)
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        """The probabilities that logits stand for."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -50, 50)))
+
+    def parameters(self) -> np.ndarray:
+        """All that is fitted but the calibration, in one row."""
+        return np.concatenate([p.ravel() for p in (self.emb, self.conv, self.bias, self.out, self.const)])
+
+    def with_parameters(self, flat: np.ndarray) -> CharCNN:
+        """A network of this shape with these :meth:`parameters`."""
+        parts, at = [], 0
+        for p in (self.emb, self.conv, self.bias, self.out, self.const):
+            parts.append(flat[at : at + p.size].reshape(p.shape).copy())
+            at += p.size
+        return CharCNN(*parts, self.reach)
 
 
 def recall_threshold(p: np.ndarray, y: np.ndarray, recall: float) -> float:

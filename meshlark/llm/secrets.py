@@ -11,11 +11,17 @@ overlapping windows and takes its highest probability.
 
 *Training.* The base findings are the labelled findings: pieces of candidates that overlap one are the
 positives, all others, and plain stretches of text, the negatives. They are looked for in all
-documents; of the different windows of each label, a bounded sample (``FIT_ROWS``) is used. Of every eight windows of
+documents, and all different windows are used, whatever their number. Of every eight windows of
 a label, six train the network, one calibrates its probabilities and one sets the threshold: the highest one
 that finds ``recall`` of the positives among these, however low. A candidate at or over it that overlaps no
 base finding is a further span, of kind ``network``. Base findings always stay.
 
+Windows that train are dealt to shards of about ``FIT_ROWS`` of each label; the label with fewer windows has fewer different
+shards, which repeat. In every of ``FIT_ROUNDS`` rounds each shard trains the network from the same parameters for
+``FIT_EPOCHS`` epochs, and the parameters are averaged (an embedding: over the shards that have its symbol). One shard has
+nothing to average and trains for all the epochs at once.
+The calibration is of counts of logits, rounded to ``1 / GRAIN``; the threshold is an exact order statistic.
+
 Offsets are code points, ends exclusive.
 
 Defined cases: a null or empty text has no findings; repeated rows have the same findings and train once; of candidates
@@ -32,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.charcnn import CharCNN, encode, recall_threshold
-from meshlark.llm.common import bounded_sample, free_names, materialise
+from meshlark.llm.charcnn import CharCNN, encode
+from meshlark.llm.common import free_names, kth_least, materialise, sweep
 
 #: The base rules: fixed patterns.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -49,8 +55,12 @@ VALUE = re.compile(rb"""(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*[A-Za-z_]["']?\x20*[:=
 NAME = re.compile(rb"""([A-Za-z0-9_.-]+)["']?\x20*[:=]\x20*["']?$""")
 LEAST, ASSIGNED, CONTEXT, INNER = 16, 8, 16, 64
 WIDTH = INNER + 2 * CONTEXT
-#: Windows of each label that the network is fitted on, at most and at least; recall on the held-out ones.
+#: Windows of each label in a shard, about; of each label in all, at least; recall on the held-out ones.
 FIT_ROWS, FIT_LEAST, RECALL = 20_000, 8, 0.99
+#: Rounds of training, and the epochs of each.
+FIT_ROUNDS, FIT_EPOCHS = 4, 3
+#: Parts of one that logits are rounded to for the calibration, and where they end; parameters are averaged as whole numbers of 1 / FIXED.
+GRAIN, FAR, FIXED = 1024, 64, 1 << 32
 #: Windows that are in matrices at once.
 AT_ONCE = 4096
 
@@ -133,26 +143,105 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.int64())], ["window", "label"])
 
 
+def dealt(found: DataFrame, shards: dict[int, int]) -> DataFrame:
+    """``found(window, label)`` with ``bucket``, one of the label's ``shards``, and ``use``: 0 calibrates, 1 sets the threshold, 2 and more train."""
+    bucket = F.pmod(F.xxhash64("window", F.lit(977)), F.when(F.col("label") == 1, shards[1]).otherwise(shards[0]).cast("long"))
+    place = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("window"))
+    return found.withColumn("bucket", bucket).withColumn("use", (place - 1) % 8)
+
+
+def packed(split: DataFrame, shards: dict[int, int]) -> DataFrame:
+    """One row ``(windows)`` for each shard: its training windows with their labels, in order."""
+    most = max(shards.values())
+    step = F.when(F.col("label") == 1, shards[1]).otherwise(shards[0]).cast("long")
+    rows = split.where("use > 1").select(F.explode(F.sequence("bucket", F.lit(most - 1).cast("long"), step)).alias("shard"), F.struct("window", "label").alias("w"))
+    return rows.repartitionByRange(most, "shard").groupBy("shard").agg(F.sort_array(F.collect_list("w")).alias("windows")).select("windows")
+
+
+def _shard_parameters(net: CharCNN, epochs: int, seed: int):
+    """The parameters that each shard trains ``net`` to, as (place, whole number); embeddings only of symbols that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                x = encode(rows.values.field("window").to_pylist(), WIDTH)
+                own = net.with_parameters(net.parameters())
+                own.fit(x, rows.values.field("label").to_numpy(), epochs=epochs, seed=seed)
+                has = np.ones(len(own.parameters()), bool)
+                has[: own.emb.size] = np.repeat(np.isin(np.arange(len(own.emb)), x), own.emb.shape[1])
+                at = np.flatnonzero(has)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(own.parameters()[at] * FIXED).astype(np.int64))], ["at", "value"])
+
+    return run
+
+
+def train(packs: DataFrame, rounds: int = FIT_ROUNDS) -> CharCNN:
+    """The network trained on :func:`packed` shards. Sums are of whole numbers, so that their order does not matter."""
+    net = CharCNN.start()
+    for k in range(rounds):
+        each = packs.mapInArrow(_shard_parameters(net, FIT_EPOCHS * FIT_ROUNDS // rounds, 11 + k), "at long, value long")
+        mean = each.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("total"), F.count(F.lit(1)).alias("n")).collect()
+        flat = net.parameters()
+        for r in mean:
+            flat[r["at"]] = int(r["total"]) / r["n"] / FIXED
+        net = net.with_parameters(flat)
+    return net
+
+
+def _logits(net: CharCNN):
+    """The logits of held-out windows, as whole numbers in the order of the logits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = batch.column(0).to_pylist()
+            z = [net.logits(encode(seen[k : k + AT_ONCE], WIDTH)) for k in range(0, len(seen), AT_ONCE)]
+            bits = ordered(np.concatenate([*z, np.zeros(0)]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits), pa.array(in_grains(unordered(bits)))], ["label", "use", "bits", "grain"])
+
+    return run
+
+
+def ordered(z: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the numbers ``z``."""
+    bits = (z + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
+def unordered(bits: np.ndarray) -> np.ndarray:
+    """The numbers that :func:`ordered` has made whole ones of."""
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64)
+
+
+def in_grains(z: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(z, -FAR, FAR) * GRAIN).astype(np.int64)
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS, recall: float = RECALL) -> tuple[CharCNN, float] | None:
-    """The network and its threshold; None where there are less than ``FIT_LEAST`` windows of a label."""
+    """The network and its threshold, of all different windows; None where there are less than ``FIT_LEAST`` of a label."""
+    spark = docs.sparkSession
     text = docs.select(F.col(text_col).cast("binary").alias("text"))
     # Different windows only, so that copies of one finding cannot thin out the others.
     found = materialise(text.mapInArrow(_labelled, "window binary, label long").distinct(), "windows")
-    rows = [r for label in (0, 1) for r in bounded_sample(found.where(F.col("label") == label), "window", fit_rows).collect()]
-    rows = sorted({(bytes(r["window"]), r["label"]) for r in rows})
-    y = np.array([label for _, label in rows])
-    if min((y == 1).sum(), (y == 0).sum()) < FIT_LEAST:
+    many = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+    if min(many.get(label, 0) for label in (0, 1)) < FIT_LEAST:
+        sweep(spark, found)
         return None
-    x = encode([w for w, _ in rows], WIDTH)
-    # Of every eight windows of a label, six train, one calibrates the probabilities and one sets the threshold.
-    use = np.zeros(len(y), np.int64)
-    for label in (0, 1):
-        use[np.flatnonzero(y == label)] = np.arange((y == label).sum()) % 8
-    train, tune, last = use > 1, use == 0, use == 1
-    net = CharCNN.start()
-    net.fit(x[train], y[train])
-    net.calibrate(x[tune], y[tune])
-    return net, recall_threshold(net.probability(x[last]), y[last], recall)
+    shards = {label: -(-n // max(fit_rows, FIT_LEAST)) for label, n in many.items()}
+    split = materialise(dealt(found, shards), "dealt")
+    sweep(spark, found)
+    packs = materialise(packed(split, shards), "shards")
+    net = train(packs, FIT_ROUNDS if max(shards.values()) > 1 else 1)
+    held = materialise(split.where("use < 2").select("window", "label", "use").mapInArrow(_logits(net), "label long, use int, bits long, grain long"), "logits")
+    sweep(spark, split, packs)
+    tune = held.where("use = 0").groupBy("label", "grain").count().orderBy("label", "grain").toArrow()
+    net.calibrate_counts(*(tune.column(c).to_numpy().astype(float) / (GRAIN if c == "grain" else 1) for c in ("grain", "label", "count")))
+    hits = held.where("use = 1 and label = 1")
+    n = hits.count()
+    k = int(np.floor((1 - recall) * n))
+    # The k-th least probability; these fall as logits rise if the calibration has turned the network round.
+    bits = kth_least(hits, "bits", k if net.scale >= 0 else n - 1 - k)
+    sweep(spark, held)
+    return net, float(net.calibrated(unordered(np.array([bits])))[0])
 
 
 def probabilities(net: CharCNN, seen: list[bytes]) -> Iterator[float]:

@@ -38,3 +38,9 @@ def test_words(spark):
     df = spark.createDataFrame([(1, " a\x0bb\u00a0c ", None, None, None), (2, None, None, None, None)], DOCS)
     assert [r[0] for r in df.select(common.words(df.text)).collect()] == [["a", "b\u00a0c"], []]
     assert [r[0] for r in df.select(common.word_count(df.text)).collect()] == [2, 0]
+
+
+def test_kth_least_is_that_of_the_sorted_rows(spark):
+    values = [-(1 << 62), -70_000, -1, -1, 0, 3, 3, 3, 65_536, 65_537, 1 << 40, (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values[::-1]], "v long")
+    assert [common.kth_least(df, "v", k) for k in (0, 3, 7, 9, 11)] == [values[k] for k in (0, 3, 7, 9, 11)]

@@ -167,3 +167,26 @@ def test_long_candidates_train_with_all_windows():
 def test_few_texts_on_many_rows_train(spark):
     docs = spark.range(30_000).selectExpr("id as doc_id", "concat('the number ', if(id % 2 = 0, sha1(string(id % 60)), concat('page-', id % 60, '-of-some-archive')), ' is here') as text")
     assert secrets.fit(docs, fit_rows=40) is not None
+
+
+def test_all_windows_train_calibrate_and_set_the_threshold(spark):
+    rng = random.Random(10)
+    docs = spark.createDataFrame([(i, f"the number {rng.randbytes(16).hex()[: 32 if i % 3 == 0 else 31]} is here", "en", "a", 1) for i in range(2400)], DOCS)
+    rows = sorted({w for r in docs.collect() for w in secrets.labelled(r.text.encode())})
+    found = spark.createDataFrame([(bytearray(w), y) for w, y in rows], "window binary, label long")
+    shards = {y: -(-sum(v == y for _, v in rows) // 64) for y in (0, 1)}
+    split = secrets.dealt(found, shards).collect()
+    assert sorted((bytes(r.window), r.label) for r in split) == rows
+    packs = [[(bytes(w.window), w.label) for w in r.windows] for r in secrets.packed(secrets.dealt(found, shards), shards).collect()]
+    assert len(packs) == max(shards.values()) and all({y for _, y in p} == {0, 1} for p in packs)
+    assert {w for p in packs for w in p} == {(bytes(r.window), r.label) for r in split if r.use > 1}
+    net, least = secrets.fit(docs, fit_rows=64)
+    last = [bytes(r.window) for r in split if r.use == 1 and r.label == 1]
+    assert len(last) > 64  # more than a sample of 64 windows could hold out
+    assert abs(least - recall_threshold(net.probability(encode(last, secrets.WIDTH)), np.ones(len(last)), secrets.RECALL)) < 1e-9
+
+
+def test_whole_numbers_keep_the_order():
+    z = np.array([-np.inf, -2.5, -1e-300, 0.0, 1e-300, 3.0, 1e9])
+    assert (np.diff(secrets.ordered(z)) > 0).all() and (secrets.unordered(secrets.ordered(z)) == z).all()
+    assert secrets.ordered(np.array([-0.0]))[0] == secrets.ordered(np.array([0.0]))[0]
