@@ -6,15 +6,16 @@
    vote probabilities to the counts, and gives every pattern a posterior. Voting patterns of
    all documents count, whatever the table's size.
 3. *Scorer.* A linear scorer over hashed features (shapes of words, and binned statistics of the
-   text) learns the posteriors by logistic regression on a bounded sample (``FIT_ROWS``), then
-   scores every document.
+   text) learns the posteriors by logistic regression on all different texts, then scores every
+   document. The texts are dealt to shards of about ``FIT_ROWS`` by their hashes; each shard fits its
+   weights, and a feature's weight is the mean over the shards' texts that have it.
 
 A document is kept when its score is at least ``threshold``.
 
 Defined cases: a text without words (null, empty, white space) scores 0 and is rejected;
 equal texts score the same, and repeated rows count as often as they are there in the label model and once
-in the scorer's sample; vote patterns that tie take the same posterior; a very long text is read whole and has
-``HASHED`` features at most, 6 bytes each, on their way to the driver; ids and other columns play no part; an
+for the scorer; vote patterns that tie take the same posterior; a very long text is read whole and has
+``HASHED`` features at most, 6 bytes each; ids and other columns play no part; an
 empty table gives an empty result.
 """
 
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import bounded_sample, free_names
+from meshlark.llm.common import free_names, materialise, sweep
 
-#: Documents that the scorer is fitted on, at most (about); hashed features.
+#: Different texts of a shard that the scorer is fitted on (about); hashed features.
 FIT_ROWS, HASHED = 10_000, 1 << 12
+#: Weights are averaged as whole numbers of 1 / FIXED, so that the order of sums does not matter.
+FIXED = 1 << 24
 GOOD, BAD, NONE = 1, 2, 0
 
 # Character classes: 0 white space, 1 lower-case letter, 2 upper-case, 3 digit, others themselves.
@@ -161,21 +164,32 @@ def features(text: bytes, m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), float, len(found))
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measures(t or b"") for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([-1 if m is None else votes(m) for m in rows], pa.int64())], ["votes"])
-
-
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {"votes": [], "at": [], "value": []}
-        for t in batch.column(0).to_pylist():
+        out: dict[str, list] = {"row": [], "votes": [], "at": [], "value": []}
+        for k, t in enumerate(batch.column(2).to_pylist()):
             if (m := measures(t or b"")) is not None:
                 at, value = features(t, m)
-                for k, v in (("votes", votes(m)), ("at", at.astype("<u2").tobytes()), ("value", value.astype("<f4").tobytes())):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["votes"], pa.int64()), pa.array(out["at"], pa.binary()), pa.array(out["value"], pa.binary())], list(out))
+                for c, v in (("row", k), ("votes", votes(m)), ("at", at.astype("<u2").tobytes()), ("value", value.astype("<f4").tobytes())):
+                    out[c].append(v)
+        row = pa.array(out["row"], pa.int64())
+        cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(out["votes"], pa.int64()), pa.array(out["at"], pa.binary()), pa.array(out["value"], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["th", "tg", "votes", "at", "value"])
+
+
+def _shard_weights(posterior: dict[int, float]):
+    """The weights that a shard fits, times the number of its texts that have the feature: (feature, whole number, texts)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = rows.to_pydict()
+        order = sorted(range(rows.num_rows), key=lambda k: (got["votes"][k], zlib.crc32(got["at"][k]), got["at"][k], got["value"][k]))
+        at, value = ([np.frombuffer(got[name][k], kind) for k in order] for name, kind in (("at", "<u2"), ("value", "<f4")))
+        w = fit_scorer(np.array([got["votes"][k] for k in order], np.int64), at, value, posterior)
+        texts = np.append(np.bincount(np.concatenate(at).astype(np.int64), minlength=HASHED), len(order))
+        has = np.flatnonzero(texts)
+        return pa.table({"feature": has, "value": np.rint(w[has] * FIXED).astype(np.int64) * texts[has], "texts": texts[has]})
+
+    return run
 
 
 def fit_scorer(vote: np.ndarray, at: list[np.ndarray], value: list[np.ndarray], posterior: dict[int, float], rounds: int = 300) -> np.ndarray:
@@ -197,16 +211,22 @@ def fit_scorer(vote: np.ndarray, at: list[np.ndarray], value: list[np.ndarray],
 
 def fit(docs: DataFrame, *, text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[int, float], np.ndarray]:
     """The label model's posteriors and the scorer's weights."""
-    text = docs.select(F.col(text_col).cast("binary").alias("text"))
-    patterns = text.mapInArrow(_votes, "votes long").groupBy("votes").count().where("votes >= 0").collect()
-    patterns = sorted(patterns, key=lambda r: r["votes"])
+    text = docs.select(F.xxhash64(text_col).alias("th"), F.xxhash64(F.lit(1), text_col).alias("tg"), F.col(text_col).cast("binary").alias("text"))
+    rows = materialise(text.mapInArrow(_sparse, "th long, tg long, votes long, at binary, value binary"), "features")
+    patterns = sorted(rows.groupBy("votes").count().collect(), key=lambda r: r["votes"])
     counts = np.array([r["count"] for r in patterns], float)
     posterior = fit_label_model(np.array([r["votes"] for r in patterns], np.int64).reshape(-1), counts)
-    # At most 6 bytes for each of HASHED features of a row reach the driver.
-    got = bounded_sample(text, "text", fit_rows).mapInArrow(_sparse, "votes long, at binary, value binary").toArrow()
-    order = np.lexsort([np.array([zlib.crc32(x) for x in got.column("value").to_pylist()], np.int64), got.column("votes").to_numpy()])
-    at, value = ([np.frombuffer(x, kind) for x in got.column(name).to_pylist()] for name, kind in (("at", "<u2"), ("value", "<f4")))
-    return posterior, fit_scorer(got.column("votes").to_numpy()[order], [at[k] for k in order], [value[k] for k in order], posterior)
+    # Copies of a text go before texts meet their shards.
+    texts = materialise(rows.groupBy("th", "tg").agg(*(F.first(c).alias(c) for c in ("votes", "at", "value"))), "texts")
+    sweep(docs.sparkSession, rows)
+    shards = max(1, -(-texts.count() // fit_rows))
+    each = texts.withColumn("shard", F.pmod("th", F.lit(shards))).groupBy("shard").applyInArrow(_shard_weights(posterior), "feature long, value long, texts long")
+    mean = each.groupBy("feature").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("total"), F.sum("texts").alias("texts")).collect()
+    sweep(docs.sparkSession, texts)
+    weights = np.zeros(HASHED + 1)
+    for r in mean:
+        weights[r["feature"]] = int(r["total"]) / r["texts"] / FIXED
+    return posterior, weights
 
 
 def score_quality(

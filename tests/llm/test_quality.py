@@ -99,3 +99,21 @@ def test_held_out_accuracy_on_tables(spark):
     keep = got.quality_score >= 0.5
     assert isinstance(got, pd.DataFrame)
     assert keep[got.quality == 1].mean() > 0.99 and keep[got.quality == 0].mean() < 0.1
+
+
+def test_every_text_has_a_part_in_the_scorer(spark):
+    """Each text has a shape of its own; the weights of a sample's scorer would be 0 where it has none of them."""
+    shape = lambda n: "".join("aA1"[int(c)] for c in np.base_repr(n + 3**5, 3))
+    rows = [(i, GOOD + shape(i), None, None, None) for i in range(400)]
+    _, weights = quality.fit(spark.createDataFrame(rows + rows, DOCS), fit_rows=50)
+    for _, text, *_ in rows:
+        at, _ = quality.features(text.encode(), quality.measures(text.encode()))
+        assert (weights[at] != 0).all()
+
+
+def test_shards_agree_with_one_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = quality.score_quality(docs).select("doc_id", "quality_score").toPandas().set_index("doc_id").quality_score
+    parts = quality.score_quality(docs, fit_rows=100).select("doc_id", "quality_score").toPandas().set_index("doc_id").quality_score
+    assert ((whole >= 0.5) == (parts[whole.index] >= 0.5)).mean() > 0.995
+    assert np.abs(whole - parts[whole.index]).mean() < 0.02
